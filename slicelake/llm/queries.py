@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicelake.llm import seen
+from slicelake.llm import fuzzymap, seen, split
 from slicelake.session import table
 
 
@@ -23,7 +23,30 @@ def p1_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.error_report(reads, "read_id", key)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_error_rate)}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    barcodes = table(spark, sf_dir, "barcodes")
+    reads = table(spark, sf_dir, "r1_reads").select(F.lit("r1_reads").alias("source_table"), F.col("read_id").alias("row_id"), F.col("seq_line").alias("value"))
+    labels = table(spark, sf_dir, "slice_labels").select(F.lit("slice_labels").alias("source_table"), F.col("entry_id").alias("row_id"), F.col("entered_barcode").alias("value"))
+    listed = barcodes.select(F.col("barcode").alias("value")).where("value IS NOT NULL").distinct()
+    off_list = reads.unionByName(labels).join(listed, "value", "left_anti")
+    return fuzzymap.nearest_entries(off_list, barcodes, "barcode").withColumnRenamed("entry", "barcode")
+
+
+def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many values of each source are off the list, repaired or unmatched."""
+    found = p4_found(spark, sf_dir)
+    return found.groupBy("source_table").agg(F.count(F.lit(1)).alias("off_list"), F.count_if(F.col("barcode") == fuzzymap.UNMATCHED).alias("unmatched"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.split_files(table(spark, sf_dir, "fastq_files"))
+
+
+def p5_content_defined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.split_files(table(spark, sf_dir, "fastq_files"), "content_defined")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_error_rate, p4_found, p4_unmatched, p5_found, p5_content_defined)}
 
 _P1 = r"""
 WITH h AS (SELECT read_id, sample_id, replace(split_part(header_line, ' ', 1), chr(13), '') AS head FROM r2_reads),
