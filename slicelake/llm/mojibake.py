@@ -29,9 +29,11 @@ EVEN = 2e-3
 #: Most documents the classifier is trained on.
 SAMPLE_DOCS = 3000
 #: Log likelihood ratio that a page must reach over its lines, and its best line alone.
-PAGE_EVIDENCE, LINE_EVIDENCE = 9.0, 4.5
+PAGE_EVIDENCE, LINE_EVIDENCE = 18.0, 18.0
 #: What a clean line of another language than the page's costs, as log likelihood.
 OTHER_LANGUAGE = 4.0
+#: What a clean line in capitals costs.
+CAPITALS = 3.0
 
 # Names of public codecs. Bytes that a single-byte codec leaves undefined decode to the control
 # character of the same number, as browsers do.
@@ -145,12 +147,16 @@ def _ascii_share(text: str) -> float:
 
 
 def _garbled_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(lang, chain, bucket, n): bigram counts of the texts under every chain; chain -1 has the ASCII bigrams."""
+    """(lang, chain, bucket, n): bigram counts of the texts under every chain.
+
+    Chain -1 has the ASCII bigrams, chain -2 the clean lines in capitals, as headlines are. Clean text also counts
+    with each word's first letter capital, at a tenth, for letters that seldom begin a sentence.
+    """
     for f in frames:
         for lang, texts in f.groupby("lang")["text"]:
             whole = "\n".join(texts)
             lines = "\n".join(x for x in whole.split("\n") if not x.isascii())
-            got = {-1: np.bincount(_ascii_bigrams(_bytes(whole)), minlength=BUCKETS), 0: np.bincount(_bigrams(_bytes(lines))[1], minlength=BUCKETS)}
+            got = {-1: np.bincount(_ascii_bigrams(_bytes(whole)), minlength=BUCKETS), 0: 10 * np.bincount(_bigrams(_bytes(lines))[1], minlength=BUCKETS) + np.bincount(_bigrams(_bytes(lines.title()))[1], minlength=BUCKETS), -2: np.bincount(_bigrams(_bytes(lines.upper()))[1], minlength=BUCKETS)}
             beyond = sum(not c.isascii() for c in lines)
             for k, chain in enumerate(CHAINS, 1):
                 first = chain.steps[0][0]
@@ -172,20 +178,23 @@ class Model:
         self.share = np.array([ascii_share.get(x, 1.0) for x in self.langs])
         self.chains: list[np.ndarray] = []
         self.log: list[np.ndarray] = []
-        spelling = np.zeros((len(self.langs), BUCKETS))
+        spelling, capitals = np.zeros((len(self.langs), BUCKETS)), np.zeros((len(self.langs), BUCKETS))
         for i, lang in enumerate(self.langs):
             own = counts[counts["lang"] == lang]
-            ks = sorted(set(own["chain"]) - {-1, 0})
+            ks = sorted(set(own["chain"]) - {-2, -1, 0})
             table = np.zeros((len(ks) + 1, BUCKETS))
             row = {0: 0} | {k: j for j, k in enumerate(ks, 1)}
             body = own[own["chain"] >= 0]
             np.add.at(table, (body["chain"].map(row).to_numpy(), body["bucket"].to_numpy()), body["n"].to_numpy())
             self.chains.append(np.array(ks, dtype=np.int64) - 1)
             self.log.append(self._smooth(table))
-            head = own[own["chain"] == -1]
-            spelling[i, head["bucket"].to_numpy()] = head["n"].to_numpy()
+            for k, out in ((-1, spelling), (-2, capitals)):
+                head = own[own["chain"] == k]
+                out[i, head["bucket"].to_numpy()] = head["n"].to_numpy()
         self.spelling = self._smooth(spelling)
-        self.clean = np.ascontiguousarray(np.stack([t[:, 0] for t in self.log], axis=1)) if self.langs else np.zeros((BUCKETS, 1), dtype=np.float32)
+        if self.langs:  # clean text as usual, in capitals, and with words of both
+            usual, capital = np.stack([t[:, 0] for t in self.log], axis=1), self._smooth(capitals)
+            self.clean = np.concatenate([usual, capital, np.logaddexp(usual, capital) - np.float32(np.log(2))], axis=1)
 
     @staticmethod
     def _smooth(counts: np.ndarray) -> np.ndarray:
@@ -220,14 +229,16 @@ class Model:
             cut = first[i : i + step] - a
             scores[i : i + step] = np.add.reduceat(own[bucket[a:b]], cut, axis=0)
             clean[i : i + step] = np.add.reduceat(self.clean[bucket[a:b]], cut, axis=0)
-        other = np.delete(clean, lang, axis=1) - OTHER_LANGUAGE
-        base = np.maximum(scores[:, 0], other.max(axis=1)) if other.shape[1] and len(first) else scores[:, 0]
+        cost = np.full(3 * len(self.langs), OTHER_LANGUAGE, dtype=np.float32)
+        cost[lang :: len(self.langs)] = 0
+        cost[len(self.langs) :] += CAPITALS
+        base = (clean - cost).max(axis=1) if len(first) else scores[:, 0]
         return at[first], scores[:, 1:] - base[:, None]
 
     def clean_mean(self, text: str, lang: int) -> float:
         """Mean log likelihood of the evidence bigrams as clean text of the language; 0 without any."""
         bucket = _bigrams(_bytes(text))[1]
-        return float(self.log[lang][bucket, 0].mean()) if len(bucket) else 0.0
+        return float(self.clean[bucket][:, lang :: len(self.langs)].mean(axis=0).max()) if len(bucket) else 0.0
 
 
 def _restore_line(model: Model, lang: int, line: str, ratios: np.ndarray, tries: int = 4) -> tuple[str, int] | None:
@@ -261,18 +272,29 @@ def judge(model: Model, text: str | None) -> tuple[bool, str | None, str | None,
         return False, None, None, 0
     # the page's chains first: a line alone holds little evidence
     lean = np.minimum(3.0, support / 10) * (support >= 0.5 * support.max()) if ratios.size else 0
-    lines, lines_lost, used = text.split("\n"), 0, {}
+    lines, lines_lost, used, rest = text.split("\n"), 0, {}, []
     row = dict(zip(np.searchsorted(np.flatnonzero(data == 10), starts).tolist(), ratios))
     for i, line in enumerate(lines):
         if "\ufffd" in line:
             lines_lost += 1
-        elif i in row and row[i].max() > 0:
-            got = _restore_line(model, lang, line, row[i] + lean)
+        elif i in row:
+            got = _restore_line(model, lang, line, row[i] + lean) if row[i].max() > 0 else None
             if got:
                 lines[i] = got[0]
                 used[got[1]] = used.get(got[1], 0) + 1
+            else:
+                rest.append(i)
     if not used and not lost:
         return False, None, None, 0
+    if used:  # lines with little evidence of their own, such as headlines, by the page's own chain
+        most = max(used, key=used.get)
+        for i in rest:
+            try:
+                back = CHAINS[most].restore(lines[i])
+            except UnicodeError:
+                continue
+            if model.clean_mean(back, lang) > model.clean_mean(lines[i], lang):
+                lines[i] = back
     chain = CHAINS[max(used, key=used.get)].name if used else None
     return True, chain, "\n".join(lines) if used else None, lines_lost
 
@@ -305,7 +327,7 @@ def _fit(sample: DataFrame) -> Model:
     counts = sample.mapInPandas(_garbled_counts, "lang string, chain int, bucket int, n bigint").groupBy("lang", "chain", "bucket").agg(F.sum("n").alias("n")).toPandas()
     # share of ASCII letters, from the counts: bigrams of two ASCII letters against those with a byte beyond
     ascii_n = counts[counts["chain"] == -1].groupby("lang")["n"].sum()
-    beyond_n = counts[counts["chain"] == 0].groupby("lang")["n"].sum()
+    beyond_n = counts[counts["chain"] == -2].groupby("lang")["n"].sum()
     share = {x: float(ascii_n.get(x, 0) / max(1, ascii_n.get(x, 0) + beyond_n.get(x, 0))) for x in set(counts["lang"])}
     return Model(counts, share)
 
