@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicelake.llm import fuzzymap, mix, mojibake, seen, split
+from slicelake.llm import fuzzymap, leak, mix, mojibake, seen, split
 from slicelake.session import table
 
 
@@ -46,6 +46,16 @@ def p5_content_defined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_files(table(spark, sf_dir, "fastq_files"), "content_defined")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p6_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which test items leaked, and into how many pages."""
+    found = leak.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("pages"), F.max("n_words").alias("longest"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     hist = mix.histogram(mix.token_counts(table(spark, sf_dir, "documents")))
     return mix.budgets(hist, table(spark, sf_dir, "source_targets")).where("NOT reachable").select("source")
@@ -67,7 +77,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.detect(table(spark, sf_dir, "documents")).where("garbled").select("doc_id", "chain", "restored", "lines_lost")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_error_rate, p4_found, p4_unmatched, p5_found, p5_content_defined, p7_found, p7_mix, p7_shares, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_error_rate, p4_found, p4_unmatched, p5_found, p5_content_defined, p6_found, p6_leaked_items, p7_found, p7_mix, p7_shares, p8_found, p8_restored)}
 
 _P1 = r"""
 WITH h AS (SELECT read_id, sample_id, replace(split_part(header_line, ' ', 1), chr(13), '') AS head FROM r2_reads),
