@@ -158,12 +158,12 @@ class Index:
         for a, b in zip(edges, edges[1:]):
             key = self._block(self.prints_of, a, b)
             order = np.argsort(key, kind="stable")
-            offsets = np.searchsorted(key[order], np.arange((1 << (b - a)) + 1))
-            self.blocks.append((a, b, order, offsets))
+            direct = np.searchsorted(key[order], np.arange((1 << (b - a)) + 1)) if b - a <= 20 else None
+            self.blocks.append((a, b, order, key[order], direct))
 
     @staticmethod
     def _block(prints: np.ndarray, a: int, b: int) -> np.ndarray:
-        return ((prints >> np.uint64(a)) & np.uint64((1 << int(b - a)) - 1)).astype(np.int64)
+        return ((prints >> np.uint64(a)) & np.uint64((1 << int(b - a)) - 1)).view(np.int64)
 
     def prints(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(fingerprints, places) of the windows with enough known words."""
@@ -180,11 +180,12 @@ class Index:
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of print, index of item window) of all pairs within the radius."""
         left, right = [], []
-        for a, b, order, offsets in self.blocks:
+        for a, b, order, keys, direct in self.blocks:
             key = self._block(prints, a, b)
-            n = offsets[key + 1] - offsets[key]
+            first, past = (direct[key], direct[key + 1]) if direct is not None else (np.searchsorted(keys, key), np.searchsorted(keys, key, side="right"))
+            n = past - first
             who = np.repeat(np.arange(len(prints)), n)
-            at = np.repeat(offsets[key] - (np.cumsum(n) - n), n) + np.arange(len(who))
+            at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(who))
             target = order[at]
             ok = np.bitwise_count(prints[who] ^ self.prints_of[target]) <= self.radius
             left.append(who[ok]), right.append(target[ok])
