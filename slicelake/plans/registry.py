@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from slicelake.plans import numbered
+from slicelake.plans import numbered, reads
 
-MODULES = (numbered,)
+MODULES = (numbered, reads)
 
 
 def queries() -> dict:
