@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from slicelake.plans import numbered, reads
+from slicelake.plans import counts, numbered, reads
 
-MODULES = (numbered, reads)
+MODULES = (numbered, reads, counts)
 
 
 def queries() -> dict:
