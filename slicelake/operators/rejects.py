@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slicelake.functions.materialize import computed
+
 FIELDS = ("record_no", "header_line", "seq_line", "plus_line", "qual_line")
 READ_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in FIELDS] + [T.StructField("corrupt", T.StringType())])
 #: Unicode non-characters, which no text may hold: a comma and a quote inside a quoted field.
@@ -57,16 +59,17 @@ def read_permissive(raw: DataFrame, line_col: str = "raw_line") -> DataFrame:
     One carriage return at the end of a line is dropped. NULL lines have no fields.
     """
     line = F.regexp_replace(F.col(line_col), r"\r\z", "")
-    plain = ~F.contains(line, F.lit('"')) & ~F.rlike(line, F.lit(r"[\r\n]"))
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "quote": '"', "escape": '"', "nullValue": "﷒", "emptyValue": "", "maxCharsPerColumn": "-1"}
-    read = F.from_csv(F.when(plain, F.col("_line")), F.lit(READ_SCHEMA.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")), options)
-    out = raw.withColumn("_line", line).withColumn("_read", read)
-    clean = F.col("_read").isNotNull() & F.col("_read.corrupt").isNull() & F.col("_read.qual_line").isNotNull()
+    plain = ~F.contains(F.col("_line"), F.lit('"')) & ~F.rlike(F.col("_line"), F.lit(r"[\r\n]"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "quote": '"', "escape": '"', "nullValue": "\ufdd2", "emptyValue": "", "maxCharsPerColumn": "-1"}
+    schema = READ_SCHEMA.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+    out = computed(raw, _line=line)
+    read = F.from_csv(F.when(plain, F.col("_line")), F.lit(schema), options)
+    fails = F.contains(F.col("_line"), F.lit('"')) & ~quoting_ok(F.col("_line"))
+    out = computed(out, _read=read, quoting_fails=F.coalesce(fails, F.lit(False)))
+    clean = F.col("_read.corrupt").isNull() & F.col("_read.qual_line").isNotNull()
     loaded = F.array(*[F.coalesce(F.col(f"_read.{f}"), F.lit("")) for f in FIELDS])
-    fails = F.col("_line").isNotNull() & F.contains(F.col("_line"), F.lit('"')) & ~quoting_ok(F.col("_line"))
-    out = out.withColumn("quoting_fails", F.coalesce(fails, F.lit(False)))
     fields = F.when(F.col("_line").isNull() | (F.col("_line") == "") | F.col("quoting_fails"), F.lit(None)).when(clean, loaded).otherwise(strict_fields(F.col("_line")))
-    return out.withColumn("fields", fields).drop("_line", "_read")
+    return computed(out, fields=fields).drop("_line", "_read")
 
 
 def classify(raw: DataFrame, line_col: str = "raw_line") -> DataFrame:
