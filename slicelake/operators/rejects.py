@@ -19,14 +19,12 @@ READ_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in FIELDS] +
 COMMA, QUOTE = "﷐", "﷑"
 
 
-def _quoted_parts(line: Column) -> Column:
-    """Pieces between double quotes: those at even places stand outside quotes, those at odd places inside."""
-    return F.split(line, '"', -1)
+def quoting_ok(parts: Column) -> Column:
+    """Whether each field is free of quotes or wholly enclosed in them, inner quotes doubled.
 
-
-def quoting_ok(line: Column) -> Column:
-    """Whether each field is free of quotes or wholly enclosed in them, inner quotes doubled."""
-    parts = _quoted_parts(line)
+    parts: the line split at its double quotes; pieces at even places stand outside quotes. Pass a computed column,
+    as it is looked at once for each piece.
+    """
     last = F.size(parts) - 1
 
     def outside_ok(x: Column, i: Column) -> Column:
@@ -35,12 +33,11 @@ def quoting_ok(line: Column) -> Column:
         return F.when(i % 2 == 1, True).when(i == 0, opens).when(i == last, closes).otherwise(opens & closes)
 
     checked = F.transform(parts, outside_ok)
-    return (last % 2 == 0) & F.forall(checked, lambda ok: ok)
+    return (last == 0) | ((last % 2 == 0) & F.forall(checked, lambda ok: ok))
 
 
-def strict_fields(line: Column) -> Column:
-    """Fields of a line whose quoting is right, as an array of any length."""
-    parts = _quoted_parts(line)
+def strict_fields(parts: Column) -> Column:
+    """Fields of a line whose quoting is right, as an array of any length; parts as for quoting_ok."""
     last = F.size(parts) - 1
 
     def piece(x: Column, i: Column) -> Column:
@@ -64,12 +61,13 @@ def read_permissive(raw: DataFrame, line_col: str = "raw_line") -> DataFrame:
     schema = READ_SCHEMA.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
     out = computed(raw, _line=line)
     read = F.from_csv(F.when(plain, F.col("_line")), F.lit(schema), options)
-    fails = F.contains(F.col("_line"), F.lit('"')) & ~quoting_ok(F.col("_line"))
-    out = computed(out, _read=read, quoting_fails=F.coalesce(fails, F.lit(False)))
+    parts = F.when(plain, F.lit(None)).otherwise(F.split("_line", '"', -1))
+    out = computed(out, _read=read, _parts=parts)
+    out = computed(out, quoting_fails=F.coalesce(~quoting_ok(F.col("_parts")), F.lit(False)))
     clean = F.col("_read.corrupt").isNull() & F.col("_read.qual_line").isNotNull()
     loaded = F.array(*[F.coalesce(F.col(f"_read.{f}"), F.lit("")) for f in FIELDS])
-    fields = F.when(F.col("_line").isNull() | (F.col("_line") == "") | F.col("quoting_fails"), F.lit(None)).when(clean, loaded).otherwise(strict_fields(F.col("_line")))
-    return computed(out, fields=fields).drop("_line", "_read")
+    fields = F.when(F.col("_line").isNull() | (F.col("_line") == "") | F.col("quoting_fails"), F.lit(None)).when(clean, loaded).when(F.col("_parts").isNull(), F.split("_line", ",", -1)).otherwise(strict_fields(F.col("_parts")))
+    return computed(out, fields=fields).drop("_line", "_read", "_parts")
 
 
 def classify(raw: DataFrame, line_col: str = "raw_line") -> DataFrame:
