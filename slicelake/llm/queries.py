@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slicelake.llm import fuzzymap, leak, mix, mojibake, seen, split
-from slicelake.session import table
+from slicelake.session import cut, table
 
 
 def _keyed_reads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
@@ -57,7 +57,7 @@ def p6_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hist = mix.histogram(mix.token_counts(table(spark, sf_dir, "documents")))
+    hist = cut(mix.histogram(mix.token_counts(table(spark, sf_dir, "documents"))))  # small; else tokenized twice
     return mix.budgets(hist, table(spark, sf_dir, "source_targets")).where("NOT reachable").select("source")
 
 
