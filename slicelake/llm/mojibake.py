@@ -30,6 +30,10 @@ EVEN = 2e-3
 SAMPLE_DOCS = 3000
 #: Log likelihood ratio that a page must reach over its lines, and its best line alone.
 PAGE_EVIDENCE, LINE_EVIDENCE = 18.0, 18.0
+#: Line evidence from which a page is garbled even where no chain decodes strictly (letters misread afterwards).
+SURE_EVIDENCE = 35.0
+#: Line evidence from which a document is left out of the training text; rounds of training.
+DOUBT, ROUNDS = 8.0, 3
 #: What a clean line of another language than the page's costs, as log likelihood.
 OTHER_LANGUAGE = 4.0
 #: What a clean line in capitals costs.
@@ -138,18 +142,21 @@ def _bytes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "replace") + b"\n", dtype=np.uint8)
 
 
-def _ascii_share(text: str) -> float:
-    """ASCII letters as a share of them and of all characters beyond ASCII."""
+_NO_LETTER = bytes(b for b in range(256) if not (chr(b).isascii() and chr(b).isalpha()))
+_BEYOND = bytes(range(128, 256))
+
+
+def _letters(text: str) -> tuple[int, int]:
+    """(ASCII letters, characters beyond ASCII)."""
     data = text.encode("utf-8", "replace")
-    letters = len(data.translate(None, bytes(b for b in range(256) if not chr(b).isascii() or not chr(b).isalpha())))
-    beyond = len(text) - len(data.translate(None, bytes(range(128, 256))))
-    return letters / max(1, letters + beyond)
+    continuing = bytes(range(128, 192))
+    return len(data.translate(None, _NO_LETTER)), len(data.translate(None, continuing)) - len(data.translate(None, _BEYOND))
 
 
 def _garbled_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(lang, chain, bucket, n): bigram counts of the texts under every chain.
 
-    Chain -1 has the ASCII bigrams, chain -2 the clean lines in capitals, as headlines are. Clean text also counts
+    Chain -3 has the letters within ASCII and those beyond, -1 the ASCII bigrams, -2 the clean lines in capitals, as headlines are. Clean text also counts
     with each word's first letter capital, at a tenth, for letters that seldom begin a sentence.
     """
     for f in frames:
@@ -165,6 +172,7 @@ def _garbled_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if beyond and len(lines) - len(kept) > 0.1 * beyond:
                         continue  # not this language's encoding
                 got[k] = np.bincount(_bigrams(_bytes(chain.garble(lines, "ignore")))[1], minlength=BUCKETS)
+            got[-3] = np.array(_letters(whole))
             for k, n in got.items():
                 b = np.flatnonzero(n)
                 yield pd.DataFrame({"lang": lang, "chain": k, "bucket": b, "n": n[b]})
@@ -181,7 +189,7 @@ class Model:
         spelling, capitals = np.zeros((len(self.langs), BUCKETS)), np.zeros((len(self.langs), BUCKETS))
         for i, lang in enumerate(self.langs):
             own = counts[counts["lang"] == lang]
-            ks = sorted(set(own["chain"]) - {-2, -1, 0})
+            ks = sorted(set(own["chain"]) - {-3, -2, -1, 0})
             table = np.zeros((len(ks) + 1, BUCKETS))
             row = {0: 0} | {k: j for j, k in enumerate(ks, 1)}
             body = own[own["chain"] >= 0]
@@ -205,11 +213,13 @@ class Model:
     def language(self, text: str, data: np.ndarray) -> int:
         """The page's language: of those of like script, the one whose spelling fits the ASCII bigrams best."""
         bucket = _ascii_bigrams(data)
-        score = self.spelling[bucket].sum(axis=0) if len(bucket) else np.zeros(len(self.langs), dtype=np.float32)
-        like = (self.share < 0.3) == (_ascii_share(text) < 0.3)
-        if like.any():
-            score = np.where(like, score, -np.inf)
-        return int(np.argmax(score))
+        within, beyond = _letters(text)
+        share = within / max(1, within + beyond)
+        if len(bucket) < 20:
+            return int(np.argmin(np.abs(self.share - share)))
+        like = (self.share < 0.3) == (share < 0.3)
+        score = self.spelling[bucket].sum(axis=0)
+        return int(np.argmax(np.where(like, score, -np.inf) if like.any() else score))
 
     def line_ratios(self, data: np.ndarray, lang: int) -> tuple[np.ndarray, np.ndarray]:
         """(position of a line's first evidence, log likelihood ratio of each chain to clean text), for lines with evidence.
@@ -241,21 +251,18 @@ class Model:
         return float(self.clean[bucket][:, lang :: len(self.langs)].mean(axis=0).max()) if len(bucket) else 0.0
 
 
-def _restore_line(model: Model, lang: int, line: str, ratios: np.ndarray, tries: int = 4) -> tuple[str, int] | None:
-    """(restored line, chain) by the likeliest chain that decodes strictly and reads better; None without one."""
+def _restore_line(model: Model, lang: int, line: str, chains: list[int]) -> tuple[str, int] | None:
+    """(restored line, chain) by the first of ``chains`` that decodes strictly and reads better; None without one."""
     now = model.clean_mean(line, lang)
-    for j in np.argsort(-ratios)[:tries]:
-        chain = CHAINS[model.chains[lang][j]]
-        if ratios[j] <= 0:
-            break
-        if chain.lossy:
+    for k in chains:
+        if CHAINS[k].lossy:
             continue
         try:
-            back = chain.restore(line)
+            back = CHAINS[k].restore(line)
         except UnicodeError:
             continue
         if model.clean_mean(back, lang) > now + 0.5:
-            return back, int(model.chains[lang][j])
+            return back, k
     return None
 
 
@@ -270,31 +277,21 @@ def judge(model: Model, text: str | None) -> tuple[bool, str | None, str | None,
     support = np.maximum(ratios, 0).sum(axis=0)
     if not lost and (not ratios.size or ratios.max() < LINE_EVIDENCE or support.max() < PAGE_EVIDENCE):
         return False, None, None, 0
-    # the page's chains first: a line alone holds little evidence
-    lean = np.minimum(3.0, support / 10) * (support >= 0.5 * support.max()) if ratios.size else 0
-    lines, lines_lost, used, rest = text.split("\n"), 0, {}, []
-    row = dict(zip(np.searchsorted(np.flatnonzero(data == 10), starts).tolist(), ratios))
-    for i, line in enumerate(lines):
-        if "\ufffd" in line:
+    # the page's own chains first, as a line alone holds little evidence; then what the line itself points to
+    own = model.chains[lang]
+    leading = [int(own[k]) for k in np.argsort(-support)[:3] if support[k] >= 0.5 * support.max()]
+    lines, lines_lost, used = text.split("\n"), 0, {}
+    for i, r in zip(np.searchsorted(np.flatnonzero(data == 10), starts).tolist(), ratios):
+        if "\ufffd" in lines[i]:
             lines_lost += 1
-        elif i in row:
-            got = _restore_line(model, lang, line, row[i] + lean) if row[i].max() > 0 else None
-            if got:
-                lines[i] = got[0]
-                used[got[1]] = used.get(got[1], 0) + 1
-            else:
-                rest.append(i)
-    if not used and not lost:
+            continue
+        further = [int(own[k]) for k in np.argsort(-r)[:4]] if r.max() >= LINE_EVIDENCE else []
+        got = _restore_line(model, lang, lines[i], leading + further)
+        if got:
+            lines[i] = got[0]
+            used[got[1]] = used.get(got[1], 0) + 1
+    if not used and not lost and ratios.max() < SURE_EVIDENCE:
         return False, None, None, 0
-    if used:  # lines with little evidence of their own, such as headlines, by the page's own chain
-        most = max(used, key=used.get)
-        for i in rest:
-            try:
-                back = CHAINS[most].restore(lines[i])
-            except UnicodeError:
-                continue
-            if model.clean_mean(back, lang) > model.clean_mean(lines[i], lang):
-                lines[i] = back
     chain = CHAINS[max(used, key=used.get)].name if used else None
     return True, chain, "\n".join(lines) if used else None, lines_lost
 
@@ -302,7 +299,7 @@ def judge(model: Model, text: str | None) -> tuple[bool, str | None, str | None,
 def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", lang_col: str = "lang") -> Model:
     """The classifier, from at most about ``sample_docs`` labelled documents chosen by hash.
 
-    Trained twice: documents the first classifier calls garbled are left out of the second. Language labels may be
+    Trained in rounds: documents in which a classifier finds evidence of a chain are left out of the next. Language labels may be
     partly wrong; labels with under 1 % of the sample are left out. What reaches the driver is bounded by languages
     (at most 100) times chains times buckets. Without a labelled document the model has no language and calls only
     replacement characters garbled.
@@ -315,20 +312,29 @@ def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "d
     kept = [k for k, n in sizes.items() if n >= 0.01 * sum(sizes.values())]
     sample = sample.where(F.col("lang").isin(kept)) if kept else sample.limit(0)
     model = _fit(sample)
+    for _ in range(ROUNDS - 1):
 
-    def keep_clean(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f[[not judge(model, t)[0] for t in f["text"]]]
+        def keep_clean(frames: Iterator[pd.DataFrame], model: Model = model) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                yield f[[doubt(model, t) < DOUBT for t in f["text"]]]
 
-    return _fit(sample.mapInPandas(keep_clean, "lang string, text string"))
+        model = _fit(sample.mapInPandas(keep_clean, "lang string, text string"))
+    return model
+
+
+def doubt(model: Model, text: str) -> float:
+    """The most evidence a line of the text gives for a chain."""
+    if text.isascii() or not model.langs:
+        return 0.0
+    data = _bytes(text)
+    ratios = model.line_ratios(data, model.language(text, data))[1]
+    return np.inf if "\ufffd" in text else float(ratios.max()) if ratios.size else 0.0
 
 
 def _fit(sample: DataFrame) -> Model:
     counts = sample.mapInPandas(_garbled_counts, "lang string, chain int, bucket int, n bigint").groupBy("lang", "chain", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    # share of ASCII letters, from the counts: bigrams of two ASCII letters against those with a byte beyond
-    ascii_n = counts[counts["chain"] == -1].groupby("lang")["n"].sum()
-    beyond_n = counts[counts["chain"] == -2].groupby("lang")["n"].sum()
-    share = {x: float(ascii_n.get(x, 0) / max(1, ascii_n.get(x, 0) + beyond_n.get(x, 0))) for x in set(counts["lang"])}
+    letters = counts[counts["chain"] == -3].pivot_table(index="lang", columns="bucket", values="n", aggfunc="sum", fill_value=0)
+    share = {x: float(row.get(0, 0) / max(1, row.get(0, 0) + row.get(1, 0))) for x, row in letters.iterrows()}
     return Model(counts, share)
 
 
