@@ -151,9 +151,14 @@ def _wald_rows(f: pd.DataFrame, max_iter: int = 50) -> tuple:
     y, x, s = f["count"].to_numpy(float), f["x"].to_numpy(float), f["size_factor"].to_numpy(float)
     norm = y / s
     mean, n = norm.mean(), len(y)
-    var = norm.var(ddof=1) if n > 1 else 0.0
-    alpha = max((var - mean * (1 / s).mean()) / mean**2, 1e-8) if mean > 0 else 1e-8
-    alpha = min(alpha, 10.0)
+    # moments within each level, so that a difference between levels is no dispersion
+    over = under = 0.0
+    for level in np.unique(x):
+        own = norm[x == level]
+        if len(own) > 1:
+            over += (len(own) - 1) * (own.var(ddof=1) - own.mean() * (1 / s[x == level]).mean())
+            under += (len(own) - 1) * own.mean() ** 2
+    alpha = min(max(over / under, 1e-8), 10.0) if under > 0 else 1e-8
     design = np.c_[np.ones(n), x]
     if mean == 0 or n < 3 or x.min() == x.max():
         return mean, alpha, None, None, None, None
@@ -181,7 +186,7 @@ def _wald_rows(f: pd.DataFrame, max_iter: int = 50) -> tuple:
 def nb_wald(counts: DataFrame, factors: DataFrame, numerator: str, column: str = "species", blocks: int = 64) -> DataFrame:
     """(gene_id, base_mean, dispersion, log2fc, lfc_se, stat, pvalue, padj): negative-binomial Wald test of one factor.
 
-    Tier 1: dispersion by moments, coefficients by iterated weighted least squares with the given size factors,
+    Tier 1: dispersion by moments within the levels, coefficients by iterated weighted least squares with the given size factors,
     two-sided normal p, Benjamini-Hochberg. log2fc is ``numerator`` over the other level of ``column``. Genes of
     only zeros, of one level or of fewer than three samples have NULL statistics. No dispersion trend, outlier
     flags or independent filtering. Genes are spread over ``blocks`` groups, each fitted gene by gene in numpy.

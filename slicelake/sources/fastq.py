@@ -65,18 +65,18 @@ def text_of(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws("\n", "header_line", "seq_line", "plus_line", "qual_line").alias("value"))
 
 
-def write_fastq(reads: DataFrame, path: str, compression: str = "zstd") -> None:
+def write_fastq(reads: DataFrame, path: str, compression: str = "gzip") -> None:
     text_of(reads).write.mode("errorifexists").option("compression", compression).text(path)
 
 
-def write_by_barcode(reads: DataFrame, path: str, files_per_barcode: int = 8, compression: str = "zstd") -> None:
+def write_by_barcode(reads: DataFrame, path: str, files_per_barcode: int = 8, compression: str = "gzip") -> None:
     """One folder per slice_id and barcode; a hot barcode is spread over ``files_per_barcode`` tasks by a salt."""
     salted = reads.withColumn("_salt", F.pmod(F.xxhash64("header_line"), F.lit(files_per_barcode)))
     out = salted.repartition("slice_id", "barcode", "_salt").select("slice_id", "barcode", F.concat_ws("\n", "header_line", "seq_line", "plus_line", "qual_line").alias("value"))
     out.write.mode("errorifexists").partitionBy("slice_id", "barcode").option("compression", compression).text(path)
 
 
-def write_split(reads: DataFrame, path: str, matched: str = "matched", compression: str = "zstd") -> None:
+def write_split(reads: DataFrame, path: str, matched: str = "matched", compression: str = "gzip") -> None:
     """Matching and other records in two folders, from one pass."""
     out = reads.select(F.coalesce(F.col(matched), F.lit(False)).alias("matched"), F.concat_ws("\n", "header_line", "seq_line", "plus_line", "qual_line").alias("value"))
     out.write.mode("errorifexists").partitionBy("matched").option("compression", compression).text(path)
