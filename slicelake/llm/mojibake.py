@@ -26,8 +26,8 @@ HASH_BITS = 13
 BUCKETS = 1 << HASH_BITS
 #: Share of probability spread evenly over all buckets, the same for every chain: unknown bigrams are no evidence.
 EVEN = 2e-3
-#: Most documents the classifier is trained on.
-SAMPLE_DOCS = 3000
+#: About the most documents of a language that the classifier is trained on; fewest a language must have; most languages.
+SAMPLE_DOCS, LEAST_DOCS, MAX_LANGUAGES = 600, 5, 60
 #: Log likelihood ratio that a page must reach over its lines, and its best line alone.
 PAGE_EVIDENCE, LINE_EVIDENCE = 18.0, 18.0
 #: Line evidence from which a page is garbled even where no chain decodes strictly (letters misread afterwards).
@@ -297,20 +297,23 @@ def judge(model: Model, text: str | None) -> tuple[bool, str | None, str | None,
 
 
 def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", lang_col: str = "lang") -> Model:
-    """The classifier, from at most about ``sample_docs`` labelled documents chosen by hash.
-
-    Trained in rounds: documents in which a classifier finds evidence of a chain are left out of the next. Language labels may be
-    partly wrong; labels with under 1 % of the sample are left out. What reaches the driver is bounded by languages
-    (at most 100) times chains times buckets. Without a labelled document the model has no language and calls only
-    replacement characters garbled.
+    """The classifier, from about ``sample_docs`` labelled documents of each language, chosen by hash.
+
+    Each language has its own share, so that a rare one is learned as well as a frequent one; labels with fewer than
+    LEAST_DOCS documents, and those beyond the MAX_LANGUAGES most frequent, are left out. Labels may be partly wrong.
+    Trained in rounds: documents in which a classifier finds evidence of a chain are left out of the next. What
+    reaches the driver is bounded by languages times chains times buckets. Pages of a language without labelled
+    documents are judged by the others. Without any labelled document the model calls only replacement characters
+    garbled.
     """
-    every = max(1, -(-documents.count() // max(1, sample_docs)))
     label = F.lower(F.trim(lang_col))
-    sample = documents.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64(id_col), F.lit(every)) == 0)).select(label.alias("lang"), "text").where("lang IS NOT NULL AND lang NOT IN ('', 'und')")
-    sample = cut(sample.repartition(max(1, min(8, sample_docs // 250))))
-    sizes = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(100).collect()}
-    kept = [k for k, n in sizes.items() if n >= 0.01 * sum(sizes.values())]
-    sample = sample.where(F.col("lang").isin(kept)) if kept else sample.limit(0)
+    labelled = documents.where(F.col("text").isNotNull()).select(F.col(id_col).alias("id"), label.alias("lang"), "text").where("lang IS NOT NULL AND lang NOT IN ('', 'und')")
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    every = F.lit(None).cast("int")
+    for r in sizes:
+        every = F.when(F.col("lang") == r["lang"], F.lit(max(1, -(-r["n"] // sample_docs)))).otherwise(every)
+    sample = labelled.where(F.pmod(F.xxhash64("id"), every) == 0).select("lang", "text")
+    sample = cut(sample.repartition(8))
     model = _fit(sample)
     for _ in range(ROUNDS - 1):
 
