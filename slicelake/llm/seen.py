@@ -124,4 +124,5 @@ def error_report(records: DataFrame, order_col: str, key: list[Column], bits: in
     exact = keys.groupBy(*keys.columns).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeats"))
     total = records.agg(F.count(F.lit(1)).alias("records"))
     wrong = F.col("seen") - F.col("repeats")
-    return total.join(answers, how="inner").join(exact, how="inner").select("records", "keyed", "seen", wrong.alias("wrong"), F.round(F.coalesce(F.try_divide(wrong, F.col("keyed")), F.lit(0.0)), 9).alias("wrong_rate"))
+    counted = answers.select(total.scalar().alias("records"), "keyed", "seen", exact.scalar().alias("repeats"))
+    return counted.select("records", "keyed", "seen", wrong.alias("wrong"), F.round(F.coalesce(F.try_divide(wrong, F.col("keyed")), F.lit(0.0)), 9).alias("wrong_rate"))
