@@ -34,13 +34,20 @@ def gene_sums(quant: DataFrame, tx2gene: DataFrame, tx: str = "name") -> DataFra
     )
 
 
+#: Most samples a dense matrix may have.
+MAX_SAMPLES = 5000
+
+
 def densify(counts: DataFrame) -> DataFrame:
-    """Every gene with every sample; absent and NULL counts are 0.
+    """(gene_id, sample, count) for every gene with every sample; absent and NULL counts are 0.
 
-    Genes times samples cells are what a count matrix is; samples are a dimension table.
+    The samples, at most MAX_SAMPLES (else an error), go to each gene as an array; genes are never gathered.
     """
-    genes, samples = counts.select("gene_id").distinct(), counts.select("sample").distinct()
-    grid = genes.join(samples)
+    samples = sorted(r[0] for r in counts.where("sample IS NOT NULL").select("sample").distinct().limit(MAX_SAMPLES + 1).collect())
+    if len(samples) > MAX_SAMPLES:
+        raise ValueError(f"more than {MAX_SAMPLES} samples")
+    every = F.array(*[F.lit(s) for s in samples]) if samples else F.array().cast("array<string>")
+    grid = counts.select("gene_id").distinct().withColumn("sample", F.explode(every))
     have = counts.select("gene_id", "sample", "count")
     return grid.join(have, ["gene_id", "sample"], "left").withColumn("count", F.coalesce("count", F.lit(0.0)))
 

@@ -76,8 +76,8 @@ def sample_distances(values: DataFrame, value: str) -> DataFrame:
     samples, dots = gram(values, value)
     names = F.array(*[F.lit(s) for s in samples]) if samples else F.array().cast("array<string>")
     norms = dots.where("a = b").select(F.col("a").alias("i"), F.col("dot").alias("n"))
-    ids = norms.select("i")
-    pairs = ids.select(F.col("i").alias("a")).join(ids.select(F.col("i").alias("b")), F.col("a") < F.col("b"))
+    n = len(samples)
+    pairs = values.sparkSession.range(max(0, n - 1)).select(F.col("id").cast("int").alias("a"), F.explode(F.sequence(F.col("id").cast("int") + 1, F.lit(n - 1))).alias("b"))
     full = pairs.join(dots, ["a", "b"], "left").join(norms.select(F.col("i").alias("a"), F.col("n").alias("na")), "a").join(norms.select(F.col("i").alias("b"), F.col("n").alias("nb")), "b")
     d2 = F.col("na") + F.col("nb") - 2 * F.coalesce("dot", F.lit(0.0))
     return full.select(F.get(names, F.col("a")).alias("sample_a"), F.get(names, F.col("b")).alias("sample_b"), F.sqrt(F.greatest(d2, F.lit(0.0))).alias("distance"))

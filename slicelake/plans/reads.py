@@ -155,10 +155,20 @@ def fastq_records(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk_record_counts(spark: SparkSession, d: str) -> DataFrame:
     """Records of each planned byte range: those whose first byte lies in it, whatever the cut. NULL ends run to the file's end."""
-    starts = _file_lines(spark, d).where("line_no % 4 = 0").select("file_id", "byte_start")
+    from pyspark.sql import Window
+
+    starts = _file_lines(spark, d).where("line_no % 4 = 0").select("file_id", F.col("byte_start").alias("at"), F.lit(1).alias("n"))
     plan = table(spark, d, "chunk_plan").distinct()
-    inside = (F.col("byte_start") >= F.col("chunk_start")) & (F.col("chunk_end").isNull() | (F.col("byte_start") < F.col("chunk_end")))
-    return plan.join(starts, "file_id", "left").groupBy("file_id", "worker_id", "chunk_start", "chunk_end").agg(F.count_if(inside).alias("records"))
+    # a running count over record starts and cuts in one order, instead of records times ranges
+    cuts = plan.select("file_id", F.explode(F.array("chunk_start", "chunk_end")).alias("at")).where("at IS NOT NULL").distinct()
+    w = Window.partitionBy("file_id").orderBy("at", "n")  # at one place a cut comes before the record
+    ranked = cuts.withColumn("n", F.lit(0)).unionByName(starts).withColumn("before", F.sum("n").over(w)).where("n = 0").select("file_id", "at", "before")
+    whole = starts.groupBy("file_id").agg(F.sum("n").alias("whole"))
+    low = ranked.select("file_id", F.col("at").alias("chunk_start"), F.col("before").alias("low"))
+    high = ranked.select("file_id", F.col("at").alias("chunk_end"), F.col("before").alias("high"))
+    out = plan.join(low, ["file_id", "chunk_start"], "left").join(high, ["file_id", "chunk_end"], "left").join(whole, "file_id", "left")
+    end = F.when(F.col("chunk_end").isNull(), F.col("whole")).otherwise(F.col("high"))
+    return out.select("file_id", "worker_id", "chunk_start", "chunk_end", F.greatest(F.lit(0), F.coalesce(end - F.col("low"), F.lit(0))).alias("records"))
 
 
 QUERIES = {f.__name__: f for f in (record_validate, error_histogram, malformed_records, read_keys, header_tokens, record_counts, subsequence, quality_filter_r1, quality_trim_r2, barcode_ball_d1, barcode_ball_n, barcode_dictionary_d1, barcode_dictionary_d2, barcode_exact_split, barcode_correct, seq_replace, match_totals, demux_r1, demux_r2, demux_summary, key_duplicates, file_name_parse, pair_files, fastq_records, chunk_record_counts)}
