@@ -37,3 +37,19 @@ def profile_points(values: DataFrame, value: str, genes: DataFrame | None = None
     points = values.select("gene_id", "species", profile_label(F.col("condition"), F.col("replicate")).alias("label"), "slice", F.bround(value, 1).alias("value"))
     tops = points.groupBy("gene_id").agg(F.max("value").alias("top"))
     return points.join(tops, "gene_id")
+
+
+def with_prefix(sheet: DataFrame, column: str, prefix: str) -> DataFrame:
+    """Rows of a sheet that aren't wholly empty and whose ``column`` begins with ``prefix``; NULL doesn't."""
+    return sheet.where(F.coalesce(*[F.col(f"`{c}`").cast("string") for c in sheet.columns]).isNotNull() & F.col(column).startswith(prefix))
+
+
+def in_gene_set(de: DataFrame, genes: DataFrame, on: str = "symbol") -> DataFrame:
+    """Results of the genes of a set, with the set's columns; a gene listed twice gives a row for each."""
+    return de.join(genes, on)
+
+
+def labelled(points: DataFrame, symbol: str, selected: DataFrame) -> DataFrame:
+    """Adds label: the symbol where it is among the selected ones, else NULL."""
+    chosen = selected.select(F.col(symbol), F.lit(True).alias("_on")).distinct()
+    return points.join(chosen, symbol, "left").withColumn("label", F.when(F.col("_on"), F.col(symbol))).drop("_on")

@@ -211,7 +211,18 @@ def fasta_names(spark: SparkSession, d: str) -> DataFrame:
     return h.select("gene_id", names.ensembl_gene(F.col("header")).alias("gene"), names.first_token(F.col("header")).alias("token"), names.before_last_dot(F.col("header")).alias("stem"), names.is_ncbi(F.col("header")).alias("ncbi"))
 
 
-_ALL = (counts_latest, gene_counts, expression_filter, sample_subset, ortholog_map, combine_intersect, count_matrix_wide, count_matrix_long, size_factors, normalized_counts, log_cpm, slice_means, z_scores, sample_parse_zone, input_report, densified, fill_down, replicate_renumber, bh_adjust, volcano_points, gene_sets, profile_points, sample_distance, slice_distance, sample_tree, sample_pca, nb_wald, longest_per_group, duplicate_keys, tag_topk, anti_set, union_append, multimapping, fasta_names)
+def de_gene_set(spark: SparkSession, d: str) -> DataFrame:
+    """Test results of the parts of some kinds, as a gene set's."""
+    genes = V.with_prefix(table(spark, d, "part").select(F.col("p_partkey").alias("gene_id"), "p_type"), "p_type", "PROMO")
+    return V.in_gene_set(_tests(spark, d), genes, "gene_id").select("gene_id", "p_type", "p")
+
+
+def labelled_points(spark: SparkSession, d: str) -> DataFrame:
+    some = table(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_orderkey").alias("gene_id"))
+    return V.labelled(V.volcano_points(_tests(spark, d), "p"), "gene_id", some).select("gene_id", "nlp", "label")
+
+
+_ALL = (de_gene_set, labelled_points, counts_latest, gene_counts, expression_filter, sample_subset, ortholog_map, combine_intersect, count_matrix_wide, count_matrix_long, size_factors, normalized_counts, log_cpm, slice_means, z_scores, sample_parse_zone, input_report, densified, fill_down, replicate_renumber, bh_adjust, volcano_points, gene_sets, profile_points, sample_distance, slice_distance, sample_tree, sample_pca, nb_wald, longest_per_group, duplicate_keys, tag_topk, anti_set, union_append, multimapping, fasta_names)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _L = """l AS (SELECT * EXCLUDE (rn, gene_id), g AS gene_id FROM (SELECT *, regexp_replace(gene_id, '^gene:', '') AS g,
@@ -231,6 +242,8 @@ _TESTS = "t AS (SELECT o_orderkey AS gene_id, CASE WHEN o_orderkey % 97 <> 0 THE
 _MEAN = _L + ", m AS (SELECT gene_id, species, condition, slice, avg(count) AS mean FROM l WHERE count IS NOT NULL GROUP BY ALL)"
 
 SQL = {
+    "de_gene_set": f"WITH {_TESTS} SELECT gene_id, p_type, p FROM t JOIN part ON p_partkey = gene_id WHERE starts_with(p_type, 'PROMO')",
+    "labelled_points": f"WITH {_TESTS} SELECT gene_id, CASE WHEN p IS NULL THEN NULL WHEN p = 0 THEN 50 ELSE round_even(least(-log10(p), 50), 2) END AS nlp, CASE WHEN gene_id IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 400000) THEN gene_id END AS label FROM t",
     "counts_latest": f"WITH {_L} SELECT gene_id, sample, count, loaded_at FROM l",
     "gene_counts": "SELECT regexp_replace(gene_id, '^gene:', '') AS gene_id, sample, round(sum(count), 6) AS count, round(sum(count / 10), 6) AS abundance, round(CASE WHEN sum(count / 10) = 0 THEN avg(slice + 100.0) ELSE sum((slice + 100.0) * (count / 10)) / sum(count / 10) END, 6) AS length FROM counts WHERE count IS NOT NULL AND gene_id IS NOT NULL GROUP BY 1, 2",
     "expression_filter": f"WITH {_L} SELECT gene_id, sample, count FROM l WHERE gene_id IN (SELECT gene_id FROM l GROUP BY 1 HAVING sum(cast(count >= 2 AS INT)) >= 30)",

@@ -4,6 +4,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from slicelake.operators.barcodes import hamming_ball
+from slicelake.plans import pipelines
 from slicelake.sources import fasta, fastq, tabular
 from slicelake.streaming import reads_stream
 
@@ -116,3 +117,24 @@ def test_stream_counts_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("n").count() == 2
+
+
+def test_jobs_from_files_to_files(spark, tmp_path):
+    head = "@NS1:1:F:1:1:1:{} 1:N"
+    reads = lambda seqs: "".join(f"{head.format(i)}\n{s}\n+\n{'I' * len(s)}\n" for i, s in enumerate(seqs))
+    write(tmp_path / "b.tsv", "barcode\tid\nAAAAAAAA\t01\nCCCCCCCC\t02\nGGGGGGGG\tx\n")
+    write(tmp_path / "r1/R1_s1.fastq", reads(["AAAAAAAATTT", "AAAAAAANTTT", "CCCCCCCCTTT", "ACACACACTTT", "GGGGGGGGTTT"]))
+    write(tmp_path / "r2/R2_s1.fastq", reads(["ACGTACGT"] * 6) + "@NS1:bad\nAX\n+\nII\n")
+    summary = pipelines.demultiplex(spark, str(tmp_path / "r1"), str(tmp_path / "r2"), str(tmp_path / "b.tsv"), str(tmp_path / "out"))
+    assert sorted((r["barcode"], r["read_count"], r["pct"]) for r in summary.collect()) == [("AAAAAAAA", 2, 33.3), ("CCCCCCCC", 1, 16.7), ("GGGGGGGG", 1, 16.7)]
+    assert spark.read.text(str(tmp_path / "out/slice_id=1/barcode=AAAAAAAA")).count() == 8
+    check = {r["error"]: r["records"] for r in pipelines.integrity_check(spark, str(tmp_path / "r2"), malformed_path=str(tmp_path / "bad")).collect()}
+    assert check == {"valid": 6, "bad sequence": 1}
+    totals = pipelines.match_edit(spark, str(tmp_path / "r2"), str(tmp_path / "m"), ["acgtacgt", "zz"], replacement="TT")
+    assert tuple(totals.first()) == (7, 6, 1)
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "m/matched=true")).collect()]
+    assert lines.count("TT") == 6 and lines.count("II") == 6
+    assert pipelines.barcode_permutations(spark, str(tmp_path / "b.tsv"), "aaaaaaaa").count() == 33
+    write(tmp_path / "p.fa", ">P1 gene:G1\nMK\n>P2 gene:G1\nMKL\n>P3\nA\n")
+    assert tuple(pipelines.primary_transcript_file(spark, str(tmp_path / "p.fa"), str(tmp_path / "fa")).first()) == (2, 1, 1)
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "fa")).collect()) == [">G1", ">P3", "A", "MKL"]
