@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slicelake.functions.materialize import computed
 from slicelake.llm.elias_fano import SeenSet
 
 #: A probe against n earlier keys of its partition is wrongly "seen" with a chance of n / 2**FINGERPRINT_BITS.
@@ -28,8 +29,8 @@ def read_key(header: Column) -> Column:
     Carriage returns are dropped; leading zeros don't count.
     """
     head = F.replace(F.substring_index(header, " ", 1), F.lit("\r"), F.lit(""))
-    pattern = r"(?s)\A.*:0*([0-9]+):0*([0-9]+):0*([0-9]+):0*([0-9]+)\z"
-    return F.when(F.rlike(head, F.lit(pattern)), F.regexp_replace(head, pattern, "$1:$2:$3:$4"))
+    key = F.regexp_replace(head, r"(?s)\A.*:0*([0-9]+):0*([0-9]+):0*([0-9]+):0*([0-9]+)\z", "$1:$2:$3:$4")
+    return F.when(key != head, key)  # a match has a colon less; one pass of the pattern
 
 
 def _first_in_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +106,7 @@ def seen_before(records: DataFrame, order_col: str, key: list[Column], bits: int
     equal keys are ties: none of them is earlier than the other. Extra columns are ignored; an empty table gives
     an empty one. No key is wrongly "not seen"; ``bits`` sets how rarely one is wrongly "seen".
     """
-    rows = records.select(F.col(order_col).cast("bigint").alias("ord"), fingerprint(*key).alias("fp")).where("ord IS NOT NULL AND fp IS NOT NULL")
+    rows = computed(records, _fp=fingerprint(*key)).select(F.col(order_col).cast("bigint").alias("ord"), F.col("_fp").alias("fp")).where("ord IS NOT NULL AND fp IS NOT NULL")
     flagged = rows.mapInArrow(_first_in_chunk, "ord bigint, fp bigint, repeat boolean")
     masked = F.col("fp").bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
     to = F.when(F.col("repeat"), F.xxhash64("ord")).otherwise(masked)
