@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from slicelake.functions.reads import packed_read_key
 
 ALPHABET = ("N", "C", "T", "G", "A")
-#: A variant table is broadcast by Spark only under its own size limit; the barcode list itself is checked here.
-MAX_BARCODES = 100_000
+#: Most rows of a barcode or variant table that is broadcast; beyond, the join is shuffled and AQE splits hot barcodes.
+MAX_BROADCAST = 500_000
 
 
 def barcode_list(table: DataFrame) -> DataFrame:
@@ -46,6 +46,12 @@ def unambiguous_variants(barcodes: DataFrame, max_hamming: int = 1) -> DataFrame
     return claimed.where("n = 1").select("barcode", "variant", "distance")
 
 
+def _lookup(table: DataFrame, barcodes: DataFrame, rows_per_barcode: int) -> DataFrame:
+    """The table marked for broadcast if the list is short enough for it; only barcodes are counted."""
+    most = MAX_BROADCAST // rows_per_barcode
+    return F.broadcast(table) if barcodes.limit(most + 1).count() <= most else table
+
+
 def repair(reads: DataFrame, barcodes: DataFrame, seq_col: str = "seq_line", max_hamming: int = 1) -> DataFrame:
     """Adds ``exact`` and ``corrected``: the barcode a sequence is, or the only one whose ball it lies in.
 
@@ -54,6 +60,7 @@ def repair(reads: DataFrame, barcodes: DataFrame, seq_col: str = "seq_line", max
     listed = barcodes.select(F.col("barcode").alias("_seq"), F.col("barcode").alias("_to"), F.lit(True).alias("exact"))
     variants = unambiguous_variants(barcodes, max_hamming).select(F.col("variant").alias("_seq"), F.col("barcode").alias("_to"), F.lit(False).alias("exact"))
     lookup = listed.unionByName(variants.join(listed.select("_seq"), "_seq", "left_anti"))
+    lookup = _lookup(lookup, barcodes, 33 ** max(1, max_hamming))  # a ball of one substitution has 33 of 8 letters
     joined = reads.drop("exact", "corrected").join(lookup, reads[seq_col] == lookup["_seq"], "left")
     return joined.withColumn("exact", F.coalesce("exact", F.lit(False))).withColumnRenamed("_to", "corrected").drop("_seq")
 
@@ -66,6 +73,7 @@ def replaced(matched: Column, replacement: Column, seq: Column, qual: Column) ->
 def demux_r1(reads: DataFrame, barcodes: DataFrame, seq_col: str = "seq_line") -> DataFrame:
     """Reads whose sequence is exactly a listed barcode, with its slice_id."""
     listed = barcodes.select(F.col("barcode").alias("_b"), F.col("slice_id").alias("slice_id"))
+    listed = _lookup(listed, barcodes, 1)
     return reads.drop("slice_id", "barcode").join(listed, reads[seq_col] == F.col("_b")).withColumnRenamed("_b", "barcode")
 
 

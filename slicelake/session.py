@@ -53,3 +53,13 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the checkpoint folder; survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows, counted; else as it is, for Spark to shuffle and split.
+
+    For narrow dimension rows that were computed before (``cut``), so that counting is cheap.
+    """
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
