@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slicelake.session import cut
+from slicelake.session import broadcast_if_small, cut
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the published splitting pattern of the byte-level BPE vocabularies.
@@ -80,7 +80,7 @@ def thresholds(counts: DataFrame, plan: DataFrame) -> DataFrame:
     used = 0
     for bits in ROUND_BITS:
         used += bits
-        inside = counts if used == bits else counts.join(state.select("source", "prefix"), "source").where(F.shiftright("h", HASH_BITS - used + bits) == F.col("prefix")).drop("prefix")
+        inside = counts if used == bits else counts.join(broadcast_if_small(state.select("source", "prefix")), "source").where(F.shiftright("h", HASH_BITS - used + bits) == F.col("prefix")).drop("prefix")
         hist = inside.where("source IS NOT NULL").groupBy("source", F.shiftright("h", HASH_BITS - used).alias("bucket")).agg(F.sum("tokens").alias("n"))
         w = Window.partitionBy("source").orderBy("bucket")
         run = hist.join(state, "source").withColumn("cum", F.sum("n").over(w))
@@ -111,7 +111,7 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) ->
     counts = cut(token_counts(documents, tokenizer))
     plan = cut(budgets(histogram(counts), targets))
     at = thresholds(counts, plan)
-    used = counts.join(at, "source").withColumn("copies", F.col("full_copies") + (F.col("h") < F.col("threshold")).cast("bigint")).where("copies > 0").select("doc_id", "source", "tokens", "copies")
+    used = counts.join(broadcast_if_small(at), "source").withColumn("copies", F.col("full_copies") + (F.col("h") < F.col("threshold")).cast("bigint")).where("copies > 0").select("doc_id", "source", "tokens", "copies")
     sums = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"), F.sum("copies").alias("used_docs"), F.max("copies").alias("most_copies"))
     whole = sums.agg(F.sum("used_tokens").alias("n"))
     reached = plan.join(sums, "source", "left").select(
