@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,3 +16,8 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     """
     kept = [c for c in df.columns if c not in columns]
     return df.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` as one expression in which ``value`` is evaluated once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from slicelake.functions.materialize import once
+
 #: Messages of the record checks, in the order of the checks.
 ERRORS = ("incomplete record", "bad header", "bad plus line", "bad sequence", "length mismatch")
 
@@ -29,24 +31,26 @@ def header_numbers(header: Column) -> Column:
     """Array of lane, tile, x, y as digit strings, NULL unless at least five colon-separated parts end in four whole numbers."""
     head = F.translate(F.substring_index(header, " ", 1), "\r\n", "")
     parts = F.split(F.regexp_extract(head, r"(?s)\A.*:([0-9]+:[0-9]+:[0-9]+:[0-9]+)\z", 1), ":")
-    return F.when(F.size(parts) == 4, parts)
+    return once(parts, lambda p: F.when(F.size(p) == 4, p))
 
 
 def packed_read_key(header: Column) -> Column:
     """64-bit read key: lane in 2 bits, tile in 20, x and y in 21 each; NULL for headers without usable numbers.
 
-    Numbers beyond their field keep their low bits; lanes 2 and 3 give negative keys, which still join by equality.
-    Only join on it together with the sample, as run and flowcell are no part of it.
+    Numbers beyond their field keep their low bits (beyond 38 digits there is no key); lanes 2 and 3 give negative
+    keys, which still join by equality. Only join on it together with the sample, as run and flowcell are no part of it.
     """
-    n = header_numbers(header)
 
-    def field(i: int, bits: int) -> Column:
-        return F.element_at(n, i).cast("decimal(38,0)") % F.lit(1 << bits)
+    def field(n: Column, i: int, bits: int) -> Column:
+        digits = F.get(n, F.lit(i))
+        low = (digits.try_cast("decimal(38,0)") % F.lit(1 << bits)).cast("bigint")
+        return F.when(F.length(digits) <= 18, digits.try_cast("bigint").bitwiseAND((1 << bits) - 1)).otherwise(low)
 
-    def shifted(i: int, bits: int, by: int) -> Column:
-        return F.shiftleft(field(i, bits).cast("bigint"), by)
+    def pack(n: Column) -> Column:
+        lane, tile, x, y = (field(n, i, bits) for i, bits in enumerate((2, 20, 21, 21)))
+        return F.shiftleft(lane, 62).bitwiseOR(F.shiftleft(tile, 42)).bitwiseOR(F.shiftleft(x, 21)).bitwiseOR(y)
 
-    return F.when(n.isNotNull(), shifted(1, 2, 62).bitwiseOR(shifted(2, 20, 42)).bitwiseOR(shifted(3, 21, 21)).bitwiseOR(field(4, 21).cast("bigint")))
+    return once(header_numbers(header), pack)
 
 
 def header_token(header: Column, index: int) -> Column:

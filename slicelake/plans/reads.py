@@ -9,6 +9,7 @@ from slicelake.functions import names
 from slicelake.functions import reads as R
 from slicelake.functions.materialize import computed
 from slicelake.operators import barcodes as B
+from slicelake.operators.trim import trim_and_filter
 from slicelake.session import table
 
 
@@ -56,11 +57,7 @@ def quality_filter_r1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quality_trim_r2(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "r2_reads").select("read_id", "seq_line", "qual_line").where(F.length("seq_line") == F.length("qual_line"))
-    r = computed(computed(r, q=R.phred(F.col("qual_line"))), t=R.trim_bounds(F.col("q"))).where("t IS NOT NULL AND t.last - t.first + 1 >= 20")
-    part = "t.first, t.last - t.first + 1"
-    cut = computed(r, seq=F.expr(f"substr(seq_line, {part})"), qual=F.expr(f"substr(qual_line, {part})"), q=F.expr(f"slice(q, {part})"))
-    return cut.where(R.passes_quality(F.col("seq"), F.col("q"), 3)).select("read_id", "seq", "qual")
+    return trim_and_filter(table(spark, d, "r2_reads"))
 
 
 def barcode_ball_d1(spark: SparkSession, d: str) -> DataFrame:

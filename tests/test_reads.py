@@ -8,6 +8,7 @@ from slicelake.functions import names
 from slicelake.functions import reads as R
 from slicelake.functions.materialize import computed
 from slicelake.operators import barcodes as B
+from slicelake.operators.trim import trim_and_filter
 
 LIST = [("CATCACGC", 1), ("CATGATCG", 2), ("NACGTACG", 3), ("cattacgc", 4), (None, 5), ("CATCACGC", 9)]
 
@@ -48,6 +49,26 @@ def test_trim_and_quality(spark):
         assert row["ok"] == bool(q and sum(x < 20 for x in q) <= 0.25 * len(q) and sum(q) >= 27 * len(q) and row["v"].count("N") <= 3)
 
 
+def test_batch_trimming_matches_the_rule(spark):
+    r = random.Random(2)
+    rows = []
+    for i in range(400):
+        n = r.choice((0, 1, 2, 19, 20, 25, 40))
+        rows.append((i, "".join(r.choices("ACGTN", [8, 8, 8, 8, 1], k=n)), "".join(chr(33 + r.choice((2, 19, 20, 21, 30, 40, 40, 40))) for _ in range(n))))
+    rows += [(900, None, "I"), (901, "A", None), (902, "AC", "I"), (903, "é" * 30, "I" * 30)]
+    want = {}
+    for i, s, q in rows[:400]:
+        v = [ord(c) - 33 for c in q]
+        t = brute_trim(v)
+        if t:
+            s, q, v = s[t[0] - 1 : t[1]], q[t[0] - 1 : t[1]], v[t[0] - 1 : t[1]]
+            if len(v) >= 20 and sum(x < 20 for x in v) <= 0.25 * len(v) and sum(v) >= 27 * len(v) and s.count("N") <= 3:
+                want[i] = (s, q)
+    df = spark.createDataFrame(rows, "read_id int, seq_line string, qual_line string").withColumn("first", F.lit("clash"))
+    assert {x["read_id"]: (x["seq"], x["qual"]) for x in trim_and_filter(df).collect()} == want and len(want) > 20
+    assert trim_and_filter(df.limit(0)).count() == 0
+
+
 def test_golden_neighbourhoods(spark):
     barcodes = B.barcode_list(spark.createDataFrame(LIST, "barcode string, slice_id int"))
     assert {(r["barcode"], r["slice_id"]) for r in barcodes.collect()} == {("CATCACGC", 1), ("CATGATCG", 2), ("NACGTACG", 3), ("CATTACGC", 4)}
