@@ -335,7 +335,7 @@ def doubt(model: Model, text: str) -> float:
 
 
 def _fit(sample: DataFrame) -> Model:
-    counts = sample.mapInPandas(_garbled_counts, "lang string, chain int, bucket int, n bigint").groupBy("lang", "chain", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = sample.mapInPandas(_garbled_counts, "lang string, chain int, bucket int, n bigint").groupBy("lang", "chain", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     letters = counts[counts["chain"] == -3].pivot_table(index="lang", columns="bucket", values="n", aggfunc="sum", fill_value=0)
     share = {x: float(row.get(0, 0) / max(1, row.get(0, 0) + row.get(1, 0))) for x, row in letters.iterrows()}
     return Model(counts, share)
