@@ -27,6 +27,8 @@ KNOWN = 3
 MAX_WINDOWS = 1_000_000
 #: How many words of other print (an advert, a neighbouring column) a passage may run around.
 DETOUR = 80
+#: How many words on each side tell the script of a word that may be of either.
+BESIDE = 3
 
 # Letters that scanners misread for one another, each class written as one letter.
 _CLASSES = ("ceo0", "ijl1!|", "un", "hb68", "vy", "ft", "gq9", "s5")
@@ -35,17 +37,14 @@ _PAIRS = (("rn", "m"), ("vv", "w"), ("cl", "d"), ("iu", "m"))
 _LATIN = re.compile("[a-z]+")
 _ANY = re.compile("[a-zа-яё]+")
 _CYR = re.compile("[а-яё]")
+_BEYOND = re.compile("[^\x00-\x7fа-яё]+")
+#: Any Russian word of three letters is such a run under every chain; clean Latin text seldom has one.
+_RUN = re.compile("[^\x00-\x7f]{3}")
 _DIGITS = str.maketrans("01596", "olsgb")
 _GAP = re.compile(r"(?<=\S) {3,}(?=\S)")
 _RU_CHAINS = tuple(c for c in CHAINS if not c.lossy and (c.steps[0][0] == "utf_8" or c.steps[0][0] in CYRILLIC))
 
 
-def _plain(text: str, keep_cyrillic: bool) -> str:
-    if text.isascii():
-        return text.lower()
-    return re.sub("[^\x00-\x7fа-яё]+" if keep_cyrillic else "[^\x00-\x7f]+", "", text.lower())
-
-
 def _restore_cyrillic(line: str) -> str:
     """A line whose letters are mostly beyond ASCII but not Cyrillic, by the chain that gives most Cyrillic."""
     best, most = line, 0.8 * sum(not c.isascii() for c in line) / 3
@@ -60,11 +59,26 @@ def _restore_cyrillic(line: str) -> str:
     return best
 
 
-def words(text: str) -> tuple[list[str], bool]:
-    """(lower-case words, whether the text is Cyrillic). Latin letters with marks are left out of their words."""
+def words(text: str) -> list[str]:
+    """Lower-case words. Latin letters with marks are left out of their words; so are Cyrillic ones in Latin words.
+
+    The script is chosen word by word: a wholly Cyrillic word of four letters is kept on any page. Shorter ones and
+    words of both scripts (marked letters read by a Cyrillic codec, digits for letters) go by the words beside them.
+    """
     low = text.lower()
-    cyrillic = len(_CYR.findall(low)) * 2 > len(_LATIN.findall(low))
-    return (_ANY if cyrillic else _LATIN).findall(_plain(text, cyrillic).translate(_DIGITS)), cyrillic
+    if low.isascii():
+        return _LATIN.findall(low.translate(_DIGITS))
+    both = _ANY.findall(_BEYOND.sub("", low).translate(_DIGITS))
+    latin = [len(w) if w.isascii() else len(w.encode("ascii", "ignore")) for w in both]
+    out = []
+    for k, w in enumerate(both):
+        if latin[k] < len(w) and (latin[k] or len(w) < 4):
+            near = slice(max(0, k - BESIDE), k + BESIDE + 1)
+            if sum(map(len, both[near])) <= 2 * sum(latin[near]):
+                w = _CYR.sub("", w)
+        if w:
+            out.append(w)
+    return out
 
 
 def skeleton(word: str) -> str:
@@ -117,14 +131,12 @@ def print_order(text: str, x0: list | None) -> str:
 
 def page_words(text: str, x0: list | None) -> list[str]:
     if not text.isascii():
-        beyond = sum(not c.isascii() for c in text)
-        if beyond > 0.3 * len(text):
-            lines = text.split("\n")
-            for i, line in enumerate(lines):
-                if not line.isascii() and 3 * len(_CYR.findall(line.lower())) < sum(not c.isascii() for c in line):
-                    lines[i] = _restore_cyrillic(line)
-            text = "\n".join(lines)
-    return words(print_order(text, x0))[0]
+        lines = text.split("\n")
+        for i, line in enumerate(lines):
+            if _RUN.search(line) and 3 * len(_CYR.findall(line.lower())) < sum(not c.isascii() for c in line):
+                lines[i] = _restore_cyrillic(line)
+        text = "\n".join(lines)
+    return words(print_order(text, x0))
 
 
 def _vector(word: str) -> np.ndarray:
@@ -137,7 +149,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, radius: int = RADIUS):
         self.window, self.radius = window, radius
-        self.words = {i: words(t)[0] for i, t in items}
+        self.words = {i: words(t) for i, t in items}
         self.skeletons = {i: [skeleton(w) for w in ws] for i, ws in self.words.items()}
         df = Counter(s for ws in self.skeletons.values() for s in set(ws))
         self.vocabulary = {s: k for k, s in enumerate(sorted(df), 1)}  # 0: unknown, of no weight

@@ -190,3 +190,20 @@ def test_thresholds_nest(spark):
         at = mix.thresholds(counts, plan).first()["threshold"]
         took.append({r["doc_id"] for r in counts.where(F.col("h") < at).collect()})
     assert took[0] < took[1] < took[2]
+
+
+def typeset(ws, per=6):
+    return "\n".join(" ".join(ws[i : i + per]) for i in range(0, len(ws), per))
+
+
+def test_short_russian_passage_on_a_latin_page(spark):
+    r = random.Random(12)
+    items = [(i, " ".join(r.choices(VOC["ru"], k=50))) for i in range(12)] + [(50 + i, " ".join(r.choices(VOC["de"], k=50))) for i in range(12)]
+    part, de = items[4][1].split()[20:36], items[15][1].split()[20:40]
+    latin = lambda n: r.choices(VOC["en"], k=n)
+    around = lambda mid: typeset(latin(300)) + "\n" + mid + "\n" + typeset(latin(300))
+    garbled = mojibake.Chain((("utf_8", "cp1252"),)).garble(typeset(part))
+    as_cyrillic = [mojibake.Chain((steps,)).garble(typeset(de), "ignore") for steps in (("utf_8", "cp1251"), ("cp1252", "cp1251"))]
+    pages = [(1, around(typeset(part)), None), (2, around(garbled), None), (3, around(typeset(part[:11])), None), (4, around(typeset(de)), None)]
+    pages += [(5 + k, around(x), None) for k, x in enumerate(as_cyrillic)]
+    assert leaks(spark, pages, items) == [(1, 4), (2, 4)] + [(k, items[15][0]) for k in (4, 5, 6)]
