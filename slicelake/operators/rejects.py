@@ -15,6 +15,8 @@ from slicelake.functions.materialize import computed
 
 FIELDS = ("record_no", "header_line", "seq_line", "plus_line", "qual_line")
 READ_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in FIELDS] + [T.StructField("corrupt", T.StringType())])
+#: Most fields of a line that the CSV reader gets.
+MOST_FIELDS = 10
 #: Unicode non-characters, which no text may hold: a comma and a quote inside a quoted field.
 COMMA, QUOTE = "﷐", "﷑"
 
@@ -52,7 +54,8 @@ def read_permissive(raw: DataFrame, line_col: str = "raw_line") -> DataFrame:
     """Adds ``fields`` (array of strings, NULL where the line can't be split) and ``quoting_fails``.
 
     A line without quotes and line breaks goes through Spark's permissive CSV reader under the explicit schema,
-    which keeps rows of a wrong width as corrupt text; those and all others are split by the strict format.
+    which keeps rows of a wrong width as corrupt text; those and all others are split by the strict format. So are
+    lines of more than MOST_FIELDS fields, as beyond 20,480 the reader fails in every mode.
     One carriage return at the end of a line is dropped. NULL lines have no fields.
     """
     line = F.regexp_replace(F.col(line_col), r"\r\z", "")
@@ -60,7 +63,8 @@ def read_permissive(raw: DataFrame, line_col: str = "raw_line") -> DataFrame:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "quote": '"', "escape": '"', "nullValue": "\ufdd2", "emptyValue": "", "maxCharsPerColumn": "-1"}
     schema = READ_SCHEMA.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
     out = computed(raw, _line=line)
-    read = F.from_csv(F.when(plain, F.col("_line")), F.lit(schema), options)
+    few = F.size(F.split("_line", ",", MOST_FIELDS + 1)) <= MOST_FIELDS
+    read = F.from_csv(F.when(plain & few, F.col("_line")), F.lit(schema), options)
     parts = F.when(plain, F.lit(None)).otherwise(F.split("_line", '"', -1))
     out = computed(out, _read=read, _parts=parts)
     out = computed(out, quoting_fails=F.coalesce(~quoting_ok(F.col("_parts")), F.lit(False)))

@@ -92,3 +92,8 @@ def test_round_trip_through_csv_writer(spark):
     df = spark.createDataFrame(list(enumerate(out.getvalue().split("\n")[:-1])), "raw_id int, raw_line string")
     got = {r["raw_id"]: [str(r["record_no"]), r["header_line"], r["seq_line"], r["plus_line"], r["qual_line"]] for r in rejects.valid_records(df).collect()}
     assert got == dict(enumerate(rows))
+
+
+def test_very_many_fields(spark):
+    lines = ["," * 100_000, f"1,{H},ACGT,+,IIII" + ",x" * 30_000, f"1,{H},ACGT,+,IIII", "," * 10, '"' + "," * 100_000]
+    assert reasons(spark, lines) == {0: "column_count", 1: "column_count", 2: None, 3: "column_count", 4: "quoting"}
