@@ -10,14 +10,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slicelake.llm.mojibake import CHAINS, CYRILLIC
+from slicelake.llm.mojibake import CHAINS, CYRILLIC, Chain
 
 #: Words in a window, fingerprint radius (blocks are one more), and words that must stand in the item's order.
 WINDOW, RADIUS, PASSAGE = 5, 3, 15
@@ -37,26 +37,77 @@ _PAIRS = (("rn", "m"), ("vv", "w"), ("cl", "d"), ("iu", "m"))
 _LATIN = re.compile("[a-z]+")
 _ANY = re.compile("[a-zа-яё]+")
 _CYR = re.compile("[а-яё]")
+_CYR_RUN = re.compile("[а-яё]+")
+_CYRILLIC_LETTERS = "абвгдежзийклмнопрстуфхцчшщъыьэюяё"
 _BEYOND = re.compile("[^\x00-\x7fа-яё]+")
-#: Any Russian word of three letters is such a run under every chain; clean Latin text seldom has one.
-_RUN = re.compile("[^\x00-\x7f]{3}")
+#: Any Russian word of three letters is such a run under every chain; Latin words with marks have letters within ASCII.
+_RUN = re.compile("(?<![a-zA-Z\x80-\U0010ffff])[\x80-\U0010ffff]{3,}(?![a-zA-Z\x80-\U0010ffff])")
+#: Print that Russian lines hold besides letters.
+_MARK = re.compile("[–—«»„“”‘’…№§]")
 _DIGITS = str.maketrans("01596", "olsgb")
 _GAP = re.compile(r"(?<=\S) {3,}(?=\S)")
 _RU_CHAINS = tuple(c for c in CHAINS if not c.lossy and (c.steps[0][0] == "utf_8" or c.steps[0][0] in CYRILLIC))
 
 
-def _restore_cyrillic(line: str) -> str:
-    """A line whose letters are mostly beyond ASCII but not Cyrillic, by the chain that gives most Cyrillic."""
-    best, most = line, 0.8 * sum(not c.isascii() for c in line) / 3
-    for chain in _RU_CHAINS:
-        try:
-            back = chain.restore(line)
-        except UnicodeError:
-            continue
-        n = len(_CYR.findall(back))
-        if n > most and n >= 0.8 * sum(c.isalpha() and not c.isascii() for c in back):
-            best, most = back, n
-    return best
+class CyrillicFit:
+    """Log odds that text is like the items' Cyrillic words, by their letter pairs, against evenly drawn letters."""
+
+    def __init__(self, vocabulary: Iterable[str]):
+        self.vocabulary = {w for w in vocabulary if _CYR.search(w)}
+        pairs = Counter(f" {w} "[k : k + 2] for w in self.vocabulary for k in range(len(w) + 1))
+        first = Counter()
+        for pair, n in pairs.items():
+            first[pair[0]] += n
+        letters = " " + _CYRILLIC_LETTERS
+        self.pairs = {a + b: float(np.log((pairs[a + b] * len(letters) + 5) / (first[a] + 5))) for a in letters for b in letters}
+        self.memo: dict[str, float] = {}
+
+    def word(self, w: str) -> float:
+        got = self.memo.get(w)
+        if got is None:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            whole = f" {w} "
+            got = self.memo[w] = 3.0 * len(w) if w in self.vocabulary else sum(self.pairs[whole[k : k + 2]] for k in range(len(w) + 1))
+        return got
+
+    def line(self, line: str) -> tuple[float, int, int]:
+        """(log odds of the Cyrillic words, their letters, other characters beyond ASCII)."""
+        runs = [w for w in _ANY.findall(line.lower()) if not w.isascii()]
+        whole = [w for w in runs if _CYR_RUN.fullmatch(w)]
+        letters = sum(map(len, whole))
+        other = len(_MARK.sub("", line)) - len(line.encode("ascii", "ignore")) - letters
+        return sum(map(self.word, whole)), letters, other
+
+    def restore(self, line: str) -> str:
+        """The line by the chain after which it is most like the items' Cyrillic words, or as it is.
+
+        Where a chain does not decode the whole line (a letter misread afterwards), the words that decode are restored.
+        """
+        now, letters, other = self.line(line)
+        if not other and now > letters:
+            return line
+        best = line
+        most = before = now - 2.0 * other
+        for chain in _RU_CHAINS:
+            try:
+                back = chain.restore(line)
+            except UnicodeError:
+                back = " ".join(w if w.isascii() else _restored(chain, w) for w in line.split(" "))
+                if back == line:
+                    continue
+            odds, _, other = self.line(back)
+            # a word of two letters that is in an item weighs 6 by itself
+            if odds > 4 and odds - 2.0 * other > most:
+                best, most = back, odds - 2.0 * other
+        return best if most > before + 6 else line
+
+
+def _restored(chain: Chain, word: str) -> str:
+    try:
+        return chain.restore(word)
+    except UnicodeError:
+        return word
 
 
 def words(text: str) -> list[str]:
@@ -129,13 +180,10 @@ def print_order(text: str, x0: list | None) -> str:
     return "\n".join(out)
 
 
-def page_words(text: str, x0: list | None) -> list[str]:
-    if not text.isascii():
-        lines = text.split("\n")
-        for i, line in enumerate(lines):
-            if _RUN.search(line) and 3 * len(_CYR.findall(line.lower())) < sum(not c.isascii() for c in line):
-                lines[i] = _restore_cyrillic(line)
-        text = "\n".join(lines)
+def page_words(text: str, x0: list | None, fit: CyrillicFit | None = None) -> list[str]:
+    """Words in print order. fit: of the items; without Cyrillic items there is nothing to restore, as marked letters are left out."""
+    if fit is not None and not text.isascii():
+        text = "\n".join(fit.restore(line) if _RUN.search(line) else line for line in text.split("\n"))
     return words(print_order(text, x0))
 
 
@@ -151,6 +199,9 @@ class Index:
         self.window, self.radius = window, radius
         self.words = {i: words(t) for i, t in items}
         self.skeletons = {i: [skeleton(w) for w in ws] for i, ws in self.words.items()}
+        self.fit = CyrillicFit(w for ws in self.words.values() for w in ws)
+        if not self.fit.vocabulary:
+            self.fit = None
         df = Counter(s for ws in self.skeletons.values() for s in set(ws))
         self.vocabulary = {s: k for k, s in enumerate(sorted(df), 1)}  # 0: unknown, of no weight
         self.vectors = np.zeros((len(df) + 1, 64), dtype=np.int16)
@@ -339,7 +390,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, rad
             for whole in batches:
                 for at in range(0, whole.num_rows, 250):
                     b = whole.slice(at, 250)
-                    pages = [page_words(t, x) for t, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+                    pages = [page_words(t, x, index.fit) for t, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
                     got = [(d, i, c) for d, hits in zip(b.column(0).to_pylist(), _find(index, pages, least)) for i, c in hits]
                     yield pa.record_batch([pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["doc_id", "item_id", "n_words"])
 

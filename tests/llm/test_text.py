@@ -207,3 +207,17 @@ def test_short_russian_passage_on_a_latin_page(spark):
     pages = [(1, around(typeset(part)), None), (2, around(garbled), None), (3, around(typeset(part[:11])), None), (4, around(typeset(de)), None)]
     pages += [(5 + k, around(x), None) for k, x in enumerate(as_cyrillic)]
     assert leaks(spark, pages, items) == [(1, 4), (2, 4)] + [(k, items[15][0]) for k in (4, 5, 6)]
+
+
+def test_passages_garbled_by_every_cyrillic_chain(spark):
+    r = random.Random(13)
+    items = [(i, " ".join(r.choices(VOC["ru"], k=50)).capitalize()) for i in range(12)]
+    part = items[4][1].split()[20:38]
+    near = lambda lang: typeset(r.choices(VOC[lang], k=60))
+    chains = [c for c in mojibake.CHAINS if not c.lossy and c.steps[0][0] in ("utf_8", *mojibake.CYRILLIC)]
+    pages = [(2 * k + odd, near(lang) + "\n" + c.garble(typeset(part)) + "\n" + near(lang), None) for k, c in enumerate(chains) for odd, lang in enumerate(("ru", "en"))]
+    # whole pages, and letters misread after decoding
+    pages += [(1000 + k, c.garble(near("ru") + "\n" + typeset(part)), None) for k, c in enumerate(chains)]
+    pages += [(2000 + k, near("ru") + "\n" + c.garble(typeset(part)).replace(c.garble(part[7]), c.garble(part[7])[:-1] + "☆"), None) for k, c in enumerate(chains)]
+    pages += [(3000, near("ru"), None), (3001, chains[0].garble(typeset(part[:11])), None)]
+    assert len(chains) > 50 and leaks(spark, pages, items) == sorted((d, 4) for d, _, _ in pages if d < 3000)
