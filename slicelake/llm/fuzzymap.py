@@ -106,7 +106,7 @@ def barcode_letters(value: str) -> str:
     return kept or "".join(_TOKEN.findall(s))
 
 
-def _search(blob: str, entries: list[str], aliases: list[tuple[str, str]], letters: Callable[[str], str], limit: Callable[[int], int]):
+def _search(blob: str, entries: list[str], aliases: list[tuple[str, str]], letters: Callable[[str], str], limit: Callable[[int], int], kept: tuple[str, ...] = ("source_table", "row_id")):
     cache: dict = {}
 
     def one(value: str, trie: Trie) -> tuple[int, list[str]]:
@@ -127,7 +127,7 @@ def _search(blob: str, entries: list[str], aliases: list[tuple[str, str]], lette
                         known.clear()
                     known[v] = one(v, trie)
             got = [known[v] for v in f["value"]]
-            yield pd.DataFrame({"source_table": f["source_table"], "row_id": f["row_id"], "distance": [g[0] for g in got], "nearest": [g[1] for g in got]})
+            yield pd.DataFrame({c: f[c] for c in kept} | {"distance": [g[0] for g in got], "nearest": [g[1] for g in got]})
 
     return run
 
@@ -139,27 +139,28 @@ def nearest_entries(values: DataFrame, reference: DataFrame, entry_col: str, ali
     or several are equally near. NULL values are left out; an empty text is UNMATCHED, and so is everything when
     the list is empty. Repeated rows give repeated results. aliases: (alias, entry) further spellings.
 
-    The list is read to the driver in blocks of at most ``max_block`` entries, so what is broadcast is bounded
-    whatever the list's length; with several blocks a row's best entries are merged per row.
+    The list is read to the driver in blocks of at most ``max_block`` entries and aliases, so what is broadcast is
+    bounded whatever the list's length; with several blocks the best entries are merged per distinct value.
     """
     listed = reference.select(F.col(entry_col).alias("entry")).where("entry IS NOT NULL AND entry <> ''").distinct()
     pairs = aliases.select("alias", "entry").where("alias <> ''") if aliases is not None else None
     known = values.where("value IS NOT NULL")
-    schema = "source_table string, row_id bigint, distance int, nearest array<string>"
     block = [r[0] for r in listed.limit(max_block + 1).collect()]
-    if len(block) <= max_block and (pairs is None or pairs.count() <= max_block):
-        more = [(r[0], r[1]) for r in pairs.collect()] if pairs is not None else []
-        found = known.mapInPandas(_search("", sorted(block), more, letters, limit), schema)
+    more = [(r[0], r[1]) for r in pairs.limit(max_block + 1).collect()] if pairs is not None else []
+    if len(block) + len(more) <= max_block:
+        found = known.mapInPandas(_search("", sorted(block), more, letters, limit), "source_table string, row_id bigint, distance int, nearest array<string>")
     else:
-        n = -(-listed.count() // max_block) * 2
-        found = None
-        for i in range(n):  # hash blocks of about half the bound; each is one more pass over the values
-            part = sorted(r[0] for r in listed.where(F.pmod(F.xxhash64("entry"), F.lit(n)) == i).collect())
-            more = [(r[0], r[1]) for r in pairs.where(F.pmod(F.xxhash64("entry"), F.lit(n)) == i).collect()] if pairs is not None else []
-            one = known.withColumn("row_id", F.col("row_id")).mapInPandas(_search("", part, more, letters, limit), schema)
-            found = one if found is None else found.unionByName(one)
+        paths = listed.select(F.col("entry").alias("alias"), "entry")
+        paths = paths if pairs is None else paths.unionByName(pairs)
+        n = -(-paths.count() // max_block) * 2
+        distinct, searched = known.select("value").distinct(), None
+        for i in range(n):  # hash blocks of about half the bound; each is one more pass over the distinct values
+            part = sorted((r[0], r[1]) for r in paths.where(F.pmod(F.xxhash64("alias", "entry"), F.lit(n)) == i).collect())
+            one = distinct.mapInPandas(_search("", [], part, letters, limit, ("value",)), "value string, distance int, nearest array<string>")
+            searched = one if searched is None else searched.unionByName(one)
         near = F.when(F.col("distance") >= 0, F.col("distance"))
-        best = found.groupBy("source_table", "row_id").agg(F.min(near).alias("distance"), F.collect_list(F.struct("distance", "nearest")).alias("all"))
+        best = searched.groupBy("value").agg(F.min(near).alias("distance"), F.collect_list(F.struct("distance", "nearest")).alias("all"))
         hits = F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter("all", lambda x: x["distance"] == F.col("distance")), lambda x: x["nearest"]))))
-        found = best.select("source_table", "row_id", F.coalesce("distance", F.lit(-1)).alias("distance"), F.coalesce(hits, F.array().cast("array<string>")).alias("nearest"))
+        answers = best.select("value", F.coalesce(hits, F.array().cast("array<string>")).alias("nearest"))
+        found = known.join(answers, "value")
     return found.select("source_table", "row_id", F.when(F.size("nearest") == 1, F.get("nearest", F.lit(0))).otherwise(UNMATCHED).alias("entry"))

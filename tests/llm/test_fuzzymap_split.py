@@ -118,3 +118,13 @@ def test_split_files_edges(spark):
     assert {g[0] for g in got} == {1, 6} and [g[1:] for g in got if g[0] == 6] == [(0, 2), (2, 3), (3, 5)]
     assert [g[1:] for g in got if g[0] == 1] == slow_furthest(big.encode(), 500, 1)
     assert P.split_files(df.limit(0)).count() == 0
+
+
+def test_blocks_answer_each_row_by_its_own_value(spark):
+    values = spark.createDataFrame([("a", 1, "ACGTACGA"), ("a", 1, "ACGTACGA"), ("a", 1, "TTTTTTGG"), ("b", 2, "GGGGGGGG"), ("b", 3, None), ("b", 4, "")], "source_table string, row_id long, value string")
+    listed = spark.createDataFrame([("ACGTACGT",), ("TTTTTTTT",), ("CCCCCCCC",)], "entry string")
+    aliases = spark.createDataFrame([("GGGGGGGA", "CCCCCCCC")] + [("NNNNNNN" + c, "TTTTTTTT") for c in "ACGTNU"], "alias string, entry string")
+    want = [("a", 1, "ACGTACGT"), ("a", 1, "ACGTACGT"), ("a", 1, "TTTTTTTT"), ("b", 2, "CCCCCCCC"), ("b", 4, "UNMATCHED")]
+    for most in (100, 9, 3):
+        got = M.nearest_entries(values, listed, "entry", aliases, max_block=most)
+        assert sorted(map(tuple, got.collect())) == want
