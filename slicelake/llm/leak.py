@@ -1,8 +1,12 @@
 """Evaluation texts leaking into training text: which pages hold a passage of which test item.
 
-Windows of words get SimHash fingerprints; a multi-index over blocks of their bits finds every pair of page and
-item windows within a Hamming radius; candidates are then verified word by word. Pages are read in print order
+Windows as long as the smallest passage that counts get SimHash fingerprints; a multi-index over blocks of their
+bits finds every pair of page and item windows within a Hamming radius; candidates are verified by the exact
+weighted similarity of their shingles, and then word by word, as order and length of the passage decide a case.
+Shorter windows go through the same steps, for passages that other print breaks up. Pages are read in print order
 (columns apart), and words are compared by skeletons that scanning and decoding damage mostly leave alone.
+Fingerprints depend on the words alone, on no vocabulary or count, so that results are the same however items are
+divided.
 """
 
 from __future__ import annotations
@@ -10,22 +14,28 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slicelake.llm.mojibake import CHAINS, CYRILLIC, Chain
-
-#: Words in a window, fingerprint radius (blocks are one more), and words that must stand in the item's order.
-WINDOW, RADIUS, PASSAGE = 5, 3, 15
-#: Words of a window that must belong to the items' vocabulary.
-KNOWN = 3
-#: Most item windows indexed at once; more items are searched block by block, each block against all pages.
-MAX_WINDOWS = 1_000_000
-#: How many words of other print (an advert, a neighbouring column) a passage may run around.
+from slicelake.session import cut
+
+#: Words that must stand in the item's order.
+PASSAGE = 15
+#: (words, fingerprint radius) of the windows. Sizes are odd, so that no bit of a fingerprint is a tie.
+WINDOWS = ((15, 7), (5, 3))
+#: Blocks of 16 bits of the multi-index. Within radius 7 one of four blocks differs in at most one bit.
+BLOCKS, BLOCK_BITS = 4, 16
+#: Words in a shingle of the exact check, and the least similarity of two windows. One exchanged word spoils a third of a
+#: window's five-word shingles but two of its fourteen pairs, and must not undo a case; so shingles are pairs here.
+SHINGLE, LEAST_SIMILAR = 2, 0.15
+#: Most item words whose index goes to every task; longer lists are joined by block keys instead.
+MAX_WORDS = 1_000_000
+#: How many words of other print (an advert, a neighbouring column) one passage may run around; beyond, it is two passages.
 DETOUR = 80
 #: How many words on each side tell the script of a word that may be of either.
 BESIDE = 3
@@ -36,6 +46,14 @@ _MERGED = {ord(c): g[0] for g in _CLASSES for c in g}
 _PAIRS = (("rn", "m"), ("vv", "w"), ("cl", "d"), ("iu", "m"))
 _LATIN = re.compile("[a-z]+")
 _ANY = re.compile("[a-zа-яё]+")
+# Code points of letters beyond the Latin and Cyrillic scripts, and of those written without spaces.
+_FURTHER = "\u0370-\u03ff\u0530-\u0e00\u0e80-\u0fff\u10a0-\u1dff\u1f00-\u1fff\u2c80-\u2dff\ua4d0-\ua63f\ua800-\uaaff\uac00-\ud7ff\ufb13-\ufeff"
+_SPACELESS = "\u0e01-\u0e7f\u1000-\u109f\u3005-\u312f\u31a0-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_OTHER = re.compile(f"[{_FURTHER}{_SPACELESS}]")
+_BESIDE_LATIN = re.compile(f"(?<=[a-z])[{_FURTHER}{_SPACELESS}]+|[{_FURTHER}{_SPACELESS}]+(?=[a-z])")
+_ALL_BUT_LETTERS = re.compile(f"[^\x00-\x7fа-яё{_FURTHER}{_SPACELESS}]+")
+_EVERY = re.compile(f"[a-zа-яё]+|[{_SPACELESS}]|[{_FURTHER}]+")
+_NUMBER = re.compile(r"\b[0-9]+\b")
 _CYR = re.compile("[а-яё]")
 _CYR_RUN = re.compile("[а-яё]+")
 _CYRILLIC_LETTERS = "абвгдежзийклмнопрстуфхцчшщъыьэюяё"
@@ -45,6 +63,7 @@ _RUN = re.compile("(?<![a-zA-Z\x80-\U0010ffff])[\x80-\U0010ffff]{3,}(?![a-zA-Z\x
 #: Print that Russian lines hold besides letters.
 _MARK = re.compile("[–—«»„“”‘’…№§]")
 _DIGITS = str.maketrans("01596", "olsgb")
+_NUMERALS = str.maketrans("0123456789", "olzeasbtbg")
 _GAP = re.compile(r"(?<=\S) {3,}(?=\S)")
 _RU_CHAINS = tuple(c for c in CHAINS if not c.lossy and (c.steps[0][0] == "utf_8" or c.steps[0][0] in CYRILLIC))
 
@@ -115,15 +134,20 @@ def words(text: str) -> list[str]:
 
     The script is chosen word by word: a wholly Cyrillic word of four letters is kept on any page. Shorter ones and
     words of both scripts (marked letters read by a Cyrillic codec, digits for letters) go by the words beside them.
+    Runs of letters of further scripts are words unless they touch Latin letters (marked ones read by another codec);
+    in scripts without spaces each letter is one. Numbers are words; digits in words stand for letters.
     """
-    low = text.lower()
+    low = _NUMBER.sub(lambda m: m.group().translate(_NUMERALS), text.lower())
     if low.isascii():
         return _LATIN.findall(low.translate(_DIGITS))
-    both = _ANY.findall(_BEYOND.sub("", low).translate(_DIGITS))
+    if _OTHER.search(low):
+        both = _EVERY.findall(_BESIDE_LATIN.sub("", _ALL_BUT_LETTERS.sub("", low)).translate(_DIGITS))
+    else:
+        both = _ANY.findall(_BEYOND.sub("", low).translate(_DIGITS))
     latin = [len(w) if w.isascii() else len(w.encode("ascii", "ignore")) for w in both]
     out = []
     for k, w in enumerate(both):
-        if latin[k] < len(w) and (latin[k] or len(w) < 4):
+        if latin[k] < len(w) and (latin[k] or len(w) < 4) and not _OTHER.match(w):
             near = slice(max(0, k - BESIDE), k + BESIDE + 1)
             if sum(map(len, both[near])) <= 2 * sum(latin[near]):
                 w = _CYR.sub("", w)
@@ -187,73 +211,142 @@ def page_words(text: str, x0: list | None, fit: CyrillicFit | None = None) -> li
     return words(print_order(text, x0))
 
 
-def _vector(word: str) -> np.ndarray:
-    bits = np.unpackbits(np.frombuffer(hashlib.blake2b(word.encode(), digest_size=8).digest(), dtype=np.uint8))
-    return bits.astype(np.int16) * 2 - 1
+#: Most words whose signs a worker remembers.
+MAX_REMEMBERED = 300_000
+#: Windows looked up at a time, and pairs compared at a time: they bound memory for texts of any length.
+STEP, MAX_PAIRS = 16_384, 2_000_000
+
+
+class Signs:
+    """The 64 signs of each word, by a hash of the word; remembered."""
+
+    def __init__(self):
+        self.ids: dict[str, int] = {}
+        self.table = np.zeros((0, 64), dtype=np.int8)
+
+    def ids_of(self, words: list[str]) -> np.ndarray:
+        new = [w for w in dict.fromkeys(words) if w not in self.ids]
+        if new and len(self.ids) + len(new) > MAX_REMEMBERED:
+            self.ids.clear()
+            self.table, new = self.table[:0], list(dict.fromkeys(words))
+        if new:
+            hashed = b"".join(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest() for w in new)
+            bits = np.unpackbits(np.frombuffer(hashed, dtype=np.uint8)).reshape(-1, 64)
+            self.ids.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
+            self.table = np.concatenate([self.table, bits.astype(np.int8) * 2 - 1])
+        return np.fromiter((self.ids[w] for w in words), np.int32, len(words))
+
+    def prints(self, ids: np.ndarray, size: int) -> np.ndarray:
+        """SimHash fingerprint of each window of ``size`` words."""
+        if len(ids) < size:
+            return np.zeros(0, dtype=np.uint64)
+        signs = self.table[ids].astype(np.int8 if size < 128 else np.int32, copy=False)
+        n = len(ids) - size + 1
+        total, run, at, width = None, signs, 0, 1  # run: sums over ``width`` words, doubled in turn
+        while True:
+            if size & width:
+                total = run[at : at + n] if total is None else total + run[at : at + n]
+                at += width
+            if 2 * width > size:
+                break
+            run, width = run[:-width] + run[width:], 2 * width
+        return np.packbits(total > 0, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-class Index:
-    """SimHash windows of the items in a multi-index: radius + 1 blocks of bits, so that a pair within the radius agrees on one."""
-
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, radius: int = RADIUS):
-        self.window, self.radius = window, radius
-        self.words = {i: words(t) for i, t in items}
-        self.skeletons = {i: [skeleton(w) for w in ws] for i, ws in self.words.items()}
-        self.fit = CyrillicFit(w for ws in self.words.values() for w in ws)
-        if not self.fit.vocabulary:
-            self.fit = None
-        df = Counter(s for ws in self.skeletons.values() for s in set(ws))
-        self.vocabulary = {s: k for k, s in enumerate(sorted(df), 1)}  # 0: unknown, of no weight
-        self.vectors = np.zeros((len(df) + 1, 64), dtype=np.int16)
-        n = max(1, len(items))
-        for s, k in self.vocabulary.items():
-            self.vectors[k] = _vector(s) * round(1 + 4 * np.log(1 + n / df[s]))
-        prints, item, place = [], [], []
-        for i, ws in self.skeletons.items():
-            ids = np.array([self.vocabulary[s] for s in ws], dtype=np.int64)
-            fp, at = self.prints(ids)
-            prints.append(fp), item.append(np.full(len(fp), i)), place.append(at)
-        self.prints_of = np.concatenate(prints) if prints else np.zeros(0, dtype=np.uint64)
-        self.item = np.concatenate(item) if item else np.zeros(0, dtype=np.int64)
-        self.place = np.concatenate(place) if place else np.zeros(0, dtype=np.int64)
-        self.blocks = []
-        edges = np.linspace(0, 64, radius + 2).round().astype(int)
-        for a, b in zip(edges, edges[1:]):
-            key = self._block(self.prints_of, a, b)
-            order = np.argsort(key, kind="stable")
-            direct = np.searchsorted(key[order], np.arange((1 << (b - a)) + 1)) if b - a <= 20 else None
-            self.blocks.append((a, b, order, key[order], direct))
+def near_masks(radius: int) -> np.ndarray:
+    """What a block key may differ by: of windows within the radius, one block is off by at most radius // BLOCKS bits."""
+    masks = {0}
+    for _ in range(radius // BLOCKS):
+        masks |= {m ^ (1 << k) for m in masks for k in range(BLOCK_BITS)}
+    return np.array(sorted(masks), dtype=np.int64)
+
+
+class Scale:
+    """The items' windows of one size in a multi-index."""
+
+    def __init__(self, size: int, radius: int, prints: np.ndarray, item: np.ndarray, place: np.ndarray):
+        self.size, self.radius, self.prints, self.item, self.place = size, radius, prints, item, place
+        masks, self.blocks = near_masks(radius), []
+        for b in range(BLOCKS):
+            keys = (self._key(prints, b)[None, :] ^ masks[:, None]).ravel()
+            order = np.argsort(keys, kind="stable")
+            starts = np.searchsorted(keys[order], np.arange((1 << BLOCK_BITS) + 1))
+            self.blocks.append((starts, (order % max(1, len(prints))).astype(np.int32)))
 
     @staticmethod
-    def _block(prints: np.ndarray, a: int, b: int) -> np.ndarray:
-        return ((prints >> np.uint64(a)) & np.uint64((1 << int(b - a)) - 1)).view(np.int64)
-
-    def prints(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(fingerprints, places) of the windows with enough known words."""
-        n = len(ids) - self.window + 1
-        if n < 1:
-            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        known = (ids > 0).astype(np.int8)
-        at = np.flatnonzero(sum(known[k : n + k] for k in range(self.window)) >= min(KNOWN, self.window))
-        total = self.vectors[ids[at]]
-        for k in range(1, self.window):
-            total = total + self.vectors[ids[at + k]]
-        return np.packbits(total > 0, axis=1, bitorder="little").view(np.uint64).ravel(), at
-
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index of print, index of item window) of all pairs within the radius."""
-        left, right = [], []
-        for a, b, order, keys, direct in self.blocks:
-            key = self._block(prints, a, b)
-            first, past = (direct[key], direct[key + 1]) if direct is not None else (np.searchsorted(keys, key), np.searchsorted(keys, key, side="right"))
-            n = past - first
-            who = np.repeat(np.arange(len(prints)), n)
-            at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(who))
-            target = order[at]
-            ok = np.bitwise_count(prints[who] ^ self.prints_of[target]) <= self.radius
-            left.append(who[ok]), right.append(target[ok])
-        pairs = np.unique(np.concatenate(left) * np.int64(max(1, len(self.prints_of))) + np.concatenate(right))
-        return pairs // max(1, len(self.prints_of)), pairs % max(1, len(self.prints_of))
+    def _key(prints: np.ndarray, block: int) -> np.ndarray:
+        return ((prints >> np.uint64(block * BLOCK_BITS)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index of print, index of item window, distance) of all pairs within the radius."""
+        n = max(1, len(self.prints))
+        found = [np.zeros(0, dtype=np.int64)]
+        for b, (starts, target) in enumerate(self.blocks):
+            key = self._key(prints, b)
+            first, many = starts[key], starts[key + 1] - starts[key]
+            upto = np.cumsum(many)
+            low = 0
+            while low < len(prints):
+                done = int(upto[low - 1]) if low else 0
+                high = max(low + 1, int(np.searchsorted(upto, done + MAX_PAIRS, side="right")))
+                part = slice(low, high)
+                who = np.repeat(np.arange(low, min(high, len(prints))), many[part])
+                at = np.repeat(first[part] - (upto[part] - many[part] - done), many[part]) + np.arange(len(who))
+                other = target[at]
+                ok = np.bitwise_count(prints[who] ^ self.prints[other]) <= self.radius
+                found.append(who[ok] * n + other[ok])
+                low = high
+        pairs = np.unique(np.concatenate(found))
+        who, other = pairs // n, pairs % n
+        return who, other, np.bitwise_count(prints[who] ^ self.prints[other]).astype(np.int64) if len(pairs) else pairs
+
+
+class Index:
+    """Items as words, and their windows of every size in multi-indexes."""
+
+    def __init__(self, items: list[tuple[int, str]], windows: tuple = WINDOWS, fit: CyrillicFit | None = None):
+        words_of = {i: words(t) for i, t in items}
+        self.fit = fit or cyrillic_fit(w for ws in words_of.values() for w in ws)
+        self.skeletons = {i: [skeleton(w) for w in ws] for i, ws in words_of.items()}
+        signs, self.scales = Signs(), []
+        for size, radius in windows:
+            prints, item, place = [], [], []
+            for i, ws in self.skeletons.items():
+                fp = signs.prints(signs.ids_of(ws), size)
+                prints.append(fp), item.append(np.full(len(fp), i)), place.append(np.arange(len(fp)))
+            self.scales.append(Scale(size, radius, *(np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((prints, np.uint64), (item, np.int64), (place, np.int64)))))
+
+
+def cyrillic_fit(vocabulary: Iterable[str]) -> CyrillicFit | None:
+    """None without Cyrillic words: then there is nothing to restore, as marked Latin letters are left out."""
+    fit = CyrillicFit(vocabulary)
+    return fit if fit.vocabulary else None
+
+
+def similarity(a: list[str], b: list[str], size: int = SHINGLE) -> tuple[float, tuple[int, int] | None]:
+    """(weighted Jaccard similarity, places of the first shared shingle) of two windows by their shingles.
+
+    A shingle weighs its letters; one that stands several times counts as often as both windows hold it.
+    """
+    left = [tuple(a[k : k + size]) for k in range(len(a) - size + 1)]
+    right: dict[tuple, list[int]] = {}
+    whole = 0
+    for k in range(len(b) - size + 1):
+        s = tuple(b[k : k + size])
+        right.setdefault(s, []).append(k)
+        whole += sum(map(len, s))
+    shared, first, used = 0, None, Counter()
+    for k, s in enumerate(left):
+        weight = sum(map(len, s))
+        at = right.get(s, ())
+        if used[s] < len(at):
+            if first is None:
+                first = (k, at[used[s]])
+            used[s] += 1
+            shared += weight
+        else:
+            whole += weight
+    return shared / whole if whole else 0.0, first
 
 
 def _close(a: str, b: str) -> bool:
@@ -273,127 +366,202 @@ def _close(a: str, b: str) -> bool:
     return row[-1] <= most
 
 
-def passage(page: list[str], item: list[str], d: int, i: int, window: int = WINDOW) -> tuple[int, int, int]:
-    """(words of the item covered, first item word, first page word past it) of the passage through page[d], item[i].
+def _follow(p: list[str], q: list[str], x: int, y: int, known: dict[tuple[int, int], int]) -> int:
+    """Furthest item place reached from p[x], q[y], past the last word that agrees.
 
-    From the seed both ways: words must be the same up to damage; one exchanged word, a word split or run
-    together, or a detour through other print is stepped over where the item goes on behind it.
+    known: where walks from earlier places ended. A walk that meets one goes the same way, so each place is walked once.
     """
-
-    def forward(p: list[str], q: list[str], x: int, y: int) -> tuple[int, int]:
-        """Furthest (page, item) places reached; both past the last word that agrees."""
-        end = (x, y)
-        while x < len(p) and y < len(q):
-            if _close(p[x], q[y]):
-                x, y = x + 1, y + 1
-                end = (x, y)
-                continue
-            step = None
-            if x + 1 < len(p) and _close(p[x] + p[x + 1], q[y]):
-                step = (2, 1)
-            elif y + 1 < len(q) and _close(p[x], q[y] + q[y + 1]):
-                step = (1, 2)
-            elif x + 1 < len(p) and y + 1 < len(q) and _close(p[x + 1], q[y + 1]):
-                step = (1, 1)
-            elif x + 1 < len(p) and _close(p[x + 1], q[y]) and (y + 1 >= len(q) or x + 2 >= len(p) or _close(p[x + 2], q[y + 1])):
-                step = (1, 0)
-            elif y + 1 < len(q) and _close(p[x], q[y + 1]) and (x + 1 >= len(p) or y + 2 >= len(q) or _close(p[x + 1], q[y + 2])):
-                step = (0, 1)
-            elif x + 2 < len(p) and y + 2 < len(q) and _close(p[x + 2], q[y + 2]) and (x + 3 >= len(p) or y + 3 >= len(q) or _close(p[x + 3], q[y + 3])):
-                step = (2, 2)
-            if step:
-                x, y = x + step[0], y + step[1]
-                continue
-            if y + 2 >= len(q):
+    end, passed = y, []
+    while x < len(p) and y < len(q):
+        if _close(p[x], q[y]):
+            if (x, y) in known:
+                end = known[x, y]
                 break
-            for z in range(x + 1, min(x + DETOUR, len(p) - 2)):
-                if p[z] == q[y] and p[z + 1] == q[y + 1] and _close(p[z + 2], q[y + 2]):
-                    x = z
-                    break
-                if p[z] == q[y + 1] and p[z + 1] == q[y + 2] and y + 3 < len(q) and z + 2 < len(p) and _close(p[z + 2], q[y + 3]):
-                    x, y = z, y + 1
-                    break
-            else:
+            passed.append((x, y))
+            x, y = x + 1, y + 1
+            end = y
+            continue
+        step = None
+        if x + 1 < len(p) and _close(p[x] + p[x + 1], q[y]):
+            step = (2, 1)
+        elif y + 1 < len(q) and _close(p[x], q[y] + q[y + 1]):
+            step = (1, 2)
+        elif x + 1 < len(p) and y + 1 < len(q) and _close(p[x + 1], q[y + 1]):
+            step = (1, 1)
+        elif x + 1 < len(p) and _close(p[x + 1], q[y]) and (y + 1 >= len(q) or x + 2 >= len(p) or _close(p[x + 2], q[y + 1])):
+            step = (1, 0)
+        elif y + 1 < len(q) and _close(p[x], q[y + 1]) and (x + 1 >= len(p) or y + 2 >= len(q) or _close(p[x + 1], q[y + 2])):
+            step = (0, 1)
+        elif x + 2 < len(p) and y + 2 < len(q) and _close(p[x + 2], q[y + 2]) and (x + 3 >= len(p) or y + 3 >= len(q) or _close(p[x + 3], q[y + 3])):
+            step = (2, 2)
+        if step:
+            x, y = x + step[0], y + step[1]
+            continue
+        if y + 2 >= len(q):
+            break
+        for z in range(x + 1, min(x + DETOUR, len(p) - 2)):
+            if p[z] == q[y] and p[z + 1] == q[y + 1] and _close(p[z + 2], q[y + 2]):
+                x = z
                 break
-        return end
-
-    right = forward(page, item, d, i)
-    back = forward(page[:d][::-1], item[:i][::-1], 0, 0)
-    first = i - back[1]
-    return right[1] - first, first, right[0]
-
-
-def _find(index: Index, pages: list[list[str]], least: int) -> list[list[tuple[int, int]]]:
-    """For each page the (item, words covered) with at least ``least`` words in order."""
-    ids, owner, starts = [], [], []
-    skeletons = []
-    memo: dict[str, str] = {}
-    n = 0
-    for k, ws in enumerate(pages):
-        sk = []
-        for w in ws:
-            s = memo.get(w)
-            if s is None:
-                s = memo[w] = skeleton(w)
-            sk.append(s)
-        skeletons.append(sk)
-        starts.append(n)
-        ids.append(np.array([index.vocabulary.get(s, 0) for s in sk] + [0] * index.window, dtype=np.int64))
-        n += len(ids[-1])
-    out: list[list[tuple[int, int]]] = [[] for _ in pages]
-    if not pages:
-        return out
-    flat, start = np.concatenate(ids), np.array(starts)
-    prints, at = index.prints(flat)
-    who, window = index.near(prints)
-    place = at[who]
-    page = np.searchsorted(start, place, side="right") - 1
-    seen: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for k, d, w in zip(page.tolist(), (place - start[page]).tolist(), window.tolist()):
-        seen.setdefault((k, int(index.item[w])), []).append((d, int(index.place[w])))
-    for (k, item), seeds in seen.items():
-        best, spans = 0, []
-        for d, i in seeds:
-            # a seed inside a passage already followed on the same line of words adds nothing
-            if any(a <= i < b and abs((d - i) - off) <= 2 for a, b, off in spans):
-                continue
-            covered, first, _ = passage(skeletons[k], index.skeletons[item], d, i)
-            spans.append((first, first + covered, d - i))
-            best = max(best, covered)
-            if best >= least:
+            if p[z] == q[y + 1] and p[z + 1] == q[y + 2] and y + 3 < len(q) and z + 2 < len(p) and _close(p[z + 2], q[y + 3]):
+                x, y = z, y + 1
                 break
-        if best >= least:
-            out[k].append((item, best))
+        else:
+            break
+    known.update(dict.fromkeys(passed, end))
+    return end
+
+
+class Passages:
+    """Passages of one item on one page."""
+
+    def __init__(self, page: list[str], back: list[str], item: list[str]):
+        self.page, self.back, self.item, self.item_back = page, back, item, item[::-1]
+        self.longest, self.ahead, self.behind = 0, {}, {}
+
+    def add(self, d: int, i: int, size: int) -> None:
+        """Follows the passage through the windows at page[d] and item[i], if their shingles are similar enough.
+
+        From a shared shingle both ways: words must be the same up to damage; one exchanged word, a word split or run
+        together, or a detour through other print is stepped over where the item goes on behind it. Places on a
+        passage followed before need no further check of similarity.
+        """
+        on = next((k for k in (0, size // 2, size - 1) if (d + k, i + k) in self.ahead), None)
+        if on is not None:
+            at = (on, on)
+        else:
+            alike, at = similarity(self.page[d : d + size], self.item[i : i + size])
+            if at is None or alike < LEAST_SIMILAR:
+                return
+        d, i = d + at[0], i + at[1]
+        past = _follow(self.page, self.item, d, i, self.ahead)
+        first = len(self.item) - _follow(self.back, self.item_back, len(self.page) - 1 - d, len(self.item) - 1 - i, self.behind)
+        self.longest = max(self.longest, past - first)
+
+
+def find_passages(index: Index, signs: Signs, pages: list[list[str]], least: int) -> list[list[tuple[int, int]]]:
+    """For each page the (item, words of its longest passage) with at least ``least`` words in order."""
+    out: list[list[tuple[int, int]]] = [[] for _ in pages]
+    known: dict[str, str] = {}
+    skeletons = [[known[w] if w in known else known.setdefault(w, skeleton(w)) for w in ws] for ws in pages]
+    starts = np.cumsum([0] + [len(s) for s in skeletons])
+    ids = signs.ids_of([s for page in skeletons for s in page])
+    owner = np.repeat(np.arange(len(pages)), np.diff(starts))
+    seeds: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+    for scale in index.scales:
+        for at in range(0, len(ids) - scale.size + 1, STEP):
+            prints = signs.prints(ids[at : at + STEP + scale.size - 1], scale.size)
+            who, window, far = scale.near(prints)
+            who = who + at
+            whole = owner[who] == owner[who + scale.size - 1]  # a window lies on one page
+            for w, i, d, f in zip(who[whole].tolist(), scale.item[window[whole]].tolist(), scale.place[window[whole]].tolist(), far[whole].tolist()):
+                seeds.setdefault((int(owner[w]), i), []).append((-scale.size, f, w - int(starts[owner[w]]), d))
+    back: dict[int, list[str]] = {}
+    for (k, item), some in seeds.items():
+        if k not in back:
+            back[k] = skeletons[k][::-1]
+        found = Passages(skeletons[k], back[k], index.skeletons[item])
+        for size, _, d, i in sorted(some):
+            found.add(d, i, -size)
+        if found.longest >= least:
+            out[k].append((item, found.longest))
     return out
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, radius: int = RADIUS, least: int = PASSAGE, max_windows: int = MAX_WINDOWS) -> DataFrame:
+_FOUND = "doc_id bigint, item_id bigint, n_words int"
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["doc_id", "item_id", "n_words"])
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, windows: tuple = WINDOWS, least: int = PASSAGE, max_words: int = MAX_WORDS) -> DataFrame:
     """(doc_id, item_id, n_words) for each page that holds at least ``least`` words of an item in its order.
 
-    n_words is the length of the passage followed first that is long enough. NULL and empty texts hold nothing;
-    items shorter than ``least`` words can't leak. Each page is judged alone: repeated pages give repeated rows.
-    Items are indexed in blocks of at most ``max_windows`` windows, which bounds what is broadcast; more blocks
-    mean more passes over the pages.
+    n_words is the length of the longest passage. NULL and empty texts hold nothing; items shorter than ``least``
+    words can't leak. Each page is judged alone: repeated pages give repeated rows. Words of every script count.
+    Items of up to ``max_words`` words go to every task as an index; beyond, page and item windows meet in one join
+    on the multi-index keys, with the same result. Only the distinct Cyrillic words of the items go to every task
+    in both ways, for lines garbled by a wrong Cyrillic codec.
     """
-    spark = documents.sparkSession
-    n = items.where("text IS NOT NULL").agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
-    parts = max(1, -(-int(n) * 2 // max_windows)) if n > max_windows else 1
+    known = items.where("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
+    n = known.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
     boxes = F.col("line_boxes.x0") if "line_boxes" in documents.columns else F.lit(None).cast("array<int>")
-    rows = documents.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), boxes.cast("array<int>").alias("x0"))
-    found = None
-    for p in range(parts):
-        some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p).where("text IS NOT NULL").select("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(Index(sorted((r[0], r[1]) for r in some), window, radius))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for whole in batches:
-                for at in range(0, whole.num_rows, 250):
-                    b = whole.slice(at, 250)
-                    pages = [page_words(t, x, index.fit) for t, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-                    got = [(d, i, c) for d, hits in zip(b.column(0).to_pylist(), _find(index, pages, least)) for i, c in hits]
-                    yield pa.record_batch([pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["doc_id", "item_id", "n_words"])
-
-        one = rows.mapInArrow(run, "doc_id bigint, item_id bigint, n_words int")
-        found = one if found is None else found.unionByName(one)
-    return found
+    rows = documents.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), boxes.cast("array<int>").alias("x0"))
+    if n > max_words:
+        return _joined(rows, known, windows, least)
+    shared = documents.sparkSession.sparkContext.broadcast(Index(sorted((r[0], r[1]) for r in known.collect()), windows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, signs = shared.value, Signs()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 250):
+                b = whole.slice(at, 250)
+                pages = [page_words(t, x, index.fit) for t, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+                yield _batch([(d, i, c) for d, hits in zip(b.column(0).to_pylist(), find_passages(index, signs, pages, least)) for i, c in hits])
+
+    return rows.mapInArrow(run, _FOUND)
+
+
+def _windows_of(windows: tuple, fit) -> Callable:
+    """(id, size, print) of the distinct windows of each text; fit: None for items, which are clean."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signs = Signs()
+        for b in batches:
+            for key, text, x0 in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                ids = signs.ids_of([skeleton(w) for w in (page_words(text, x0, fit.value) if fit else words(text))])
+                for size, _ in windows:
+                    for at in range(0, len(ids) - size + 1, STEP):
+                        fp = np.unique(signs.prints(ids[at : at + STEP + size - 1], size))
+                        yield pa.record_batch([pa.array(np.full(len(fp), key)), pa.array(np.full(len(fp), size, dtype=np.int32)), pa.array(fp.view(np.int64))], names=["id", "size", "print"])
+
+    return run
+
+
+def _block_keys(prints: DataFrame, masks: Column) -> DataFrame:
+    """Adds (block, key): the bits of each block, and with masks other than 0 their neighbours too."""
+    blocks = prints.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    key = F.expr(f"shiftrightunsigned(print, block * {BLOCK_BITS}) & {(1 << BLOCK_BITS) - 1}")
+    return blocks.withColumn("key", F.explode(F.transform(masks, lambda m: key.bitwiseXOR(m))))
+
+
+def _joined(pages: DataFrame, items: DataFrame, windows: tuple, least: int) -> DataFrame:
+    """The same for lists too long to index in one task: windows meet by block key, then texts by what met.
+
+    Pages of one text and one layout are compared once, as are fingerprints that stand on many pages.
+    """
+    sc = pages.sparkSession.sparkContext
+    cyrillic = items.where(F.col("text").rlike("[А-Яа-яЁё]"))
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([pa.array(sorted({w for t in b.column(0).to_pylist() for w in words(t) if _CYR.search(w)}), pa.string())], names=["word"])
+
+    fit = sc.broadcast(cyrillic_fit(r[0] for r in cyrillic.select("text").mapInArrow(spelled, "word string").distinct().toLocalIterator()))
+    keyed = pages.withColumn("page", F.xxhash64("text", "x0"))
+    texts = cut(keyed.groupBy("page").agg(F.first("text").alias("text"), F.first("x0").alias("x0")))
+    kind = "id bigint, size int, print bigint"
+    here = cut(texts.select("page", "text", "x0").mapInArrow(_windows_of(windows, fit), kind))
+    there = items.select("item_id", "text", F.lit(None).cast("array<int>").alias("x0")).mapInArrow(_windows_of(windows, None), kind)
+    radius = F.coalesce(*[F.when(F.col("size") == size, F.lit(r)) for size, r in windows])
+    masks = F.coalesce(*[F.when(F.col("size") == size, F.array(*[F.lit(int(m)).cast("bigint") for m in near_masks(r)])) for size, r in windows])
+    probes = _block_keys(here.select("size", "print").distinct(), F.array(F.lit(0).cast("bigint")))
+    entries = _block_keys(there.select("size", "print").distinct(), masks).withColumnRenamed("print", "of_item")
+    met = probes.join(entries, ["size", "block", "key"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("of_item"))) <= radius).select("size", "print", "of_item").distinct()
+    with_items = met.join(there.select("size", F.col("print").alias("of_item"), F.col("id").alias("item_id")), ["size", "of_item"]).select("size", "print", "item_id").distinct()
+    pairs = here.join(with_items, ["size", "print"]).select(F.col("id").alias("page"), "item_id").distinct()
+    both = pairs.join(texts, "page").join(items.withColumnRenamed("text", "item_text"), "item_id").select("page", "item_id", "text", "x0", "item_text")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signs = Signs()
+        for b in batches:
+            found = []
+            for page, item, text, x0, item_text in zip(*(c.to_pylist() for c in b.columns)):
+                index = Index([(item, item_text)], windows, fit.value)
+                for hits in find_passages(index, signs, [page_words(text, x0, fit.value)], least):
+                    found += [(page, item, n) for _, n in hits]
+            yield _batch(found)
+
+    found = both.mapInArrow(check, _FOUND).withColumnRenamed("doc_id", "page")
+    return keyed.select("doc_id", "page").join(found, "page").select("doc_id", "item_id", "n_words")

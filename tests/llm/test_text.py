@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,19 +97,41 @@ def encode_known(text, c):
     return mojibake.decode(mojibake.encode(text, first, "ignore"), first)
 
 
-def test_multi_index_finds_all_pairs_within_the_radius():
+@pytest.mark.parametrize("at", [0, 1])
+def test_multi_index_finds_all_pairs_within_the_radius(at):
     r = random.Random(5)
     items = [(i, " ".join(r.choices(VOC["en"], k=40))) for i in range(30)]
-    ix = leak.Index(items, radius=3)
-    import numpy as np
-
-    probes = ix.prints_of[:200].copy()
+    scale = leak.Index(items).scales[at]
+    probes = scale.prints[:300].copy()
     for n in range(len(probes)):
-        for b in r.sample(range(64), r.randint(0, 5)):
+        for b in r.sample(range(64), r.randint(0, scale.radius + 3)):
             probes[n] ^= np.uint64(1 << b)
-    got = set(zip(*(x.tolist() for x in ix.near(probes))))
-    want = {(a, b) for a in range(len(probes)) for b in range(len(ix.prints_of)) if int(probes[a] ^ ix.prints_of[b]).bit_count() <= 3}
-    assert got == want
+    far = np.bitwise_count(probes[:, None] ^ scale.prints[None, :])
+    who, window, d = scale.near(probes)
+    assert set(zip(who.tolist(), window.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(far <= scale.radius))))
+    assert (far[who, window] == d).all()
+
+
+def test_fingerprints_are_signs_of_sums():
+    r = random.Random(3)
+    signs, ws = leak.Signs(), r.choices(VOC["de"], k=60)
+    ids = signs.ids_of(ws)
+    for size in (3, 5, 15, 31):
+        want = [[int(sum(signs.table[i][b] for i in ids[k : k + size]) > 0) for b in range(64)] for k in range(60 - size + 1)]
+        got = np.unpackbits(signs.prints(ids, size).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        assert got.tolist() == want
+
+
+def test_shingle_similarity():
+    a = "one two three four five".split()
+    assert leak.similarity(a, a) == (1.0, (0, 0)) and leak.similarity(a, a[::-1]) == (0.0, None)
+    alike, at = leak.similarity(["x", *a], a)
+    assert at == (1, 0) and alike == pytest.approx(31 / 35)
+    assert leak.similarity(["a"] * 4, ["a"] * 3)[0] == pytest.approx(2 / 3)
+
+
+def typeset(ws, per=6):
+    return "\n".join(" ".join(ws[i : i + per]) for i in range(0, len(ws), per))
 
 
 def leaks(spark, pages, items):
@@ -122,9 +145,6 @@ def test_planted_passages(spark):
     items = [(i, " ".join(words(60))) for i in range(20)] + [(90, None), (91, ""), (92, "too short")]
     item = items[3][1].split()
 
-    def typeset(ws, per=6):
-        return "\n".join(" ".join(ws[i : i + per]) for i in range(0, len(ws), per))
-
     part = item[10:32]
     exchanged = part[:9] + ["zzzzz"] + part[10:]
     damaged = [w.replace("e", "c") if i % 3 == 0 else w for i, w in enumerate(part)]
@@ -146,13 +166,85 @@ def test_planted_passages(spark):
     assert leaks(spark, [], items) == [] and leaks(spark, pages, []) == []
 
 
-def test_item_blocks_give_the_same(spark):
+def brute_leaks(pages, items, least=15):
+    """Longest run of an item's words on a page, words alike up to damage, one exchanged word stepped over; quadratic."""
+    out = []
+    for d, text, _ in pages:
+        page = [leak.skeleton(w) for w in leak.words(text or "")]
+        for i, t in items:
+            item = [leak.skeleton(w) for w in leak.words(t or "")]
+            best, before = 0, {}
+            for x, p in enumerate(page):
+                now = {}
+                for y, q in enumerate(item):
+                    n, gap = before.get(y - 1, (0, 1))
+                    if leak._close(p, q):
+                        now[y] = (n + 1, 0)
+                        best = max(best, n + 1)
+                    elif n and not gap:
+                        now[y] = (n + 1, 1)
+                before = now
+            if best >= least:
+                out.append((d, i))
+    return sorted(out)
+
+
+def test_recall_against_brute_force(spark):
+    r = random.Random(21)
+    items = [(i, " ".join(r.choices(VOC["de"], k=60))) for i in range(12)]
+    pages = []
+    for d in range(45):
+        ws = r.choices(VOC["de"], k=150)
+        item, n = items[d % 12][1].split(), r.randint(9, 30)
+        part = item[(a := r.randint(0, 30)) : a + n]
+        if d % 3 == 0 and n > 4:
+            part[n // 2] = r.choice(VOC["en"])
+        if d % 4 == 0:
+            part = [w.replace("e", "c") if k % 4 == 0 else w for k, w in enumerate(part)]
+        pages.append((d, typeset(ws[:70] + part + ws[70:]), None))
+    want, got = brute_leaks(pages, items), leaks(spark, pages, items)
+    assert len(want) > 20 and len(set(want) & set(got)) >= 0.95 * len(want) and len(set(got) - set(want)) <= 1
+
+
+def test_long_lists_are_joined_with_the_same_result(spark):
     r = random.Random(8)
-    items = spark.createDataFrame([(i, " ".join(r.choices(VOC["en"], k=40))) for i in range(30)], "item_id long, text string")
-    docs = items.select((F.col("item_id") + 100).alias("doc_id"), "text")
-    a = sorted(map(tuple, leak.find_leaks(docs, items).select("doc_id", "item_id").collect()))
-    b = sorted(map(tuple, leak.find_leaks(docs, items, max_windows=300).select("doc_id", "item_id").collect()))
-    assert a == b == [(i + 100, i) for i in range(30)]
+    langs = ["en", "de", "ru"]
+    items = spark.createDataFrame([(i, " ".join(r.choices(VOC[langs[i % 3]], k=40))) for i in range(30)] + [(90, None), (91, "")], "item_id long, text string")
+    pages = [(100 + i, typeset(r.choices(VOC["en"], k=30) + t.split()[3 : 10 + i] + r.choices(VOC["fr"], k=30))) for i, t in items.where("length(text) > 0").collect()]
+    pages += [pages[20], (131, pages[20][1]), (132, None), (133, ""), (134, chain(("utf_8", "cp1251")).garble(pages[29][1], "ignore"))]
+    docs = spark.createDataFrame(pages, "doc_id long, text string")
+    a = sorted(map(tuple, leak.find_leaks(docs, items).collect()))
+    b = sorted(map(tuple, leak.find_leaks(docs, items, max_words=100).collect()))
+    assert a == b and len(a) > 20 and a.count(a[-3]) >= 1
+    assert leak.find_leaks(docs.limit(0), items, max_words=100).count() == 0
+
+
+@pytest.mark.parametrize("alphabet", ["αβγδεζηθικλμνξοπρστυφχψω", "אבגדהוזחטיכלמנסעפצקרשת", "աբգդեզէըթժիլխծկհձղճմ", "가나다라마바사아자차카타파하"])
+def test_items_of_other_scripts(spark, alphabet):
+    r = random.Random(alphabet)
+    voc = ["".join(r.choices(alphabet, k=r.randint(3, 8))) for _ in range(400)]
+    items = [(i, " ".join(r.choices(voc, k=40))) for i in range(5)]
+    part = items[2][1].split()
+    pages = [(1, typeset(r.choices(VOC["en"], k=50) + part[5:25] + r.choices(voc, k=50)), None), (2, typeset(part[:11]), None), (3, typeset(r.choices(voc, k=100)), None)]
+    assert leaks(spark, pages, items) == [(1, 2)]
+
+
+def test_words_of_every_kind():
+    assert leak.words("Größe m\u03a3dchen 1945 w0rd \u65e5\u672c \u03bb\u03cc\u03b3\u03bf\u03c2 слово") == ["gre", "mdchen", "lgas", "word", "\u65e5", "\u672c", "\u03bb\u03cc\u03b3\u03bf\u03c2", "слово"]
+
+
+def test_the_longest_passage_counts(spark):
+    r = random.Random(31)
+    item = r.choices(VOC["en"], k=80)
+    page = r.choices(VOC["de"], k=100) + item[:16] + r.choices(VOC["de"], k=100) + item[20:70] + r.choices(VOC["de"], k=100)
+    docs, items = spark.createDataFrame([(1, typeset(page))], "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert 48 <= leak.find_leaks(docs, items).first()["n_words"] <= 52
+
+
+def test_one_page_of_very_many_copies(spark):
+    item = random.Random(32).choices(VOC["en"], k=40)
+    docs, items = spark.createDataFrame([(1, typeset(item * 500)), (2, "same " * 8_000)], "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item)), (2, "same " * 40)], "item_id long, text string")
+    assert sorted(tuple(r)[:2] for r in leak.find_leaks(docs, items).collect()) == [(1, 1), (2, 2)]
 
 
 def test_mix_matches_sorting_by_hash(spark):
@@ -192,10 +284,6 @@ def test_thresholds_nest(spark):
     assert took[0] < took[1] < took[2]
 
 
-def typeset(ws, per=6):
-    return "\n".join(" ".join(ws[i : i + per]) for i in range(0, len(ws), per))
-
-
 def test_short_russian_passage_on_a_latin_page(spark):
     r = random.Random(12)
     items = [(i, " ".join(r.choices(VOC["ru"], k=50))) for i in range(12)] + [(50 + i, " ".join(r.choices(VOC["de"], k=50))) for i in range(12)]
