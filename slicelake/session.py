@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +56,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of its own for files of this run, in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def run_table(df: DataFrame) -> DataFrame:
+    """``df`` written as a Parquet table of this run, and read back."""
+    path = run_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most`` rows, counted; else as it is, for Spark to shuffle and split.
 
