@@ -35,7 +35,8 @@ class EliasFano:
     """A sorted set of distinct integers below 2**universe_bits.
 
     High bits stand in unary (a one for each value, a zero ending each bucket), low bits are packed: about
-    2 + log2(universe / n) bits a value. A count of zeros before each 64-bit word serves the select.
+    2 + log2(universe / n) bits a value, and another 2 to 3 for the counts of zeros before each 64-bit word that
+    serve the select (not stored, made anew by ``from_words``).
     """
 
     def __init__(self, values: np.ndarray, universe_bits: int):
@@ -49,6 +50,19 @@ class EliasFano:
         ones = high + np.arange(n, dtype=np.int64)
         self.high = np.zeros((n + self.buckets + 63) // 64, dtype=_U)
         np.bitwise_or.at(self.high, ones >> 6, _U(1) << (ones & 63).astype(_U))
+        self._count_zeros()
+
+    @classmethod
+    def from_words(cls, n: int, universe_bits: int, low: bytes, high: bytes) -> EliasFano:
+        """The set whose packed words were stored."""
+        out = cls(np.zeros(0, dtype=_U), universe_bits)
+        out.n, out.low_bits = n, max(0, universe_bits - max(1, int(n).bit_length()))
+        out.buckets = 1 << (universe_bits - out.low_bits)
+        out.low, out.high = np.frombuffer(low, dtype=_U), np.frombuffer(high, dtype=_U)
+        out._count_zeros()
+        return out
+
+    def _count_zeros(self) -> None:
         zeros = 64 - np.bitwise_count(self.high).astype(np.int64)
         self.zeros_before = np.concatenate([[0], np.cumsum(zeros)]).astype(np.int64)
 
@@ -123,6 +137,10 @@ class SeenSet:
             sorted_new = np.sort(np.concatenate([self.runs.pop().decode(), sorted_new]), kind="stable")
         self.runs.append(EliasFano(sorted_new, self.universe_bits))
 
+    def values(self) -> np.ndarray:
+        """All values, sorted."""
+        return np.sort(np.concatenate([np.zeros(0, dtype=_U), *(r.decode() for r in self.runs)]), kind="stable")
+
     @property
     def bits(self) -> int:
         return sum(r.bits for r in self.runs)

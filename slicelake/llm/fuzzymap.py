@@ -7,11 +7,16 @@ import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Largest list that is sent to every task at once; a longer list is searched block by block.
+from slicelake.session import cut
+
+#: Most entries and aliases that are sent to every task as one trie; a longer list's trie is divided.
 MAX_BLOCK = 50_000
+#: Most branches of a divided trie's top, which goes to every task; tasks that a branch's values are spread over.
+MAX_TOP, SPREAD = 50_000, 4
 #: Most answers a Python worker keeps for repeated values.
 MAX_CACHED = 500_000
 
@@ -24,13 +29,16 @@ class Trie:
     def __init__(self, entries: Iterable[str], aliases: Iterable[tuple[str, str]] = ()):
         self.root: dict = {}
         for path, entry in [(e, e) for e in entries] + list(aliases):
-            node = self.root
-            for c in path:
-                node = node.setdefault(c, {})
-            node.setdefault("", set()).add(entry)
+            self.add(path, entry)
 
-    def within(self, word: str, limit: int) -> dict[str, int]:
-        """Every entry within ``limit`` single-letter changes of ``word``, with its distance.
+    def add(self, path: str, entry: str) -> None:
+        node = self.root
+        for c in path:
+            node = node.setdefault(c, {})
+        node.setdefault("", set()).add(entry)
+
+    def _walk(self, word: str, limit: int):
+        """(node, changes with which the whole word is consumed there) of every node that an automaton reaches alive.
 
         The automaton for ``word`` is kept as bit sets: bit i of states[d] says that i letters of the word are
         consumed with d changes. One step per trie edge; a subtree is left as soon as no state is alive.
@@ -44,17 +52,12 @@ class Trie:
         for _ in range(limit + 1):
             start.append(grown & full)
             grown |= grown << 1
-        found: dict[str, int] = {}
         stack = [(self.root, tuple(start))]
         while stack:
             node, states = stack.pop()
+            yield node, next((d for d, s in enumerate(states) if s & final), None)
             for c, child in node.items():
                 if c == "":
-                    d = next((d for d, s in enumerate(states) if s & final), None)
-                    if d is not None:
-                        for e in child:
-                            if d < found.get(e, limit + 1):
-                                found[e] = d
                     continue
                 m = at.get(c, 0)
                 nxt, before = [], 0
@@ -66,8 +69,21 @@ class Trie:
                     nxt.append(before)
                 if any(nxt):
                     stack.append((child, tuple(nxt)))
+
+    def within(self, word: str, limit: int) -> dict[str, int]:
+        """Every entry within ``limit`` single-letter changes of ``word``, with its distance."""
+        found: dict[str, int] = {}
+        for node, d in self._walk(word, limit):
+            if d is not None:
+                for e in node.get("", ()):
+                    if d < found.get(e, limit + 1):
+                        found[e] = d
         return found
 
+    def branches(self, word: str, limit: int) -> list[str]:
+        """The marks on all nodes the automaton reaches alive: what of a divided trie may hold an entry within the limit."""
+        return sorted({e for node, _ in self._walk(word, limit) for e in node.get("", ())})
+
 
 def at_most_two(length: int) -> int:
     """Two changes whatever the length."""
@@ -106,61 +122,100 @@ def barcode_letters(value: str) -> str:
     return kept or "".join(_TOKEN.findall(s))
 
 
-def _search(blob: str, entries: list[str], aliases: list[tuple[str, str]], letters: Callable[[str], str], limit: Callable[[int], int], kept: tuple[str, ...] = ("source_table", "row_id")):
-    cache: dict = {}
+_NEAR = "array<struct<distance: int, entry: string>>"
+
 
-    def one(value: str, trie: Trie) -> tuple[int, list[str]]:
-        word = letters(value)
-        near = trie.within(word, limit(len(word)))
-        least = min(near.values(), default=-1)
-        return least, sorted(e for e, d in near.items() if d == least)[:2]
+def _near(trie: Trie, word: str, limit: int) -> list[tuple[int, str]]:
+    return sorted((d, e) for e, d in trie.within(word, limit).items())
 
+
+def _search(shared: Broadcast, letters: Callable[[str], str], limit: Callable[[int], int]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie = cache.get("trie")
-        if trie is None:
-            trie = cache["trie"] = Trie(entries, aliases)
-        known = cache.setdefault("known", {})
+        trie, known = shared.value, {}
         for f in frames:
             for v in f["value"].unique():
                 if v not in known:
                     if len(known) >= MAX_CACHED:
                         known.clear()
-                    known[v] = one(v, trie)
-            got = [known[v] for v in f["value"]]
-            yield pd.DataFrame({c: f[c] for c in kept} | {"distance": [g[0] for g in got], "nearest": [g[1] for g in got]})
+                    word = letters(v)
+                    known[v] = [{"distance": d, "entry": e} for d, e in _near(trie, word, limit(len(word)))]
+            yield f.assign(near=[known[v] for v in f["value"]])
 
     return run
 
 
+def candidates(values: DataFrame, reference: DataFrame, entry_col: str, aliases: DataFrame | None = None, letters: Callable[[str], str] = barcode_letters, limit: Callable[[int], int] = by_length, max_block: int = MAX_BLOCK) -> DataFrame:
+    """The columns of ``values`` (any, with value) and near: all entries within ``limit(length)`` changes, nearest first.
+
+    near is an array of (distance, entry). NULL values are left out; an empty list of entries or a value that none is
+    near gives an empty array. Repeated rows give repeated results. aliases: (alias, entry) further spellings; an entry
+    counts with its nearest spelling.
+
+    Up to ``max_block`` entries and aliases go to every task as one trie. A longer list's trie is divided at a prefix
+    length: its top goes to every task and tells which branches a value's automaton reaches alive; values and branches
+    then meet in one shuffle, where a task holds one branch at a time.
+    """
+    paths = reference.select(F.col(entry_col).alias("path"), F.col(entry_col).alias("entry")).where("path IS NOT NULL AND path <> ''")
+    if aliases is not None:
+        paths = paths.unionByName(aliases.select(F.col("alias").alias("path"), "entry").where("path <> '' AND entry IS NOT NULL"))
+    known, paths = values.where("value IS NOT NULL"), paths.distinct()
+    block = [(r[0], r[1]) for r in paths.limit(max_block + 1).collect()]
+    sc = values.sparkSession.sparkContext
+    kinds = {f.name: f.dataType.simpleString() for f in known.schema.fields}
+    if len(block) <= max_block:
+        shared = sc.broadcast(Trie([], sorted(block)))
+        return known.mapInPandas(_search(shared, letters, limit), ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + f", near {_NEAR}")
+    answers = _divided(known.select("value").distinct(), paths, letters, limit, max_block)
+    return known.join(answers, "value", "left").withColumn("near", F.coalesce("near", F.array().cast(_NEAR))).select(*known.columns, "near")
+
+
+def _divided(values: DataFrame, paths: DataFrame, letters: Callable[[str], str], limit: Callable[[int], int], max_block: int) -> DataFrame:
+    """(value, near) of distinct values: for lists whose trie is too large for one task."""
+    paths = cut(paths)
+    for size in range(8, -1, -1):  # the longest prefixes of which there are few enough
+        sizes = paths.groupBy(F.left("path", F.lit(size)).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+        top = [(r[0], r[1]) for r in sizes.limit(MAX_TOP + 1).collect()]
+        if len(top) <= MAX_TOP:
+            break
+    # a prefix of very many entries is several branches, all of which its values visit
+    shared = values.sparkSession.sparkContext.broadcast(Trie([], [(p, f"{k}/{p}") for p, n in top for k in range(-(-n // max_block))]))
+
+    def visits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = [(b, v, w) for v in f["value"] for w in (letters(v),) for b in shared.value.branches(w, limit(len(w)))]
+            yield pd.DataFrame(out, columns=["branch", "value", "path"])
+
+    asked = values.mapInPandas(visits, "branch string, value string, path string").withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SPREAD)).cast("int"))
+    many = F.broadcast(sizes.select("prefix", F.ceil(F.col("n") / max_block).alias("many")))  # at most MAX_TOP rows
+    held = paths.withColumn("prefix", F.left("path", F.lit(size))).join(many, "prefix")
+    held = held.select(F.concat_ws("/", F.pmod(F.xxhash64("path", "entry"), "many"), "prefix").alias("branch"), F.lit(None).cast("string").alias("value"), "path", "entry", F.explode(F.array(*[F.lit(k) for k in range(SPREAD)])).alias("salt"))
+    both = held.unionByName(asked.withColumn("entry", F.lit(None).cast("string"))).repartition("branch", "salt").sortWithinPartitions("branch", "salt", F.col("entry").isNull())
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, trie = None, Trie([])
+        for f in frames:
+            out = []
+            for branch, salt, value, path, entry in zip(f["branch"], f["salt"], f["value"], f["path"], f["entry"]):
+                if (branch, salt) != here:
+                    here, trie = (branch, salt), Trie([])
+                if value is None:
+                    trie.add(path, entry)
+                else:
+                    out += [(value, d, e) for d, e in _near(trie, path, limit(len(path)))]
+            yield pd.DataFrame(out, columns=["value", "distance", "entry"])
+
+    found = both.mapInPandas(search, "value string, distance int, entry string").groupBy("value", "entry").agg(F.min("distance").alias("distance"))
+    return found.groupBy("value").agg(F.sort_array(F.collect_list(F.struct("distance", "entry"))).alias("near"))
+
+
 def nearest_entries(values: DataFrame, reference: DataFrame, entry_col: str, aliases: DataFrame | None = None, letters: Callable[[str], str] = barcode_letters, limit: Callable[[int], int] = at_most_two, max_block: int = MAX_BLOCK) -> DataFrame:
     """(source_table, row_id, entry) for every row of ``values`` (source_table, row_id, value).
 
-    entry is the only entry within the fewest changes, at most ``limit(length)``; UNMATCHED if none is that near
-    or several are equally near. NULL values are left out; an empty text is UNMATCHED, and so is everything when
-    the list is empty. Repeated rows give repeated results. aliases: (alias, entry) further spellings.
-
-    The list is read to the driver in blocks of at most ``max_block`` entries and aliases, so what is broadcast is
-    bounded whatever the list's length; with several blocks the best entries are merged per distinct value.
+    entry is the only one of the ``candidates`` with the fewest changes; UNMATCHED if there is none or several are
+    equally near. NULL values are left out; an empty text is UNMATCHED, and so is everything when the list is empty.
+    Repeated rows give repeated results.
     """
-    listed = reference.select(F.col(entry_col).alias("entry")).where("entry IS NOT NULL AND entry <> ''").distinct()
-    pairs = aliases.select("alias", "entry").where("alias <> ''") if aliases is not None else None
-    known = values.where("value IS NOT NULL")
-    block = [r[0] for r in listed.limit(max_block + 1).collect()]
-    more = [(r[0], r[1]) for r in pairs.limit(max_block + 1).collect()] if pairs is not None else []
-    if len(block) + len(more) <= max_block:
-        found = known.mapInPandas(_search("", sorted(block), more, letters, limit), "source_table string, row_id bigint, distance int, nearest array<string>")
-    else:
-        paths = listed.select(F.col("entry").alias("alias"), "entry")
-        paths = paths if pairs is None else paths.unionByName(pairs)
-        n = -(-paths.count() // max_block) * 2
-        distinct, searched = known.select("value").distinct(), None
-        for i in range(n):  # hash blocks of about half the bound; each is one more pass over the distinct values
-            part = sorted((r[0], r[1]) for r in paths.where(F.pmod(F.xxhash64("alias", "entry"), F.lit(n)) == i).collect())
-            one = distinct.mapInPandas(_search("", [], part, letters, limit, ("value",)), "value string, distance int, nearest array<string>")
-            searched = one if searched is None else searched.unionByName(one)
-        near = F.when(F.col("distance") >= 0, F.col("distance"))
-        best = searched.groupBy("value").agg(F.min(near).alias("distance"), F.collect_list(F.struct("distance", "nearest")).alias("all"))
-        hits = F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter("all", lambda x: x["distance"] == F.col("distance")), lambda x: x["nearest"]))))
-        answers = best.select("value", F.coalesce(hits, F.array().cast("array<string>")).alias("nearest"))
-        found = known.join(answers, "value")
-    return found.select("source_table", "row_id", F.when(F.size("nearest") == 1, F.get("nearest", F.lit(0))).otherwise(UNMATCHED).alias("entry"))
+    found = candidates(values.select("source_table", "row_id", "value"), reference, entry_col, aliases, letters, limit, max_block)
+    first, second = F.get("near", F.lit(0)), F.get("near", F.lit(1))
+    alone = first.isNotNull() & (second.isNull() | (second["distance"] > first["distance"]))
+    return found.select("source_table", "row_id", F.when(alone, first["entry"]).otherwise(UNMATCHED).alias("entry"))

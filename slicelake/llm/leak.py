@@ -34,7 +34,7 @@ BLOCKS, BLOCK_BITS = 4, 16
 #: window's five-word shingles but two of its fourteen pairs, and must not undo a case; so shingles are pairs here.
 SHINGLE, LEAST_SIMILAR = 2, 0.15
 #: Most item words whose index goes to every task; longer lists are joined by block keys instead.
-MAX_WORDS = 1_000_000
+MAX_WORDS = 200_000
 #: How many words of other print (an advert, a neighbouring column) one passage may run around; beyond, it is two passages.
 DETOUR = 80
 #: How many words on each side tell the script of a word that may be of either.

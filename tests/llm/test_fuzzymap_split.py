@@ -64,6 +64,26 @@ def test_unique_nearest_or_unmatched_in_one_block_or_many(spark):
     assert set(mapped(spark, ["ACGT"], [None]).values()) == {M.UNMATCHED}
 
 
+@pytest.mark.parametrize("most", [1000, 40, 7])
+def test_all_candidates_in_one_trie_or_a_divided_one(spark, most):
+    r = random.Random(6)
+    entries = ["pre" + "".join(r.choices("abc", k=r.randint(1, 9))) for _ in range(120)] + ["a", "ab"]
+    aliases = [("x" + e[:6], e) for e in entries[:20]]
+    words = ["".join(r.choices("abcxpre", k=r.randint(0, 12))) for _ in range(40)] + [e[:-1] + "c" for e in entries[:40]] + entries[:5] + ["", "pre" * 400]
+    want = {}
+    for w in words:
+        near = {}
+        for path, e in [(e, e) for e in entries] + aliases:
+            if abs(len(path) - len(w)) <= 3 and (d := lev(w, path)) <= M.by_length(len(w)):
+                near[e] = min(d, near.get(e, 9))
+        want[w] = sorted((d, e) for e, d in near.items())
+    df = spark.createDataFrame([(w, i) for i, w in enumerate(words + words[:3])] + [(None, -1)], "value string, extra int")
+    ref, also = spark.createDataFrame([(e,) for e in entries + [None, ""]], "e string"), spark.createDataFrame(aliases, "alias string, entry string")
+    got = M.candidates(df, ref, "e", also, letters=str, max_block=most).collect()
+    assert len(got) == len(words) + 3 and all([tuple(n) for n in g["near"]] == want[g["value"]] for g in got)
+    assert M.candidates(df.limit(0), ref, "e", max_block=most).count() == 0
+
+
 def slow_furthest(data, limit, k):
     """The rule read line by line."""
     n = len(data)
@@ -87,8 +107,8 @@ def slow_furthest(data, limit, k):
 
 @given(st.text("@+A\n", min_size=1, max_size=200), st.integers(1, 60), st.integers(0, 3))
 @settings(deadline=None, max_examples=300)
-def test_furthest_fit_matches_the_rule(text, limit, k):
-    assert P.furthest_fit(text.encode(), limit, k) == slow_furthest(text.encode(), limit, k)
+def test_exact_parameters_match_the_rule(text, limit, k):
+    assert P.content_defined(text.encode(), limit, k, **P.EXACT) == slow_furthest(text.encode(), limit, k)
 
 
 def fastq(n, seed=0):
@@ -107,6 +127,11 @@ def test_content_defined_pieces_cover_within_limit_and_are_local(overlap):
     edited = data[:10_000] + b"A" + data[10_000:]
     texts, after = {data[a:b] for a, b in pieces}, {edited[a:b] for a, b in P.content_defined(edited, 2000, overlap)}
     assert len(texts - after) <= 4 < len(texts)
+    if overlap:
+        starts = sorted(records)
+        assert all(sum(a <= r < b for r in starts) == overlap for (a, _), (_, b) in zip(pieces[1:], pieces))
+    # an overlap costs room only for its own records
+    assert len(pieces) < 2.2 * len(data) / 1000
     assert P.content_defined(b"", 10, 0) == [] and P.content_defined(b"x" * 95, 10, 0)[-1][1] == 95
 
 
@@ -114,10 +139,20 @@ def test_split_files_edges(spark):
     big = fastq(50).decode()
     rows = [(1, big, len(big), 500, 1), (2, None, 900, 5, 0), (3, "", 0, 5, 0), (4, big, len(big), 10**6, 0), (5, big, len(big), None, 0), (6, "ab\ncd", 5, 2, None), (7, big, len(big), 0, 1)]
     df = spark.createDataFrame(rows, "file_id long, content string, n_bytes long, size_limit int, overlap_records int")
-    got = [tuple(r) for r in P.split_files(df).orderBy("file_id", "chunk_start").collect()]
+    got = [tuple(r) for r in P.split_files(df, **P.EXACT).orderBy("file_id", "chunk_start").collect()]
     assert {g[0] for g in got} == {1, 6} and [g[1:] for g in got if g[0] == 6] == [(0, 2), (2, 3), (3, 5)]
     assert [g[1:] for g in got if g[0] == 1] == slow_furthest(big.encode(), 500, 1)
     assert P.split_files(df.limit(0)).count() == 0
+    report = P.piece_report(df, P.split_files(df)).collect()
+    assert {(r["file_id"], r["covered"], r["within_limit"], r["gaps"], r["progress"]) for r in report} == {(1, len(big), True, 0, True), (6, 5, True, 0, True)}
+
+
+@given(st.text("@+A\n", min_size=1, max_size=300), st.integers(1, 60), st.integers(0, 3), st.sampled_from(["first", "last"]), st.integers(1, 9))
+@settings(deadline=None, max_examples=200)
+def test_pieces_always_cover_and_move_on(text, limit, k, take, spacing):
+    pieces = P.content_defined(text.encode(), limit, k, spacing=spacing, take=take)
+    assert pieces[0][0] == 0 and pieces[-1][1] == len(text) and all(0 < b - a <= limit for a, b in pieces)
+    assert all(a < c <= b < d for (a, b), (c, d) in zip(pieces, pieces[1:]))
 
 
 def test_blocks_answer_each_row_by_its_own_value(spark):

@@ -76,3 +76,34 @@ def test_header_keys(spark):
     cases = {"@N:1:F:2:007:8:9 1:N": "2:7:8:9", "@N:1:F:2:7:8:9\r": "2:7:8:9", ":1:2:3:4": "1:2:3:4", "1:2:3:4": None, "@N:1:F:2:7:8:y9": None, "@N:1:F:2:7:: x": None, "": None, "a:0:00:000:0": "0:0:0:0", "@N:a b:1:2:3:4": None}
     df = spark.createDataFrame([(k, v) for k, v in cases.items()] + [(None, None)], "h string, want string")
     assert df.where(~seen.read_key(F.col("h")).eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_words_of_a_set_restore_it():
+    v = np.unique(np.random.default_rng(3).integers(0, 2**40, 3000, dtype=np.uint64))
+    for values in (v, v[:1], v[:0]):
+        ef = EliasFano(values, 40)
+        back = EliasFano.from_words(ef.n, 40, ef.low.tobytes(), ef.high.tobytes())
+        assert (back.decode() == values).all() and (back.successor(v)[1] == np.isin(v, values)).all()
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.none(), st.sampled_from("abcdefgh"), st.just("hot")), max_size=60), st.integers(0, 60), st.sampled_from([0, 3]))
+def test_stored_sets_answer_as_the_keys_would(spark, keys, cut_at, part_bits):
+    rows = [(i // 2, k) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "read_id long, k string")
+    earlier, later = df.where(F.col("read_id") < cut_at // 2), df.where(F.col("read_id") >= cut_at // 2)
+    kw = {"key": [F.col("k")], "part_bits": part_bits}
+    stored = seen.stored_sets(earlier, **kw)
+    got = sorted((r["read_id"], r["seen"]) for r in seen.seen_since(stored, later.repartition(3), "read_id", **kw).collect())
+    assert got == [x for x in brute(rows) if x[0] >= cut_at // 2]
+    merged = seen.merged_sets(stored, later, **kw)
+    assert sum(r["n"] for r in merged.collect()) == len({k for k in keys if k is not None})
+    assert {(r["part"], r["n"], bytes(r["low"]), bytes(r["high"])) for r in merged.collect()} == {(r["part"], r["n"], bytes(r["low"]), bytes(r["high"])) for r in seen.stored_sets(df, **kw).collect()}
+
+
+def test_large_partitions_are_stored_in_several_rows(spark, monkeypatch):
+    monkeypatch.setattr(seen, "MOST_STORED", 100)
+    keys = np.unique(np.random.default_rng(5).integers(0, 2**48, 1050, dtype=np.uint64))
+    rows = list(seen._rows_of(3, keys, 48).to_pylist())
+    assert [r["n"] for r in rows] == [100] * 10 + [50]
+    assert (np.concatenate([EliasFano.from_words(r["n"], 48, r["low"], r["high"]).decode() for r in rows]) == keys).all()
