@@ -52,8 +52,8 @@ def file_barcode(name: Column) -> Column:
 
 
 def file_barcode_any(name: Column) -> Column:
-    """A run of five or more of A C G T N between underscores, dots or ends."""
-    return _group(name, r"(?:^|[_.])([ACGTN]{5,})(?:[_.]|$)")
+    """A barcode of any length of A C G T N: at the name's start before an underscore, else between two underscores."""
+    return F.coalesce(_group(name, r"^([ACGTN]+)_"), _group(name, r"_([ACGTN]+)_"))
 
 
 def file_slice_id(name: Column) -> Column:
@@ -83,9 +83,13 @@ def ensembl_gene(header: Column) -> Column:
 
 
 def ncbi_gene(header: Column) -> Column:
-    """NCBI FASTA header without its isoform mark; where there was one, without the accession too."""
-    without = F.regexp_replace(header, r"\s*\bisoform\s+\S+", "")
-    return F.when(without != header, F.regexp_replace(without, r"^\S+\s+", "")).otherwise(header)
+    """NCBI FASTA header without its isoform mark; where there was one, without the accession too.
+
+    The mark is ``isoform`` with a run of digits, commas, blanks and capitals up to a blank; other words behind
+    ``isoform`` stay, and so does the accession.
+    """
+    without = F.regexp_replace(header, r"isoform [0-9, A-Z]+ ", "")
+    return F.when(without != header, F.regexp_replace(without, r"^\s*\S+\s+", "")).otherwise(header)
 
 
 def is_ncbi(header: Column) -> Column:

@@ -46,10 +46,14 @@ def unambiguous_variants(barcodes: DataFrame, max_hamming: int = 1) -> DataFrame
     return claimed.where("n = 1").select("barcode", "variant", "distance")
 
 
-def _lookup(table: DataFrame, barcodes: DataFrame, rows_per_barcode: int) -> DataFrame:
-    """The table marked for broadcast if the list is short enough for it; only barcodes are counted."""
-    most = MAX_BROADCAST // rows_per_barcode
-    return F.broadcast(table) if barcodes.limit(most + 1).count() <= most else table
+def _lookup(table: DataFrame, barcodes: DataFrame, max_hamming: int | None = None) -> DataFrame:
+    """The table marked for broadcast if it is small enough, by the length of its barcodes: only these are read.
+
+    A ball of one substitution has one row and four for each letter; None stands for the barcodes alone.
+    """
+    ball = F.lit(1.0) if max_hamming is None else F.pow(1.0 + 4.0 * F.length("barcode"), F.lit(float(max(1, max_hamming))))
+    rows = barcodes.limit(MAX_BROADCAST + 1).agg(F.coalesce(F.sum(ball), F.lit(0.0))).first()[0]
+    return F.broadcast(table) if rows <= MAX_BROADCAST else table
 
 
 def repair(reads: DataFrame, barcodes: DataFrame, seq_col: str = "seq_line", max_hamming: int = 1) -> DataFrame:
@@ -60,20 +64,20 @@ def repair(reads: DataFrame, barcodes: DataFrame, seq_col: str = "seq_line", max
     listed = barcodes.select(F.col("barcode").alias("_seq"), F.col("barcode").alias("_to"), F.lit(True).alias("exact"))
     variants = unambiguous_variants(barcodes, max_hamming).select(F.col("variant").alias("_seq"), F.col("barcode").alias("_to"), F.lit(False).alias("exact"))
     lookup = listed.unionByName(variants.join(listed.select("_seq"), "_seq", "left_anti"))
-    lookup = _lookup(lookup, barcodes, 33 ** max(1, max_hamming))  # a ball of one substitution has 33 of 8 letters
+    lookup = _lookup(lookup, barcodes, max_hamming)
     joined = reads.drop("exact", "corrected").join(lookup, reads[seq_col] == lookup["_seq"], "left")
     return joined.withColumn("exact", F.coalesce("exact", F.lit(False))).withColumnRenamed("_to", "corrected").drop("_seq")
 
 
 def replaced(matched: Column, replacement: Column, seq: Column, qual: Column) -> tuple[Column, Column]:
     """(sequence, quality) with matched records replaced; a replaced quality is all ``I``."""
-    return F.when(matched, replacement).otherwise(seq), F.when(matched, F.expr("repeat('I', 1)") if replacement is None else F.repeat(F.lit("I"), F.length(replacement))).otherwise(qual)
+    return F.when(matched, replacement).otherwise(seq), F.when(matched, F.repeat(F.lit("I"), F.length(replacement))).otherwise(qual)
 
 
 def demux_r1(reads: DataFrame, barcodes: DataFrame, seq_col: str = "seq_line") -> DataFrame:
     """Reads whose sequence is exactly a listed barcode, with its slice_id."""
     listed = barcodes.select(F.col("barcode").alias("_b"), F.col("slice_id").alias("slice_id"))
-    listed = _lookup(listed, barcodes, 1)
+    listed = _lookup(listed, barcodes)
     return reads.drop("slice_id", "barcode").join(listed, reads[seq_col] == F.col("_b")).withColumnRenamed("_b", "barcode")
 
 
@@ -94,6 +98,10 @@ def demux_summary(demuxed: DataFrame, barcodes: DataFrame, total: DataFrame) ->
 
     Counted before the barcode list is joined, so a hot barcode costs one partial row a task.
     """
-    counts = demuxed.groupBy("barcode").agg(F.count(F.lit(1)).alias("read_count"))
+    return with_percent(demuxed.groupBy("barcode").agg(F.count(F.lit(1)).alias("read_count")), barcodes, total)
+
+
+def with_percent(counts: DataFrame, barcodes: DataFrame, total: DataFrame) -> DataFrame:
+    """(barcode, slice_id, read_count, pct) of (barcode, read_count)."""
     pct = F.round(F.try_divide(F.col("read_count") * 100.0, total.scalar()), 1)
     return counts.join(barcodes.select("barcode", "slice_id"), "barcode", "left").select("barcode", "slice_id", "read_count", pct.alias("pct"))

@@ -122,6 +122,19 @@ def input_report(counts: DataFrame, samples: DataFrame) -> DataFrame:
     return stats.select("*", only[0].scalar().alias("not_in_samples"), only[1].scalar().alias("not_in_counts"))
 
 
+def check_samples(columns: list[str], samples: DataFrame, order: str, name: str = "sample") -> None:
+    """Stops with an error unless a matrix's columns are the sample rows' names, in their order (by ``order``).
+
+    Both are bounded by MAX_SAMPLES; more sample rows are an error too.
+    """
+    rows = [r[0] for r in samples.orderBy(order).select(name).limit(MAX_SAMPLES + 1).collect()]
+    if len(rows) > MAX_SAMPLES:
+        raise ValueError(f"more than {MAX_SAMPLES} samples")
+    if rows != list(columns):
+        at = next((i for i, (a, b) in enumerate(zip(columns, rows)) if a != b), min(len(columns), len(rows)))
+        raise ValueError(f"count columns and sample rows differ from place {at + 1} on: {list(columns)[at : at + 1]} and {rows[at : at + 1]}")
+
+
 def multimapping_filter(alignments: DataFrame, most_genes: int = 2) -> DataFrame:
     """Alignments (read_id, gene_id) of the reads that hit at most ``most_genes`` genes."""
     few = alignments.groupBy("read_id").agg(F.countDistinct("gene_id").alias("n")).where(F.col("n") <= most_genes)

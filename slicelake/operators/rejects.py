@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from slicelake.functions.materialize import computed
 
 FIELDS = ("record_no", "header_line", "seq_line", "plus_line", "qual_line")
-READ_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in FIELDS] + [T.StructField("corrupt", T.StringType())])
+READ_SCHEMA = T.StructType([T.StructField(f, T.DecimalType(38, 0) if f == "record_no" else T.StringType()) for f in FIELDS] + [T.StructField("corrupt", T.StringType())])
 #: Most fields of a line that the CSV reader gets.
 MOST_FIELDS = 10
 #: Unicode non-characters, which no text may hold: a comma and a quote inside a quoted field.
@@ -54,7 +54,8 @@ def read_permissive(raw: DataFrame, line_col: str = "raw_line") -> DataFrame:
     """Adds ``fields`` (array of strings, NULL where the line can't be split) and ``quoting_fails``.
 
     A line without quotes and line breaks goes through Spark's permissive CSV reader under the explicit schema,
-    which keeps rows of a wrong width as corrupt text; those and all others are split by the strict format. So are
+    which keeps rows of a wrong width or with a number that isn't one as corrupt text; those and all others are split
+    by the strict format. So are
     lines of more than MOST_FIELDS fields, as beyond 20,480 the reader fails in every mode.
     One carriage return at the end of a line is dropped. NULL lines have no fields.
     """
@@ -69,7 +70,8 @@ def read_permissive(raw: DataFrame, line_col: str = "raw_line") -> DataFrame:
     out = computed(out, _read=read, _parts=parts)
     out = computed(out, quoting_fails=F.coalesce(~quoting_ok(F.col("_parts")), F.lit(False)))
     clean = F.col("_read.corrupt").isNull() & F.col("_read.qual_line").isNotNull()
-    loaded = F.array(*[F.coalesce(F.col(f"_read.{f}"), F.lit("")) for f in FIELDS])
+    # the number as written, as the reader takes more for a number than the format does
+    loaded = F.array(F.substring_index("_line", ",", 1), *[F.coalesce(F.col(f"_read.{f}"), F.lit("")) for f in FIELDS[1:]])
     fields = F.when(F.col("_line").isNull() | (F.col("_line") == "") | F.col("quoting_fails"), F.lit(None)).when(clean, loaded).when(F.col("_parts").isNull(), F.split("_line", ",", -1)).otherwise(strict_fields(F.col("_parts")))
     return computed(out, fields=fields).drop("_line", "_read", "_parts")
 
@@ -79,10 +81,10 @@ def classify(raw: DataFrame, line_col: str = "raw_line") -> DataFrame:
 
     Checks, in order: quoting, column_count (NULL and empty lines too), record_no, header_line, seq_line,
     plus_line, qual_line. Columns of the input that bear a field's name are replaced. Ties cannot occur: each
-    row is judged alone, so repeated rows give repeated results; an empty table gives an empty one. A record_no
-    of more digits than a BIGINT holds is valid and loaded as NULL.
+    row is judged alone, so repeated rows give repeated results; an empty table gives an empty one. record_no is
+    DECIMAL(38, 0); a number of more digits is valid too and stands in record_no_long, as text.
     """
-    rows = read_permissive(raw.drop(*[c for c in FIELDS if c != line_col]), line_col)
+    rows = read_permissive(raw.drop(*[c for c in (*FIELDS, "record_no_long") if c != line_col]), line_col)
     f = {name: F.get(F.col("fields"), F.lit(i)) for i, name in enumerate(FIELDS)}
     reason = (
         F.when(F.col("quoting_fails"), "quoting")
@@ -93,7 +95,8 @@ def classify(raw: DataFrame, line_col: str = "raw_line") -> DataFrame:
         .when(f["plus_line"] != "+", "plus_line")
         .when((F.length(f["qual_line"]) != F.length(f["seq_line"])) | ~F.rlike(f["qual_line"], F.lit(r"\A[!-~]+\z")), "qual_line")
     )
-    typed = {name: f[name] for name in FIELDS} | {"record_no": F.expr("try_cast(get(fields, 0) AS BIGINT)")}
+    number = F.when(f["record_no"].rlike(r"\A[0-9]+\z"), F.regexp_replace(f["record_no"], r"\A0+(?=.)", ""))
+    typed = {name: f[name] for name in FIELDS} | {"record_no": number.try_cast("decimal(38,0)"), "record_no_long": F.when(F.length(number) > 38, number)}
     return rows.withColumn("reason", reason).withColumns(typed).drop("fields", "quoting_fails")
 
 
@@ -104,4 +107,4 @@ def valid_records(raw: DataFrame, line_col: str = "raw_line") -> DataFrame:
 
 def rejected_rows(raw: DataFrame, line_col: str = "raw_line") -> DataFrame:
     """The rows that fail, raw text kept, with the reason."""
-    return classify(raw, line_col).where(F.col("reason").isNotNull()).drop(*FIELDS)
+    return classify(raw, line_col).where(F.col("reason").isNotNull()).drop(*FIELDS, "record_no_long")

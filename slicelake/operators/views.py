@@ -30,6 +30,11 @@ def gene_set(symbol: Column, structural: list[str]) -> Column:
     return F.when(symbol.startswith("Col"), "collagen").when(F.lower(symbol).contains("metallo"), "metallo").when(symbol.isin(*structural) if structural else F.lit(False), "structural").when(symbol.isNotNull(), "other")
 
 
+def marker_expression(counts: DataFrame, markers: DataFrame, on: str = "gene_id") -> DataFrame:
+    """Counts of the marker genes with the markers' columns; a gene in two marker rows gives its counts twice."""
+    return counts.join(markers, on)
+
+
 def profile_points(values: DataFrame, value: str, genes: DataFrame | None = None) -> DataFrame:
     """(gene_id, species, label, slice, value, top): one point a slice, with the gene's largest value as axis limit."""
     if genes is not None:

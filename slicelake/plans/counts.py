@@ -53,11 +53,26 @@ def sample_subset(spark: SparkSession, d: str) -> DataFrame:
 def _orthologs(spark: SparkSession, d: str) -> DataFrame:
     """A one-to-one map over most of the delivered genes."""
     g = _latest(spark, d).select("gene_id").distinct().where(~F.col("gene_id").endswith("7"))
-    return g.select(F.col("gene_id").alias("mus_id"), F.col("gene_id").alias("acomys_id"), F.concat(F.lit("S"), F.right("gene_id", F.lit(4))).alias("symbol"))
+    return g.select(F.col("gene_id").alias("mus_id"), _acomys().alias("acomys_id"), F.concat(F.lit("S"), F.right("gene_id", F.lit(4))).alias("symbol"))
+
+
+def _acomys() -> Column:
+    """The other species' id of a mouse gene."""
+    return F.concat(F.lit("ACOG"), F.right("gene_id", F.lit(11)))
 
 
 def ortholog_map(spark: SparkSession, d: str) -> DataFrame:
-    return C.map_orthologs(_latest(spark, d), _orthologs(spark, d)).select("gene_id", "symbol", "sample", "count")
+    """Counts under each species' own gene ids, brought to the mouse's."""
+    own = _latest(spark, d).withColumn("gene_id", F.when(F.col("species") == "AC", _acomys()).otherwise(F.col("gene_id")))
+    return C.map_orthologs(own, _orthologs(spark, d)).select("gene_id", "symbol", "species", "sample", "count")
+
+
+def marker_expression(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of marker genes; some genes are markers of two classes."""
+    last = F.right("gene_id", F.lit(1)).cast("int")
+    genes = _latest(spark, d).select("gene_id").distinct()
+    markers = genes.where(last < 3).select("gene_id", F.lit("matrix").alias("classification")).unionByName(genes.where(last.between(2, 4)).select("gene_id", F.lit("signal").alias("classification")))
+    return V.marker_expression(_latest(spark, d), markers).select("gene_id", "classification", "sample", "count")
 
 
 def combine_intersect(spark: SparkSession, d: str) -> DataFrame:
@@ -206,9 +221,23 @@ def multimapping(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fasta_names(spark: SparkSession, d: str) -> DataFrame:
-    """Gene names from headers made of the delivered gene ids, some without a gene token."""
-    h = table(spark, d, "counts").select("gene_id").distinct().select("gene_id", F.concat(F.lit("ENSP1.2 pep "), "gene_id", F.lit(" kept")).alias("header"))
-    return h.select("gene_id", names.ensembl_gene(F.col("header")).alias("gene"), names.first_token(F.col("header")).alias("token"), names.before_last_dot(F.col("header")).alias("stem"), names.is_ncbi(F.col("header")).alias("ncbi"))
+    """Gene names from headers of several forms."""
+    h = F.col("header")
+    return part_headers(spark, d).select("p_partkey", names.ensembl_gene(h).alias("gene"), names.ncbi_gene(h).alias("ncbi_gene"), names.first_token(h).alias("token"), names.before_last_dot(h).alias("stem"), names.is_ncbi(h).alias("ncbi"))
+
+
+def part_headers(spark: SparkSession, d: str) -> DataFrame:
+    """(p_partkey, header): FASTA headers over parts, with gene or locus tokens, two of them, or in NCBI's form."""
+    k, name = F.col("p_partkey"), F.get(F.split("p_name", " "), F.lit(0))
+    form = [
+        F.concat(F.lit("ENSP"), k, F.lit("."), k % 3, F.lit(" pep gene:"), name, F.lit(" kind:"), F.col("p_brand")),
+        F.concat(F.lit("tr"), k, F.lit(" locus="), name),
+        F.concat(F.lit("tr"), k, F.lit(" locus="), name, F.lit(" gene:"), name),
+        F.concat(F.lit("NP_"), k, F.lit(".1 "), name, F.lit(" isoform X"), k % 7, F.lit(" [Mus musculus]")),
+        F.concat(F.lit("XP_"), k, F.lit(".1 "), name, F.lit(" isoform alpha [Acomys]")),
+    ]
+    header = F.when(k % 5 == 0, form[0]).when(k % 5 == 1, form[1]).when(k % 5 == 2, form[2]).when(k % 5 == 3, form[3]).otherwise(form[4])
+    return table(spark, d, "part").select("p_partkey", header.alias("header"))
 
 
 def de_gene_set(spark: SparkSession, d: str) -> DataFrame:
@@ -222,7 +251,7 @@ def labelled_points(spark: SparkSession, d: str) -> DataFrame:
     return V.labelled(V.volcano_points(_tests(spark, d), "p"), "gene_id", some).select("gene_id", "nlp", "label")
 
 
-_ALL = (de_gene_set, labelled_points, counts_latest, gene_counts, expression_filter, sample_subset, ortholog_map, combine_intersect, count_matrix_wide, count_matrix_long, size_factors, normalized_counts, log_cpm, slice_means, z_scores, sample_parse_zone, input_report, densified, fill_down, replicate_renumber, bh_adjust, volcano_points, gene_sets, profile_points, sample_distance, slice_distance, sample_tree, sample_pca, nb_wald, longest_per_group, duplicate_keys, tag_topk, anti_set, union_append, multimapping, fasta_names)
+_ALL = (de_gene_set, labelled_points, counts_latest, gene_counts, expression_filter, sample_subset, ortholog_map, marker_expression, combine_intersect, count_matrix_wide, count_matrix_long, size_factors, normalized_counts, log_cpm, slice_means, z_scores, sample_parse_zone, input_report, densified, fill_down, replicate_renumber, bh_adjust, volcano_points, gene_sets, profile_points, sample_distance, slice_distance, sample_tree, sample_pca, nb_wald, longest_per_group, duplicate_keys, tag_topk, anti_set, union_append, multimapping, fasta_names)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _L = """l AS (SELECT * EXCLUDE (rn, gene_id), g AS gene_id FROM (SELECT *, regexp_replace(gene_id, '^gene:', '') AS g,
@@ -237,6 +266,10 @@ _CPM_ALL = _L + ", tot AS (SELECT sample, sum(count) AS t FROM l WHERE count IS
 _DIST = """, n AS (SELECT sample, sum(v * v) AS n FROM cpm GROUP BY 1 HAVING sum(v * v) > 0), dot AS (SELECT a.sample AS sa, b.sample AS sb, sum(a.v * b.v) AS dot FROM cpm a JOIN cpm b USING (gene_id) WHERE a.sample < b.sample GROUP BY 1, 2)
 SELECT x.sample AS sample_a, y.sample AS sample_b, round(sqrt(greatest(x.n + y.n - 2 * coalesce(dot, 0), 0)), 5) AS distance FROM n x JOIN n y ON x.sample < y.sample LEFT JOIN dot ON sa = x.sample AND sb = y.sample"""
 _ORTH = "o AS (SELECT DISTINCT gene_id AS mus_id, 'S' || right(gene_id, 4) AS symbol FROM l WHERE NOT ends_with(gene_id, '7'))"
+PART_HEADERS = """h AS (SELECT p_partkey, string_split(p_name, ' ')[1] AS name, CASE p_partkey % 5
+ WHEN 0 THEN 'ENSP' || p_partkey || '.' || (p_partkey % 3) || ' pep gene:' || string_split(p_name, ' ')[1] || ' kind:' || p_brand
+ WHEN 1 THEN 'tr' || p_partkey || ' locus=' || string_split(p_name, ' ')[1] WHEN 2 THEN 'tr' || p_partkey || ' locus=' || string_split(p_name, ' ')[1] || ' gene:' || string_split(p_name, ' ')[1]
+ WHEN 3 THEN 'NP_' || p_partkey || '.1 ' || string_split(p_name, ' ')[1] || ' isoform X' || (p_partkey % 7) || ' [Mus musculus]' ELSE 'XP_' || p_partkey || '.1 ' || string_split(p_name, ' ')[1] || ' isoform alpha [Acomys]' END AS header FROM part)"""
 _WIDE = "w AS (SELECT gene_id, " + ", ".join(f"sum(count) FILTER (WHERE species || '_' || condition = '{g}') AS {g}" for g in GROUPS) + " FROM l GROUP BY 1)"
 _TESTS = "t AS (SELECT o_orderkey AS gene_id, CASE WHEN o_orderkey % 97 <> 0 THEN (o_orderkey % 997) / 1000.0e0 END AS p, ((o_custkey % 41) - 20) / 20.0e0 AS log2fc FROM orders)"
 _MEAN = _L + ", m AS (SELECT gene_id, species, condition, slice, avg(count) AS mean FROM l WHERE count IS NOT NULL GROUP BY ALL)"
@@ -248,7 +281,8 @@ SQL = {
     "gene_counts": "SELECT regexp_replace(gene_id, '^gene:', '') AS gene_id, sample, round(sum(count), 6) AS count, round(sum(count / 10), 6) AS abundance, round(CASE WHEN sum(count / 10) = 0 THEN avg(slice + 100.0) ELSE sum((slice + 100.0) * (count / 10)) / sum(count / 10) END, 6) AS length FROM counts WHERE count IS NOT NULL AND gene_id IS NOT NULL GROUP BY 1, 2",
     "expression_filter": f"WITH {_L} SELECT gene_id, sample, count FROM l WHERE gene_id IN (SELECT gene_id FROM l GROUP BY 1 HAVING sum(cast(count >= 2 AS INT)) >= 30)",
     "sample_subset": f"WITH {_L} SELECT gene_id, sample, count FROM l WHERE condition = 'MI14D' AND slice BETWEEN 16 AND 24",
-    "ortholog_map": f"WITH {_L}, {_ORTH} SELECT gene_id, symbol, sample, count FROM l JOIN o ON gene_id = mus_id",
+    "ortholog_map": f"WITH {_L}, {_ORTH} SELECT gene_id, symbol, species, sample, count FROM l JOIN o ON gene_id = mus_id",
+    "marker_expression": f"WITH {_L}, m AS (SELECT *, cast(right(gene_id, 1) AS INT) AS k FROM l) SELECT gene_id, 'matrix' AS classification, sample, count FROM m WHERE k < 3 UNION ALL SELECT gene_id, 'signal', sample, count FROM m WHERE k BETWEEN 2 AND 4",
     "combine_intersect": f"WITH {_L}, k AS (SELECT *, species || condition || replicate AS grp FROM l) SELECT gene_id, sample, count FROM k WHERE gene_id IN (SELECT gene_id FROM k GROUP BY 1 HAVING count(DISTINCT grp) = (SELECT count(DISTINCT grp) FROM k))",
     "count_matrix_wide": f"WITH {_L}, {_WIDE} SELECT gene_id, " + ", ".join(f"round({g}, 6) AS {g}" for g in GROUPS) + " FROM w",
     "count_matrix_long": f"WITH {_L}, {_WIDE} " + " UNION ALL ".join(f"SELECT gene_id, '{g}' AS grp, round({g}, 6) AS count FROM w" for g in GROUPS),
@@ -279,5 +313,6 @@ SELECT *, CASE significance WHEN 'sig_up' THEN 1 WHEN 'sig_down' THEN 2 WHEN 'no
     "anti_set": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)",
     "union_append": "SELECT sample_id, mate, count(*) AS reads FROM (SELECT sample_id, 'R1' AS mate FROM r1_reads UNION ALL SELECT sample_id, 'R2' FROM r2_reads) GROUP BY 1, 2",
     "multimapping": "SELECT cast(l_suppkey AS VARCHAR) AS gene_id, count(*) AS alignments FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) <= 2) GROUP BY 1",
-    "fasta_names": "SELECT DISTINCT gene_id, CASE WHEN starts_with(gene_id, 'gene:') THEN split_part(gene_id, ':', 2) END AS gene, 'ENSP1.2' AS token, 'ENSP1' AS stem, false AS ncbi FROM counts",
+    "fasta_names": f"""WITH {PART_HEADERS} SELECT p_partkey, CASE WHEN p_partkey % 5 < 2 THEN name END AS gene, CASE p_partkey % 5 WHEN 3 THEN name || ' [Mus musculus]' ELSE header END AS ncbi_gene,
+ string_split(header, ' ')[1] AS token, CASE WHEN contains(header, '.') THEN substr(header, 1, length(header) - strpos(reverse(header), '.')) ELSE header END AS stem, p_partkey % 5 >= 3 AS ncbi FROM h""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slicelake.operators import rejects, tree_agg
-from slicelake.session import table
+from slicelake.session import cut, table
 
 SHARE = 0.05
 
@@ -16,7 +16,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_valid_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rejects.valid_records(table(spark, sf_dir, "r2_raw")).select("raw_id", *rejects.FIELDS)
+    rows = rejects.valid_records(table(spark, sf_dir, "r2_raw"))
+    return rows.withColumn("record_no", F.coalesce(F.col("record_no").cast("string"), "record_no_long")).select("raw_id", *rejects.FIELDS)
 
 
 def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +30,8 @@ def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    states = _states(spark, sf_dir)
-    total = table(spark, sf_dir, "r2_reads").agg(F.count(F.lit(1)).alias("total"))
+    states = cut(_states(spark, sf_dir))  # a row a barcode, used four times
+    total = states.agg(F.coalesce(F.sum("reads"), F.lit(0)).alias("total"))  # reads without a key have a state too
     slices = tree_agg.by_slice(states, table(spark, sf_dir, "barcodes"))
     return tree_agg.heavy_keys(states, "barcode_key", "key", total, SHARE).unionByName(tree_agg.heavy_keys(slices, "slice_id", "slice_id", total, SHARE))
 
@@ -71,7 +72,7 @@ _MEANS = "round(CASE WHEN reads = 0 THEN NULL ELSE bases / reads END, 6) AS mean
 
 SQL = {
     "p2_found": _P2 + "SELECT raw_id, reason FROM e WHERE reason IS NOT NULL",
-    "p2_valid_records": _P2 + "SELECT raw_id, TRY_CAST(f[1] AS BIGINT) AS record_no, f[2] AS header_line, f[3] AS seq_line, f[4] AS plus_line, f[5] AS qual_line FROM e WHERE reason IS NULL",
+    "p2_valid_records": _P2 + "SELECT raw_id, ltrim(f[1], '0') AS record_no, f[2] AS header_line, f[3] AS seq_line, f[4] AS plus_line, f[5] AS qual_line FROM e WHERE reason IS NULL",
     "p2_reasons": _P2 + "SELECT coalesce(reason, 'valid') AS reason, count(*) AS rows FROM e GROUP BY ALL",
     "p3_found": r"""
 WITH t AS (SELECT upper(regexp_replace(barcode_key, '^\s+|\s+$', '', 'g')) AS key FROM r2_reads), n AS (SELECT count(*) AS total FROM t)

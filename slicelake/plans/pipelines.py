@@ -40,7 +40,8 @@ def match_edit(spark: SparkSession, path: str, out_path: str, sequences: list[st
         seq, qual = B.replaced(F.col("matched"), F.lit(replacement), F.col("seq_line"), F.col("qual_line"))
         found = found.withColumns({"seq_line": seq, "qual_line": qual})
     fastq.write_split(found, out_path)
-    return found.agg(F.count(F.lit(1)).alias("records"), F.count_if("matched").alias("matched"), F.count_if(~F.col("matched")).alias("mismatched"))
+    n = F.coalesce(F.sum("records"), F.lit(0))
+    return fastq.records_by(spark, out_path, "matched boolean").agg(n.alias("records"), F.coalesce(F.sum(F.when(F.col("matched"), F.col("records"))), F.lit(0)).alias("matched"), F.coalesce(F.sum(F.when(~F.col("matched"), F.col("records"))), F.lit(0)).alias("mismatched"))
 
 
 def demultiplex(spark: SparkSession, r1_path: str, r2_path: str, barcode_path: str, out_path: str, barcode_bases: int = 8, max_hamming: int = 1, tag: str = "@NS") -> DataFrame:
@@ -54,9 +55,9 @@ def demultiplex(spark: SparkSession, r1_path: str, r2_path: str, barcode_path: s
     r1 = fastq.read_fastq(spark, r1_path, tag).where(_error(tag).isNull()).withColumn("sample_id", sample).withColumn("seq_line", F.substring("seq_line", 1, barcode_bases))
     r2 = fastq.read_fastq(spark, r2_path, tag).where(_error(tag).isNull()).withColumn("sample_id", sample)
     found = B.demux_r2(r2, B.repair(r1, listed, max_hamming=max_hamming)).join(listed, "barcode")
-    found = cut(found)  # written and counted
     fastq.write_by_barcode(found, out_path)
-    return B.demux_summary(found.drop("slice_id"), listed, r2.agg(F.count(F.lit(1)).alias("n")))
+    written = fastq.records_by(spark, out_path, "slice_id int, barcode string").groupBy("barcode").agg(F.sum("records").alias("read_count"))
+    return B.with_percent(written, listed, r2.agg(F.count(F.lit(1)).alias("n")))
 
 
 def barcode_permutations(spark: SparkSession, barcode_path: str, barcode: str | None = None, max_hamming: int = 1) -> DataFrame:
@@ -65,17 +66,20 @@ def barcode_permutations(spark: SparkSession, barcode_path: str, barcode: str |
     return variants if barcode is None else variants.where(F.col("barcode") == barcode.upper())
 
 
-def primary_transcript_file(spark: SparkSession, path: str, out_path: str) -> DataFrame:
+def primary_transcript_file(spark: SparkSession, path: str, out_path: str, key: str | None = None) -> DataFrame:
     """Writes the longest sequence of each gene as FASTA text; returns written, genes, unidentified.
 
-    Duplicated headers are an error, as is a number of written entries other than genes plus unidentified ones.
+    key: ``last_dot`` (the header before its last dot) or ``space`` (its first token) names the gene; by default the
+    file's own form tells how. Entries are written under their gene, those without one and all of NCBI's files
+    under their own header. Duplicated headers are an error, as is a number of written entries other than genes plus
+    unidentified ones.
     """
-    entries = cut(fasta.with_gene(fasta.read_fasta(spark, path)))
+    entries = cut(fasta.with_gene(fasta.read_fasta(spark, path), key))
     if not duplicate_keys(entries, ["file", "header"]).isEmpty():
         raise ValueError("duplicated headers")
     best = cut(fasta.primary_transcripts(entries))
     report = fasta.conservation(entries, best).first()
     if report["written"] != report["genes"] + report["unidentified"]:
         raise ValueError(f"written entries don't add up: {report}")
-    best.select(F.concat(F.lit(">"), F.coalesce("gene", "header"), F.lit("\n"), "seq").alias("value")).write.mode("errorifexists").text(out_path)
+    best.select(F.concat(F.lit(">"), F.when(F.col("keeps_header"), F.col("header")).otherwise(F.coalesce("gene", "header")), F.lit("\n"), "seq").alias("value")).write.mode("errorifexists").text(out_path)
     return spark.createDataFrame([report])

@@ -11,6 +11,7 @@ from slicelake.functions.materialize import computed
 from slicelake.operators import barcodes as B
 from slicelake.operators.trim import trim_and_filter
 from slicelake.session import table
+from slicelake.sources import fastq
 
 
 def _c(*names_: str):
@@ -129,10 +130,16 @@ def file_name_parse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pair_files(spark: SparkSession, d: str) -> DataFrame:
-    """Files whose name's barcode and number agree with the barcode list, and how many files share them."""
-    f = file_name_parse(spark, d).select("file_id", "barcode", "slice_id")
-    same = f.groupBy("barcode", "slice_id").agg(F.count(F.lit(1)).alias("files"), F.min("file_id").alias("first_file"))
-    return same.join(B.barcode_list(table(spark, d, "barcodes")), ["barcode", "slice_id"])
+    """For each sample and barcode the file, if it is the only one, with the number the list gives the barcode."""
+    f = file_name_parse(spark, d).join(table(spark, d, "fastq_files").select("file_id", "sample_id"), "file_id")
+    one = f.groupBy("sample_id", "barcode").agg(F.count(F.lit(1)).alias("files"), F.min("file_id").alias("file_id"), F.min("slice_id").alias("named")).where("files = 1")
+    return one.join(B.barcode_list(table(spark, d, "barcodes")), "barcode").select("sample_id", "barcode", "file_id", "named", "slice_id")
+
+
+def file_validation(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with each file by its name and length."""
+    f = table(spark, d, "fastq_files")
+    return f.select("file_id", fastq.file_error(F.col("file_name"), F.col("n_bytes")).alias("error"))
 
 
 def _file_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -168,7 +175,7 @@ def chunk_record_counts(spark: SparkSession, d: str) -> DataFrame:
     return out.select("file_id", "worker_id", "chunk_start", "chunk_end", F.greatest(F.lit(0), F.coalesce(end - F.col("low"), F.lit(0))).alias("records"))
 
 
-QUERIES = {f.__name__: f for f in (record_validate, error_histogram, malformed_records, read_keys, header_tokens, record_counts, subsequence, quality_filter_r1, quality_trim_r2, barcode_ball_d1, barcode_ball_n, barcode_dictionary_d1, barcode_dictionary_d2, barcode_exact_split, barcode_correct, seq_replace, match_totals, demux_r1, demux_r2, demux_summary, key_duplicates, file_name_parse, pair_files, fastq_records, chunk_record_counts)}
+QUERIES = {f.__name__: f for f in (record_validate, error_histogram, malformed_records, read_keys, header_tokens, record_counts, subsequence, quality_filter_r1, quality_trim_r2, barcode_ball_d1, barcode_ball_n, barcode_dictionary_d1, barcode_dictionary_d2, barcode_exact_split, barcode_correct, seq_replace, match_totals, demux_r1, demux_r2, demux_summary, key_duplicates, file_name_parse, pair_files, file_validation, fastq_records, chunk_record_counts)}
 
 _ERR = """CASE WHEN header_line IS NULL OR seq_line IS NULL OR plus_line IS NULL OR qual_line IS NULL THEN 'incomplete record'
  WHEN NOT starts_with(header_line, '@NS') THEN 'bad header' WHEN plus_line <> '+' THEN 'bad plus line'
@@ -224,8 +231,9 @@ SELECT read_id, seq, qual FROM c WHERE len(list_filter(q, lambda v: v < 20)) <=
     "file_name_parse": r"""WITH s AS (SELECT *, regexp_replace(file_name, '\.[^.]*$', '') AS stem FROM fastq_files)
 SELECT file_id, coalesce(nullif(regexp_extract(stem, '^([ACGT]{8})_', 1), ''), nullif(regexp_extract(stem, '_([ACGT]{8})_', 1), ''), nullif(regexp_extract(stem, '_([ACGT]{8})$', 1), '')) AS barcode,
 TRY_CAST(nullif(regexp_extract(file_name, 'bcode_(\d+)', 1), '') AS INT) AS slice_id, string_split(split_part(file_name, '.', 1), '_')[2] AS part,
-regexp_replace(regexp_replace(file_name, '\s', '_', 'g'), '[-.]+', '_', 'g') AS safe_name, nullif(regexp_extract(file_name, '(?:^|[_.])([ACGTN]{5,})(?:[_.]|$)', 1), '') AS any_barcode FROM s""",
-    "pair_files": rf"WITH {_BALL}, s AS (SELECT file_id, regexp_extract(file_name, '_([ACGT]{{8}})_', 1) AS barcode, TRY_CAST(regexp_extract(file_name, 'bcode_(\d+)', 1) AS INT) AS slice_id FROM fastq_files) SELECT s.barcode, s.slice_id, count(*) AS files, min(file_id) AS first_file FROM s JOIN b ON s.barcode = b.barcode AND s.slice_id = b.slice_id GROUP BY 1, 2",
+regexp_replace(regexp_replace(file_name, '\s', '_', 'g'), '[-.]+', '_', 'g') AS safe_name, coalesce(nullif(regexp_extract(file_name, '^([ACGTN]+)_', 1), ''), nullif(regexp_extract(file_name, '_([ACGTN]+)_', 1), '')) AS any_barcode FROM s""",
+    "pair_files": rf"WITH {_BALL}, s AS (SELECT file_id, sample_id, regexp_extract(file_name, '_([ACGT]{{8}})_', 1) AS barcode, TRY_CAST(regexp_extract(file_name, 'bcode_(\d+)', 1) AS INT) AS named FROM fastq_files), o AS (SELECT sample_id, barcode, min(file_id) AS file_id, min(named) AS named FROM s GROUP BY 1, 2 HAVING count(*) = 1) SELECT sample_id, o.barcode, file_id, named, slice_id FROM o JOIN b USING (barcode)",
+    "file_validation": "SELECT file_id, CASE WHEN n_bytes IS NULL THEN 'not found' WHEN n_bytes <= 0 THEN 'empty' WHEN NOT coalesce(regexp_matches(file_name, '[.](fastq|fq)([.](gz|zst))?$'), false) THEN 'unknown suffix' END AS error FROM fastq_files",
     "fastq_records": _LINES + " SELECT file_id, count(*) // 4 AS records, count(*) % 4 AS tail_lines FROM z GROUP BY 1",
     "chunk_record_counts": _LINES + ", c AS (SELECT DISTINCT * FROM chunk_plan), s AS (SELECT file_id, byte_start FROM z WHERE line_no % 4 = 0) SELECT c.file_id, worker_id, chunk_start, chunk_end, count(*) FILTER (WHERE byte_start >= chunk_start AND (chunk_end IS NULL OR byte_start < chunk_end)) AS records FROM c LEFT JOIN s USING (file_id) GROUP BY ALL",
 }

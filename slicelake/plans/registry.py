@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from slicelake.plans import counts, numbered, reads
+from slicelake.plans import counts, files, numbered, reads
 
-MODULES = (numbered, reads, counts)
+MODULES = (numbered, reads, counts, files)
 
 
 def queries() -> dict:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slicelake.functions import names
-from slicelake.operators.series import longest_per_group
+from slicelake.operators.series import longest_per_group, top_values
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -29,14 +29,40 @@ def primary_transcripts(fasta: DataFrame, gene: str = "gene") -> DataFrame:
 
     fasta: read_fasta() with a gene column. Entries without a gene all stay under their own header.
     """
-    return longest_per_group(fasta, gene, F.col("seq_len"), "ordinal", ["header", "seq", "seq_len", "ordinal"])
+    kept = ["header", "seq", "seq_len", "ordinal", *(["keeps_header"] if "keeps_header" in fasta.columns else [])]
+    return longest_per_group(fasta, gene, F.col("seq_len"), "ordinal", kept)
 
 
-def with_gene(fasta: DataFrame) -> DataFrame:
-    """Adds gene: by the NCBI rule for files whose first header is NCBI's, else by gene and locus tokens."""
+KEYS = {"last_dot": names.before_last_dot, "space": names.first_token}
+
+
+def with_gene(fasta: DataFrame, key: str | None = None) -> DataFrame:
+    """Adds gene, and keeps_header: whether an entry is written under its own header.
+
+    key: one of KEYS for all entries; by default the NCBI rule for files whose first header is NCBI's, which keep their
+    headers, else gene and locus tokens.
+    """
+    if key is not None:
+        return fasta.withColumns({"gene": KEYS[key](F.col("header")), "keeps_header": F.lit(False)})
     first = fasta.groupBy("file").agg(F.min_by(names.is_ncbi(F.col("header")), "ordinal").alias("_ncbi"))
     h = F.col("header")
-    return fasta.join(first, "file").withColumn("gene", F.when(F.col("_ncbi"), names.ncbi_gene(h)).otherwise(names.ensembl_gene(h))).drop("_ncbi")
+    return fasta.join(first, "file").withColumn("gene", F.when(F.col("_ncbi"), names.ncbi_gene(h)).otherwise(names.ensembl_gene(h))).withColumnRenamed("_ncbi", "keeps_header")
+
+
+def tag_tokens(fasta: DataFrame) -> DataFrame:
+    """(tag, id) of each ``tag:id`` token of each header."""
+    tokens = fasta.select(F.explode(F.filter(F.split("header", r"\s+"), lambda t: t.contains(":"))).alias("token"))
+    return tokens.select(F.substring_index("token", ":", 1).alias("tag"), F.expr("substr(token, instr(token, ':') + 1)").alias("id"))
+
+
+def tag_statistics(fasta: DataFrame, k: int = 5) -> DataFrame:
+    """(tag, id, n, rank): the ``k`` most frequent ids of each tag of the headers, ties by id."""
+    return top_values(tag_tokens(fasta), "tag", "id", k)
+
+
+def sequences_per_gene(fasta: DataFrame, gene: str = "gene") -> DataFrame:
+    """One row: sequences, distinct genes (a NULL gene counts as one)."""
+    return fasta.agg(F.count(F.lit(1)).alias("sequences"), (F.countDistinct(gene) + F.coalesce(F.max(F.col(gene).isNull().cast("int")), F.lit(0))).alias("genes"))
 
 
 def conservation(before: DataFrame, after: DataFrame, gene: str = "gene") -> DataFrame:

@@ -22,15 +22,16 @@ def query_sequences(spark: SparkSession, given: list[str], listed: DataFrame | N
     return (one.unionByName(listed.select(F.col("barcode").alias("seq"))) if listed is not None else one).distinct()
 
 
-def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """(barcode, variant) of a JSON object of barcode -> list of variants."""
-    raw = spark.read.option("wholetext", "true").text(path)
+def read_dictionary(spark: SparkSession, path: str, one_line: bool = True) -> DataFrame:
+    """(barcode, variant) of JSON objects of barcode -> list of variants, one on each line; one_line=False: one in each file."""
+    raw = spark.read.text(path, wholetext=not one_line)
     return raw.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("barcode", "variants")).select("barcode", F.explode("variants").alias("variant"))
 
 
 def write_dictionary(variants: DataFrame, path: str) -> None:
-    """One JSON line (barcode, variants) a barcode; a ball's size bounds the list."""
-    variants.groupBy("barcode").agg(F.sort_array(F.collect_list("variant")).alias("variants")).write.mode("errorifexists").json(path)
+    """One JSON object {barcode: [variants]} a line and barcode; a ball's size bounds the list."""
+    lists = variants.groupBy("barcode").agg(F.sort_array(F.collect_list("variant")).alias("variants"))
+    lists.select(F.to_json(F.create_map("barcode", "variants")).alias("value")).write.mode("errorifexists").text(path)
 
 
 def read_gtf(spark: SparkSession, path: str) -> DataFrame:

@@ -62,7 +62,7 @@ def test_ortholog_rekeying(spark):
 def test_bh_matches_brute_force(spark):
     r = random.Random(2)
     p = [round(r.random() ** 3, 2) for _ in range(300)] + [None, 0.0, 1.0, 1.0]
-    got = {x["k"]: x["padj"] for x in T.bh_adjust(spark.createDataFrame(list(enumerate(p)), "k int, p double"), "p", "k", ranges=7).collect()}
+    got = {x["k"]: x["padj"] for x in T.bh_adjust(spark.createDataFrame(list(enumerate(p)), "k int, p double"), "p", "k", range_rows=5).collect()}
     v = sorted(x for x in p if x is not None)
     for k, x in enumerate(p):
         want = None if x is None else min(1.0, min(y * len(v) / max(i + 1 for i, z in enumerate(v) if z == y) for y in v if y >= x))
@@ -78,19 +78,86 @@ def test_distances_tree_and_pca(spark):
     assert len(d) == 15 and all(math.isclose(v, np.linalg.norm(m[:, int(a[1])] - m[:, int(b[1])]), rel_tol=1e-9) for (a, b), v in d.items())
     tree = T.complete_linkage(T.sample_distances(df, "count")).orderBy("step").collect()
     assert len(tree) == 5 and math.isclose(tree[0]["height"], min(d.values())) and math.isclose(tree[-1]["height"], max(d.values())) and tree[-1]["size"] == 6
+    assert T.complete_linkage(spark.createDataFrame([], "sample_a string, sample_b string, distance double")).count() == 0
     scores = {(r["pc"], r["sample"]): r["score"] for r in T.pca(df, "count", 2).collect()}
     c = m - m.mean(axis=1, keepdims=True)
     _, s, vt = np.linalg.svd(c, full_matrices=False)
     assert np.allclose(sorted(abs(scores[1, f"s{j}"]) for j in range(6)), sorted(abs(vt[0] * s[0])))
 
 
+def slow_tree(names, d):
+    """Nearest pair of all, one after another; clusters go by their smallest name."""
+    label, size, out = {s: -(k + 1) for k, s in enumerate(sorted(names))}, dict.fromkeys(names, 1), []
+    d = {frozenset(k): v for k, v in d.items()}
+    while d:
+        near = min(d, key=lambda k: (d[k], *sorted(k)))
+        lo, hi = sorted(near)
+        out.append((label[lo], label[hi], round(d.pop(near), 9), size[lo] + size[hi]))
+        for k in [k for k in d if hi in k]:
+            (x,) = k - {hi}
+            d[frozenset((lo, x))] = max(d.pop(k), d[frozenset((lo, x))])
+        label[lo], size[lo] = len(out), size[lo] + size[hi]
+    return out
+
+
+def test_tree_in_rounds_is_the_tree_of_nearest_pairs(spark):
+    m = np.random.default_rng(8).normal(size=(5, 23))
+    names = [f"s{k:02d}" for k in range(23)]
+    d = {(a, b): float(np.linalg.norm(m[:, i] - m[:, j])) for i, a in enumerate(names) for j, b in enumerate(names) if i < j}
+    got = T.complete_linkage(spark.createDataFrame([(*k, v) for k, v in d.items()], "sample_a string, sample_b string, distance double")).orderBy("step").collect()
+    assert [(r["left"], r["right"], round(r["height"], 9), r["size"]) for r in got] == slow_tree(names, d)
+
+
+def test_gram_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK", 3)
+    m = np.random.default_rng(9).normal(size=(60, 8))
+    samples, dots = T.gram(long(spark, m).repartition(9), "count")
+    got = {(r["a"], r["b"]): r["dot"] for r in dots.collect()}
+    assert len(got) == 36 and all(math.isclose(v, float(m[:, a] @ m[:, b]), abs_tol=1e-9) for (a, b), v in got.items())
+
+
+def slow_wald(y, x, s, alpha):
+    """One gene by textbook steps, dispersion given."""
+    design, beta, ridge = np.c_[np.ones(len(y)), x], np.array([math.log((y / s).mean()), 0.0]), np.diag([1e-6, 1e-6])
+    for _ in range(50):
+        mu = np.maximum(s * np.exp(design @ beta), 1e-6)
+        w = mu / (1 + alpha * mu)
+        beta = np.linalg.solve((design.T * w) @ design + ridge, (design.T * w) @ (np.log(mu / s) + (y - mu) / mu))
+    mu = s * np.exp(design @ beta)
+    info = (design.T * (mu / (1 + alpha * mu))) @ design
+    return beta[1] / math.log(2), math.sqrt(np.linalg.inv(info)[1, 1]) / math.log(2)
+
+
+def test_batches_are_fitted_as_single_genes(spark):
+    rng = np.random.default_rng(14)
+    m = rng.negative_binomial(5, 5 / (5 + 80), (30, 10)).astype(float)
+    size = {f"s{j}": 0.5 + j / 10 for j in range(10)}
+    df = long(spark, m).where("NOT (gene_id IN ('g1', 'g2') AND sample = 's3')")
+    got = {r["gene_id"]: r for r in T.nb_wald(df, spark.createDataFrame(list(size.items()), "sample string, size_factor double"), "MM").collect()}
+    species = {r[0]: r[1] for r in df.select("sample", "species").distinct().collect()}
+    for g in range(30):
+        have = [j for j in range(10) if not (g in (1, 2) and j == 3)]
+        y, x, s = m[g, have], np.array([float(species[f"s{j}"] == "MM") for j in have]), np.array([size[f"s{j}"] for j in have])
+        r = got[f"g{g}"]
+        want = slow_wald(y, x, s, r["dispersion"])
+        assert math.isclose(r["log2fc"], want[0], rel_tol=1e-5, abs_tol=1e-6) and math.isclose(r["lfc_se"], want[1], rel_tol=1e-4)
+
+
+def test_sample_order_is_checked(spark):
+    rows = spark.createDataFrame([(2, "b"), (1, "a")], "o int, sample string")
+    C.check_samples(["a", "b"], rows, "o")
+    for wrong in (["b", "a"], ["a"], ["a", "b", "c"], []):
+        with pytest.raises(ValueError, match="differ from place"):
+            C.check_samples(wrong, rows, "o")
+
+
 def test_wald_finds_the_planted_change(spark):
     rng = np.random.default_rng(4)
     m = rng.negative_binomial(10, 10 / (10 + 50), (40, 12)).astype(float)
     m[0, 1::2] = rng.negative_binomial(10, 10 / (10 + 400), 6)
     m[1] = 0
     factors = spark.createDataFrame([(f"s{j}", 1.0) for j in range(12)], "sample string, size_factor double")
-    got = {r["gene_id"]: r for r in T.nb_wald(long(spark, m), factors, "MM", blocks=5).collect()}
+    got = {r["gene_id"]: r for r in T.nb_wald(long(spark, m), factors, "MM").collect()}
     assert 2 < got["g0"]["log2fc"] < 4 and got["g0"]["padj"] < 1e-4 and got["g1"]["pvalue"] is None
     a, b = m[2, 1::2].mean(), m[2, ::2].mean()
     assert math.isclose(got["g2"]["log2fc"], math.log2(a / b), rel_tol=1e-3, abs_tol=1e-4)

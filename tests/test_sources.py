@@ -77,7 +77,9 @@ def test_tables(spark, tmp_path):
     write(tmp_path / "d.json", '{"AA": ["AN", "NA"], "CC": []}')
     assert sorted(tuple(r) for r in tabular.read_dictionary(spark, str(tmp_path / "d.json")).collect()) == [("AA", "AN"), ("AA", "NA")]
     tabular.write_dictionary(hamming_ball(b, 1), str(tmp_path / "dict"))
-    assert spark.read.json(str(tmp_path / "dict")).select(F.size("variants")).distinct().first()[0] == 33
+    assert sorted(map(tuple, tabular.read_dictionary(spark, str(tmp_path / "dict")).collect())) == sorted((r["barcode"], r["variant"]) for r in hamming_ball(b, 1).collect())
+    write(tmp_path / "pretty.json", '{\n "AA": ["AN"],\n "CC": ["CN"]\n}')
+    assert tabular.read_dictionary(spark, str(tmp_path / "pretty.json"), one_line=False).count() == 2
     write(tmp_path / "a.gtf", '#x\n1\ts\ttranscript\t1\t9\t.\t+\t.\tgene_id "G1"; transcript_id "T1.2";\n')
     g = tabular.read_gtf(spark, str(tmp_path / "a.gtf")).first()
     assert (g["type"], g["gene_id"], g["transcript_id"], g["end"]) == ("transcript", "G1", "T1.2", 9)
@@ -104,6 +106,52 @@ def test_fasta(spark, tmp_path):
     assert [r[0] for r in fasta.decoy_names(f).collect()] == ["P1", "P2", "P3", "P4"]
 
 
+def test_keys_and_headers_of_fasta(spark, tmp_path):
+    ncbi = ">NP_1.1 kinase isoform X1 [Mus]\nMK\n>NP_2.1 kinase isoform X1 [Mus]\nMKL\n>NP_3.1 ligase [Mus]\nM\n>NP_4.1 ligase isoform alpha [Mus]\nMMM\n>NP_5.1 ligase isoform CRA_a [Mus]\nMMMM\n"
+    write(tmp_path / "n.fa", ncbi)
+    report = pipelines.primary_transcript_file(spark, str(tmp_path / "n.fa"), str(tmp_path / "out"))
+    assert tuple(report.first()) == (4, 4, 0)
+    got = sorted(r["header"] for r in fasta.read_fasta(spark, str(tmp_path / "out")).collect())
+    assert got == ["NP_2.1 kinase isoform X1 [Mus]", "NP_3.1 ligase [Mus]", "NP_4.1 ligase isoform alpha [Mus]", "NP_5.1 ligase isoform CRA_a [Mus]"]
+    pipelines.primary_transcript_file(spark, str(tmp_path / "n.fa"), str(tmp_path / "out2"), "space")
+    assert sorted(r["header"] for r in fasta.read_fasta(spark, str(tmp_path / "out2")).collect()) == ["NP_1.1", "NP_2.1", "NP_3.1", "NP_4.1", "NP_5.1"]
+    write(tmp_path / "t.fa", ">P1 gene:A kind:x\nM\n>P2 gene:A kind:y\nM\n>P3 gene:B:2\nM\n")
+    entries = fasta.with_gene(fasta.read_fasta(spark, str(tmp_path / "t.fa")), "last_dot")
+    assert sorted(tuple(r) for r in fasta.tag_statistics(entries, 1).collect()) == [("gene", "A", 2, 1), ("kind", "x", 1, 1)]
+    assert tuple(fasta.sequences_per_gene(fasta.with_gene(fasta.read_fasta(spark, str(tmp_path / "t.fa")))).first()) == (3, 2)
+
+
+def test_what_stands_before_the_first_tag(spark, tmp_path):
+    write(tmp_path / "in/a.fastq", "garbage\nACGT\n+\nIIII\n" + REC.format(i=1, q="IIIIIIII"))
+    write(tmp_path / "in/b.fastq", REC.format(i=2, q="IIIIIIII") * 2)
+    write(tmp_path / "in/c.fastq", "half:a:line\nACGT\n+\nIIII\n" + REC.format(i=1, q="IIIIIIII"))
+    count = lambda **kw: {r["h"]: r["count"] for r in fastq.read_fastq(spark, str(tmp_path / "in"), **kw).groupBy(F.col("header_line").startswith("@NS").alias("h")).count().collect()}
+    assert count() == {True: 5, False: 1} and count(exact_heads=True) == {True: 4, False: 2}
+    report = {r["error"]: r["records"] for r in pipelines.integrity_check(spark, str(tmp_path / "in/a.fastq")).collect()}
+    assert report == {"bad header": 1, "valid": 1}
+
+
+def test_file_validation(spark, tmp_path):
+    write(tmp_path / "a.fastq", "x")
+    write(tmp_path / "b.fq.gz", "")
+    write(tmp_path / "e.fastq", "")
+    write(tmp_path / "c.txt", "x")
+    names = [str(tmp_path / n) for n in ("a.fastq", "b.fq.gz", "e.fastq", "c.txt", "none.fastq")]
+    got = {r["path"].rsplit("/", 1)[1]: r["error"] for r in fastq.validate_files(spark, names).collect()}
+    assert got == {"a.fastq": None, "b.fq.gz": None, "e.fastq": "empty", "c.txt": "unknown suffix", "none.fastq": "not found"}
+
+
+def test_a_hot_barcode_is_written_by_several_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20000")
+    try:
+        hot = spark.range(20000).select(F.concat(F.lit("@NS"), "id").alias("header_line"), F.lit("ACGT").alias("seq_line"), F.lit("+").alias("plus_line"), F.md5(F.col("id").cast("string")).alias("qual_line"), F.lit(1).alias("slice_id"), F.when(F.col("id") % 50 == 0, F.concat(F.lit("B"), F.col("id") % 7)).otherwise("HOT").alias("barcode"))
+        fastq.write_by_barcode(hot.repartition(8), str(tmp_path / "out"), compression="none")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "out/slice_id=1/barcode=HOT").glob("part-*"))) >= 4
+    assert fastq.records_by(spark, str(tmp_path / "out"), "slice_id int, barcode string").agg(F.sum("records")).first()[0] == 20000
+
+
 def test_stream_counts_windows(spark, tmp_path):
     rows = [("@NS:1", "AC", "+", "II", " acgt\r", f"2031-01-01 0{h}:30:00", "s") for h in (1, 1, 2)] + [("@NX", "AC", "+", "II", "ACGT", "2031-01-01 01:00:00", "s"), ("@NS:1", "AC", "+", "II", None, None, "s")]
     df = spark.createDataFrame(rows, "header_line string, seq_line string, plus_line string, qual_line string, barcode_key string, sequenced_at string, sample_id string").withColumn("sequenced_at", F.to_timestamp("sequenced_at"))
