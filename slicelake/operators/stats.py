@@ -93,6 +93,7 @@ def gram(values: DataFrame, value: str) -> tuple[list[str], DataFrame]:
     FAN_IN: no task holds more than that many blocks, however many genes there are. More than MAX_SAMPLES samples
     raise an error. A cell given twice counts with one of its values.
     """
+    values = cut(values.select("gene_id", "sample", value))  # for the names and for the sums
     samples = _samples(values)
     n = len(samples)
     rows = values.where(F.col(value).isNotNull() & F.col("sample").isNotNull()).groupBy("gene_id").agg(F.collect_list("sample").alias("samples"), F.collect_list(value).alias("values")).select("samples", "values")
@@ -163,10 +164,11 @@ def pca(values: DataFrame, value: str, components: int = 2, top_genes: int = 500
     Genes are chosen by variance over samples (ties by name), absent cells being 0, and centred; samples are the rows
     of Spark's own PCA. The sign makes each component's largest score positive.
     """
+    values = cut(values.select("gene_id", "sample", value))
     n = values.agg(F.countDistinct("sample")).scalar()
     stats = values.groupBy("gene_id").agg(F.sum(value).alias("_s"), F.sum(F.col(value) * F.col(value)).alias("_ss")).withColumn("_mean", F.col("_s") / n)
     var = stats.withColumn("_v", F.col("_ss") / n - F.col("_mean") * F.col("_mean"))
-    chosen = var.orderBy(F.desc("_v"), "gene_id").limit(top_genes).select("gene_id")
+    chosen = cut(var.orderBy(F.desc("_v"), "gene_id").limit(top_genes).select("gene_id"))
     picked = values.join(chosen, "gene_id", "left_semi").where("sample IS NOT NULL")
     genes = {r[0]: k for k, r in enumerate(chosen.orderBy("gene_id").collect())}  # top_genes at most
     if not genes:
