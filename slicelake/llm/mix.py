@@ -38,16 +38,19 @@ def _count_tokens(path: str):
         enc = _tokenizer(path).encode_ordinary
         for b in batches:
             n = pa.array([0 if t is None else len(enc(t)) for t in b.column(1).to_pylist()], pa.int64())
-            yield pa.record_batch([b.column(0), b.column(2), n], names=["doc_id", "source", "tokens"])
+            yield pa.record_batch([b.column(0), b.column(2), n, b.column(3)], names=["doc_id", "source", "tokens", "h"])
 
     return run
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, tokens, h): tokens of the whole text, and a hash below 2**HASH_BITS. NULL text has no tokens."""
-    rows = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("source").cast("string"))
-    counted = rows.mapInArrow(_count_tokens(tokenizer), "doc_id bigint, source string, tokens bigint")
-    return counted.withColumn("h", F.xxhash64("doc_id").bitwiseAND((1 << HASH_BITS) - 1))
+    """(doc_id, source, tokens, h): tokens of the whole text, and a hash below 2**HASH_BITS. NULL text has no tokens.
+
+    The hash is of doc_id, of the text where that is NULL.
+    """
+    h = F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text"))).bitwiseAND((1 << HASH_BITS) - 1)
+    rows = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("source").cast("string"), h.alias("h"))
+    return rows.mapInArrow(_count_tokens(tokenizer), "doc_id bigint, source string, tokens bigint, h bigint")
 
 
 def histogram(counts: DataFrame, bits: int = ROUND_BITS[0]) -> DataFrame:
@@ -55,9 +58,11 @@ def histogram(counts: DataFrame, bits: int = ROUND_BITS[0]) -> DataFrame:
     return counts.groupBy("source", F.shiftright("h", HASH_BITS - bits).alias("bucket")).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
 
 
-def budgets(by_bucket: DataFrame, targets: DataFrame) -> DataFrame:
+def budgets(by_bucket: DataFrame, targets: DataFrame, hold_shares: bool = False) -> DataFrame:
     """One row per target source: its tokens, its budget in a mix as large as all documents, and whether it is reachable.
 
+    Where a source falls short in a mix of that size, the others end up above their shares; hold_shares=True makes
+    the mix as small as the shortest source asks for, so that all shares hold (a source without tokens: no mix).
     by_bucket: the histogram. Tokens of documents without a listed source count in the size of the mix. A NULL
     max_repeats is 1, a negative one 0; a NULL share is 0. A source without documents has 0 tokens.
     """
@@ -65,14 +70,18 @@ def budgets(by_bucket: DataFrame, targets: DataFrame) -> DataFrame:
     total = by_bucket.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
     wanted = targets.select("source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.greatest(F.lit(0), F.coalesce("max_repeats", F.lit(1))).cast("bigint").alias("max_repeats"))
     rows = wanted.join(sums, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(total.scalar(), F.lit(0)).alias("total"))
-    want, most = F.col("target_share") * F.col("total"), F.col("tokens") * F.col("max_repeats")
-    return rows.withColumns({"reachable": most >= want, "budget": F.least(want, most.cast("double"))})
+    most = F.col("tokens") * F.col("max_repeats")
+    rows = rows.withColumn("reachable", most >= F.col("target_share") * F.col("total"))
+    size = F.col("total").cast("double")
+    if hold_shares:
+        size = F.least(size, F.coalesce(rows.agg(F.min(F.when(F.col("target_share") > 0, most / F.col("target_share")))).scalar(), size))
+    return rows.withColumn("budget", F.least(F.col("target_share") * size, most.cast("double")))
 
 
-def thresholds(counts: DataFrame, plan: DataFrame) -> DataFrame:
+def thresholds(counts: DataFrame, plan: DataFrame, first: DataFrame | None = None) -> DataFrame:
     """(source, full_copies, threshold): every document is used full_copies times, those with h below threshold once more.
 
-    plan: budgets(). Each round sums only the bucket in which the rest of the budget ends, by the next hash bits.
+    plan: budgets(); first: the histogram it was made of, for the first round. Each round sums only the bucket in which the rest of the budget ends, by the next hash bits.
     A document that would pass the budget is left out, with all of its hash; equal hashes are in or out together.
     """
     copies = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("bigint")
@@ -81,7 +90,10 @@ def thresholds(counts: DataFrame, plan: DataFrame) -> DataFrame:
     for bits in ROUND_BITS:
         used += bits
         inside = counts if used == bits else counts.join(broadcast_if_small(state.select("source", "prefix")), "source").where(F.shiftright("h", HASH_BITS - used + bits) == F.col("prefix")).drop("prefix")
-        hist = inside.where("source IS NOT NULL").groupBy("source", F.shiftright("h", HASH_BITS - used).alias("bucket")).agg(F.sum("tokens").alias("n"))
+        if first is not None and used == bits:
+            hist = first.where("source IS NOT NULL").select("source", "bucket", F.col("tokens").alias("n"))
+        else:
+            hist = inside.where("source IS NOT NULL").groupBy("source", F.shiftright("h", HASH_BITS - used).alias("bucket")).agg(F.sum("tokens").alias("n"))
         w = Window.partitionBy("source").orderBy("bucket")
         run = hist.join(state, "source").withColumn("cum", F.sum("n").over(w))
         # the first bucket that no longer fits; without one, all of the parent bucket fits
@@ -102,15 +114,17 @@ def thresholds(counts: DataFrame, plan: DataFrame) -> DataFrame:
     return state.select("source", "full_copies", "threshold")
 
 
-def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, hold_shares: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents used, shares reached).
 
     Documents: doc_id, source, tokens, copies (1 or more). Shares: one row per target source with its share of the
-    mix. Documents of no listed source are not used. Repeated rows of one doc_id are used alike.
+    mix. Documents of no listed source are not used. Repeated rows of one doc_id are used alike. hold_shares: as for
+    budgets().
     """
     counts = cut(token_counts(documents, tokenizer))
-    plan = cut(budgets(histogram(counts), targets))
-    at = thresholds(counts, plan)
+    hist = cut(histogram(counts))
+    plan = cut(budgets(hist, targets, hold_shares))
+    at = thresholds(counts, plan, hist)
     used = counts.join(broadcast_if_small(at), "source").withColumn("copies", F.col("full_copies") + (F.col("h") < F.col("threshold")).cast("bigint")).where("copies > 0").select("doc_id", "source", "tokens", "copies")
     sums = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"), F.sum("copies").alias("used_docs"), F.max("copies").alias("most_copies"))
     whole = sums.agg(F.sum("used_tokens").alias("n"))

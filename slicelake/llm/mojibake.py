@@ -26,8 +26,11 @@ HASH_BITS = 13
 BUCKETS = 1 << HASH_BITS
 #: Share of probability spread evenly over all buckets, the same for every chain: unknown bigrams are no evidence.
 EVEN = 2e-3
-#: About the most documents of a language that the classifier is trained on; fewest a language must have; most languages.
-SAMPLE_DOCS, LEAST_DOCS, MAX_LANGUAGES = 600, 5, 60
+#: Bounds of the training sample: about the most documents of a language, the fewest a language must have, and the most
+#: languages. With them the model is bounded: about 2 MB a language.
+SAMPLE_DOCS, LEAST_DOCS, MAX_LANGUAGES = 600, 5, 200
+#: Documents that one task of the training garbles.
+TASK_DOCS = 500
 #: Log likelihood ratio that a page must reach over its lines, and its best line alone.
 PAGE_EVIDENCE, LINE_EVIDENCE = 18.0, 18.0
 #: Line evidence from which a page is garbled even where no chain decodes strictly (letters misread afterwards).
@@ -154,7 +157,7 @@ def _letters(text: str) -> tuple[int, int]:
 
 
 def _garbled_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(lang, chain, bucket, n): bigram counts of the texts under every chain.
+    """(lang, chain, bucket, n): bigram counts of the texts under every chain, a row a chain with its buckets.
 
     Chain -3 has the letters within ASCII and those beyond, -1 the ASCII bigrams, -2 the clean lines in capitals, as headlines are. Clean text also counts
     with each word's first letter capital, at a tenth, for letters that seldom begin a sentence.
@@ -175,11 +178,20 @@ def _garbled_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             got[-3] = np.array(_letters(whole))
             for k, n in got.items():
                 b = np.flatnonzero(n)
-                yield pd.DataFrame({"lang": lang, "chain": k, "bucket": b, "n": n[b]})
+                yield pd.DataFrame({"lang": [lang], "chain": [k], "bucket": [b], "n": [n[b]]})
+
+
+_COUNTS = "lang string, chain int, bucket array<int>, n array<bigint>"
+
+
+def _add_counts(f: pd.DataFrame) -> pd.DataFrame:
+    total = np.bincount(np.concatenate(f["bucket"].to_list()), weights=np.concatenate(f["n"].to_list()), minlength=1)
+    b = np.flatnonzero(total)
+    return pd.DataFrame({"lang": [f["lang"].iloc[0]], "chain": [f["chain"].iloc[0]], "bucket": [b], "n": [total[b].astype(np.int64)]})
 
 
 class Model:
-    """log P(bucket | language, chain); chain 0 is clean text. Built from (lang, chain, bucket, n)."""
+    """log P(bucket | language, chain); chain 0 is clean text. Built from (lang, chain, buckets, their counts)."""
 
     def __init__(self, counts: pd.DataFrame, ascii_share: dict[str, float]):
         self.langs = sorted(set(counts["lang"]))
@@ -192,13 +204,14 @@ class Model:
             ks = sorted(set(own["chain"]) - {-3, -2, -1, 0})
             table = np.zeros((len(ks) + 1, BUCKETS))
             row = {0: 0} | {k: j for j, k in enumerate(ks, 1)}
-            body = own[own["chain"] >= 0]
-            np.add.at(table, (body["chain"].map(row).to_numpy(), body["bucket"].to_numpy()), body["n"].to_numpy())
+            for k, b, n in zip(own["chain"], own["bucket"], own["n"]):
+                if k >= 0:
+                    table[row[k], b] = n
             self.chains.append(np.array(ks, dtype=np.int64) - 1)
             self.log.append(self._smooth(table))
             for k, out in ((-1, spelling), (-2, capitals)):
-                head = own[own["chain"] == k]
-                out[i, head["bucket"].to_numpy()] = head["n"].to_numpy()
+                for b, n in own.loc[own["chain"] == k, ["bucket", "n"]].itertuples(index=False):
+                    out[i, b] = n
         self.spelling = self._smooth(spelling)
         if self.langs:  # clean text as usual, in capitals, and with words of both
             usual, capital = np.stack([t[:, 0] for t in self.log], axis=1), self._smooth(capitals)
@@ -254,7 +267,7 @@ class Model:
 def _restore_line(model: Model, lang: int, line: str, chains: list[int]) -> tuple[str, int] | None:
     """(restored line, chain) by the first of ``chains`` that decodes strictly and reads better; None without one."""
     now = model.clean_mean(line, lang)
-    for k in chains:
+    for k in dict.fromkeys(chains):
         if CHAINS[k].lossy:
             continue
         try:
@@ -269,7 +282,8 @@ def _restore_line(model: Model, lang: int, line: str, chains: list[int]) -> tupl
 def judge(model: Model, text: str | None) -> tuple[bool, str | None, str | None, int]:
     """(garbled, chain, restored text, lines that lost letters) of a page; NULL, empty and ASCII texts are clean."""
     if not text or text.isascii() or not model.langs:
-        return bool(text) and "\ufffd" in text, None, None, 0
+        lost = text.count("\ufffd") and sum("\ufffd" in x for x in text.split("\n")) if text else 0
+        return lost > 0, None, None, lost
     data = _bytes(text)
     lang = model.language(text, data)
     starts, ratios = model.line_ratios(data, lang)
@@ -280,7 +294,7 @@ def judge(model: Model, text: str | None) -> tuple[bool, str | None, str | None,
     # the page's own chains first, as a line alone holds little evidence; then what the line itself points to
     own = model.chains[lang]
     leading = [int(own[k]) for k in np.argsort(-support)[:3] if support[k] >= 0.5 * support.max()]
-    lines, lines_lost, used = text.split("\n"), 0, {}
+    lines, lines_lost, used, left = text.split("\n"), 0, {}, []
     for i, r in zip(np.searchsorted(np.flatnonzero(data == 10), starts).tolist(), ratios):
         if "\ufffd" in lines[i]:
             lines_lost += 1
@@ -290,30 +304,38 @@ def judge(model: Model, text: str | None) -> tuple[bool, str | None, str | None,
         if got:
             lines[i] = got[0]
             used[got[1]] = used.get(got[1], 0) + 1
+        elif r.max() >= LINE_EVIDENCE:
+            left.append(i)
     if not used and not lost and ratios.max() < SURE_EVIDENCE:
         return False, None, None, 0
+    for i in left:  # evidence, but for none of the leading chains: any other of the language
+        got = _restore_line(model, lang, lines[i], [int(k) for k in own])
+        if got:
+            lines[i] = got[0]
+            used[got[1]] = used.get(got[1], 0) + 1
     chain = CHAINS[max(used, key=used.get)].name if used else None
     return True, chain, "\n".join(lines) if used else None, lines_lost
 
 
-def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", lang_col: str = "lang") -> Model:
+def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", lang_col: str = "lang", least_docs: int = LEAST_DOCS, max_languages: int = MAX_LANGUAGES) -> Model:
     """The classifier, from about ``sample_docs`` labelled documents of each language, chosen by hash.
 
     Each language has its own share, so that a rare one is learned as well as a frequent one; labels with fewer than
-    LEAST_DOCS documents, and those beyond the MAX_LANGUAGES most frequent, are left out. Labels may be partly wrong.
-    Trained in rounds: documents in which a classifier finds evidence of a chain are left out of the next. What
-    reaches the driver is bounded by languages times chains times buckets. Pages of a language without labelled
+    ``least_docs`` documents, and those beyond the ``max_languages`` most frequent, are left out. Labels may be partly wrong.
+    Trained in rounds: documents in which a classifier finds evidence of a chain are left out of the next. Counts are
+    added up by the tasks; a row of them a language and chain reaches the driver, as the model that is sent to all
+    tasks is made there. Sizes of languages are counted from the labels alone; texts are read once. Pages of a language without labelled
     documents are judged by the others. Without any labelled document the model calls only replacement characters
     garbled.
     """
     label = F.lower(F.trim(lang_col))
-    labelled = documents.where(F.col("text").isNotNull()).select(F.col(id_col).alias("id"), label.alias("lang"), "text").where("lang IS NOT NULL AND lang NOT IN ('', 'und')")
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    labelled = documents.select(F.col(id_col).alias("id"), label.alias("lang"), "text").where("lang IS NOT NULL AND lang NOT IN ('', 'und')")
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
     every = F.lit(None).cast("int")
     for r in sizes:
         every = F.when(F.col("lang") == r["lang"], F.lit(max(1, -(-r["n"] // sample_docs)))).otherwise(every)
-    sample = labelled.where(F.pmod(F.xxhash64("id"), every) == 0).select("lang", "text")
-    sample = cut(sample.repartition(8))
+    sample = labelled.where(F.pmod(F.xxhash64("id"), every) == 0).where("text IS NOT NULL").select("lang", "text")
+    sample = cut(sample.repartition(max(1, -(-sum(min(r["n"], sample_docs) for r in sizes) // TASK_DOCS))))
     model = _fit(sample)
     for _ in range(ROUNDS - 1):
 
@@ -335,9 +357,12 @@ def doubt(model: Model, text: str) -> float:
 
 
 def _fit(sample: DataFrame) -> Model:
-    counts = sample.mapInPandas(_garbled_counts, "lang string, chain int, bucket int, n bigint").groupBy("lang", "chain", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-    letters = counts[counts["chain"] == -3].pivot_table(index="lang", columns="bucket", values="n", aggfunc="sum", fill_value=0)
-    share = {x: float(row.get(0, 0) / max(1, row.get(0, 0) + row.get(1, 0))) for x, row in letters.iterrows()}
+    partial = sample.mapInPandas(_garbled_counts, _COUNTS)
+    counts = partial.groupBy("lang", "chain").applyInPandas(_add_counts, _COUNTS).toArrow().to_pandas()
+    share = {}
+    for lang, b, n in counts.loc[counts["chain"] == -3, ["lang", "bucket", "n"]].itertuples(index=False):
+        letters = dict(zip(b.tolist(), n.tolist()))  # 0: within ASCII, 1: beyond
+        share[lang] = letters.get(0, 0) / max(1, letters.get(0, 0) + letters.get(1, 0))
     return Model(counts, share)
 
 

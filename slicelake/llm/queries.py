@@ -111,6 +111,11 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[1]
 
 
+def p7_shares_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the largest mix in which every source has its share."""
+    return mix.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"), hold_shares=True)[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.detect(table(spark, sf_dir, "documents")).where("garbled").select("doc_id")
 
@@ -119,7 +124,15 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.detect(table(spark, sf_dir, "documents")).where("garbled").select("doc_id", "chain", "restored", "lines_lost")
 
 
-_ALL = (p1_found, p1_error_rate, p1_later_delivery, p1_stored_keys, p4_found, p4_unmatched, p4_candidates, p5_found, p5_content_defined, p5_invariants, p6_found, p6_leaked_items, p7_found, p7_mix, p7_shares, p8_found, p8_restored)
+def p8_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled pages by what could be done: restored, restored in part (lines lost letters), letters lost, not restorable."""
+    found = mojibake.detect(table(spark, sf_dir, "documents")).where("garbled")
+    restored, lost = F.col("restored").isNotNull(), F.col("lines_lost") > 0
+    kind = F.when(restored & ~lost, "restored").when(restored, "restored in part").when(lost, "letters lost").otherwise("not restorable")
+    return found.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("pages"), F.sum("lines_lost").alias("lines_lost"))
+
+
+_ALL = (p1_found, p1_error_rate, p1_later_delivery, p1_stored_keys, p4_found, p4_unmatched, p4_candidates, p5_found, p5_content_defined, p5_invariants, p6_found, p6_leaked_items, p7_found, p7_mix, p7_shares, p7_shares_held, p8_found, p8_restored, p8_kinds)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _P1 = r"""

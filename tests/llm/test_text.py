@@ -76,6 +76,18 @@ def test_lost_letters_are_reported_not_restored(model):
     assert got[0] and got[3] > 5
 
 
+def test_lines_of_a_rarer_chain_are_restored_on_a_garbled_page(model):
+    lines = page("fr", 9100, 20).split("\n")
+    main, other = chain(("utf_8", "cp1252")), chain(("cp1252", "mac_roman"))
+    garbled = [main.garble(x) for x in lines[:18]] + [other.garble(x) for x in lines[18:]]
+    got = mojibake.judge(model, "\n".join(garbled))
+    assert got[0] and sum(a == b for a, b in zip(got[2].split("\n"), lines)) >= 19
+
+
+def test_ascii_pages_with_lost_letters_count_their_lines(model):
+    assert mojibake.judge(model, "one\nt\ufffdo\nthr\ufffd\ufffd") == (True, None, None, 2)
+
+
 def test_edges(spark, model, clean):
     rows = [(1, None), (2, ""), (3, "plain ascii"), (4, "x" * 200_000), (5, "�"), (5, "�")]
     got = {r["doc_id"]: r["garbled"] for r in mojibake.detect(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
@@ -273,6 +285,16 @@ def test_mix_matches_sorting_by_hash(spark):
     assert mix.mix(d.limit(0), t)[0].count() == 0
 
 
+def test_all_shares_hold_in_a_smaller_mix(spark):
+    r = random.Random(10)
+    docs = spark.createDataFrame([(i, "word " * r.randint(1, 20), "abc"[min(2, i % 9 // 4)]) for i in range(1500)] + [(None, "word", "a"), (None, "other words here", "a")], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.3, 1), ("c", 0.4, 2)], "source string, target_share double, max_repeats int")
+    free, held = ({r["source"]: r for r in mix.mix(docs, targets, hold_shares=h)[1].collect()} for h in (False, True))
+    assert not free["c"]["reachable"] and abs(free["c"]["reached_share"] - 0.4) > 0.05
+    assert all(abs(r["reached_share"] - r["target_share"]) < 0.01 and r["most_copies"] <= r["max_repeats"] for r in held.values())
+    assert mix.token_counts(docs.where("doc_id IS NULL")).select("h").distinct().count() == 2
+
+
 def test_thresholds_nest(spark):
     d = spark.createDataFrame([(i, "w " * (i % 9 + 1), "a") for i in range(300)], "doc_id long, text string, source string")
     counts = mix.token_counts(d)
