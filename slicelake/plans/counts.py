@@ -18,7 +18,7 @@ def _latest(spark: SparkSession, d: str) -> DataFrame:
     return C.latest(table(spark, d, "counts"))
 
 
-def _library(spark: SparkSession, d: str) -> DataFrame:
+def library_counts(spark: SparkSession, d: str) -> DataFrame:
     """Counts summed to libraries: sample is species_condition.replicate."""
     c = _latest(spark, d).where("count IS NOT NULL")
     sample = F.concat("species", F.lit("_"), "condition", F.lit("."), "replicate")
@@ -98,17 +98,17 @@ def count_matrix_long(spark: SparkSession, d: str) -> DataFrame:
 
 
 def size_factors(spark: SparkSession, d: str) -> DataFrame:
-    return N.size_factors(C.expression_filter(_library(spark, d), 2, 6)).select("sample", _r("size_factor").alias("size_factor"))
+    return N.size_factors(C.expression_filter(library_counts(spark, d), 2, 6)).select("sample", _r("size_factor").alias("size_factor"))
 
 
 def normalized_counts(spark: SparkSession, d: str) -> DataFrame:
-    lib = _library(spark, d)
+    lib = library_counts(spark, d)
     factors = N.size_factors(C.expression_filter(lib, 2, 6))
     return N.log2_normalized(N.normalized(lib, factors)).select("gene_id", "sample", _r("normalized", 4).alias("normalized"), _r("log2_norm").alias("log2_norm"))
 
 
 def log_cpm(spark: SparkSession, d: str) -> DataFrame:
-    return N.log_cpm(_library(spark, d)).select("gene_id", "sample", _r("log_cpm").alias("log_cpm"))
+    return N.log_cpm(library_counts(spark, d)).select("gene_id", "sample", _r("log_cpm").alias("log_cpm"))
 
 
 def slice_means(spark: SparkSession, d: str) -> DataFrame:
@@ -131,7 +131,7 @@ def input_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def densified(spark: SparkSession, d: str) -> DataFrame:
-    return C.densify(_library(spark, d)).groupBy("sample").agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("count") == 0).alias("zeros"))
+    return C.densify(library_counts(spark, d)).groupBy("sample").agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("count") == 0).alias("zeros"))
 
 
 def fill_down(spark: SparkSession, d: str) -> DataFrame:
@@ -170,7 +170,7 @@ def profile_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sample_distance(spark: SparkSession, d: str) -> DataFrame:
-    return T.sample_distances(N.log_cpm(_library(spark, d)), "log_cpm").withColumn("distance", _r("distance", 5))
+    return T.sample_distances(N.log_cpm(library_counts(spark, d)), "log_cpm").withColumn("distance", _r("distance", 5))
 
 
 def slice_distance(spark: SparkSession, d: str) -> DataFrame:
@@ -183,11 +183,11 @@ def sample_tree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sample_pca(spark: SparkSession, d: str) -> DataFrame:
-    return T.pca(N.log_cpm(_library(spark, d)), "log_cpm").withColumns({"score": _r("score", 5), "share": _r("share", 5)})
+    return T.pca(N.log_cpm(library_counts(spark, d)), "log_cpm").withColumns({"score": _r("score", 5), "share": _r("share", 5)})
 
 
 def nb_wald(spark: SparkSession, d: str) -> DataFrame:
-    lib = C.sample_subset(_library(spark, d), "MI14D")
+    lib = C.sample_subset(library_counts(spark, d), "MI14D")
     lib = cut(lib)  # used for the factors, the filter and the fit
     return T.nb_wald(C.expression_filter(lib, 10, 4), N.size_factors(C.expression_filter(lib, 2, 6)), "MM")
 
@@ -257,7 +257,7 @@ QUERIES = {f.__name__: f for f in _ALL}
 _L = """l AS (SELECT * EXCLUDE (rn, gene_id), g AS gene_id FROM (SELECT *, regexp_replace(gene_id, '^gene:', '') AS g,
  row_number() OVER (PARTITION BY regexp_replace(gene_id, '^gene:', ''), sample ORDER BY loaded_at DESC NULLS LAST, count DESC NULLS LAST) AS rn FROM counts WHERE gene_id IS NOT NULL AND sample IS NOT NULL) WHERE rn = 1)"""
 _LIB = _L + """, lib AS (SELECT gene_id, species || '_' || condition || '.' || replicate AS sample, species, condition, replicate, sum(count) AS count FROM l WHERE count IS NOT NULL GROUP BY ALL)"""
-_SF = _LIB + """, expr AS (SELECT gene_id FROM lib GROUP BY 1 HAVING sum(cast(count >= 2 AS INT)) >= 6),
+SIZE_FACTORS = _LIB + """, expr AS (SELECT gene_id FROM lib GROUP BY 1 HAVING sum(cast(count >= 2 AS INT)) >= 6),
 e AS (SELECT * FROM lib WHERE gene_id IN (SELECT gene_id FROM expr)), pos AS (SELECT gene_id, sample, ln(count) AS lc FROM e WHERE count > 0),
 lg AS (SELECT gene_id, avg(lc) AS lg FROM pos GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT sample) FROM e)),
 sf AS (SELECT sample, exp(median(lc - lg)) AS size_factor FROM pos JOIN lg USING (gene_id) GROUP BY 1)"""
@@ -286,8 +286,8 @@ SQL = {
     "combine_intersect": f"WITH {_L}, k AS (SELECT *, species || condition || replicate AS grp FROM l) SELECT gene_id, sample, count FROM k WHERE gene_id IN (SELECT gene_id FROM k GROUP BY 1 HAVING count(DISTINCT grp) = (SELECT count(DISTINCT grp) FROM k))",
     "count_matrix_wide": f"WITH {_L}, {_WIDE} SELECT gene_id, " + ", ".join(f"round({g}, 6) AS {g}" for g in GROUPS) + " FROM w",
     "count_matrix_long": f"WITH {_L}, {_WIDE} " + " UNION ALL ".join(f"SELECT gene_id, '{g}' AS grp, round({g}, 6) AS count FROM w" for g in GROUPS),
-    "size_factors": f"WITH {_SF} SELECT sample, round(size_factor, 6) AS size_factor FROM sf",
-    "normalized_counts": f"WITH {_SF} SELECT gene_id, sample, round(count / size_factor, 4) AS normalized, round(log2(count / size_factor + 0.5), 6) AS log2_norm FROM lib JOIN sf USING (sample)",
+    "size_factors": f"WITH {SIZE_FACTORS} SELECT sample, round(size_factor, 6) AS size_factor FROM sf",
+    "normalized_counts": f"WITH {SIZE_FACTORS} SELECT gene_id, sample, round(count / size_factor, 4) AS normalized, round(log2(count / size_factor + 0.5), 6) AS log2_norm FROM lib JOIN sf USING (sample)",
     "log_cpm": f"WITH {_CPM} SELECT gene_id, sample, round(v, 6) AS log_cpm FROM cpm",
     "slice_means": f"WITH {_MEAN} SELECT gene_id, species, condition, slice, round(mean, 6) AS mean FROM m",
     "z_scores": f"WITH {_MEAN} SELECT gene_id, species, condition, slice, round((mean - avg(mean) OVER w) / nullif(stddev_samp(mean) OVER w, 0), 6) AS z FROM m WINDOW w AS (PARTITION BY gene_id, species)",

@@ -9,7 +9,7 @@ from slicelake.functions import names
 from slicelake.operators import barcodes as B
 from slicelake.operators import counts as C
 from slicelake.plans import pipelines
-from slicelake.plans.counts import GROUPS, PART_HEADERS, part_headers
+from slicelake.plans.counts import GROUPS, PART_HEADERS, SIZE_FACTORS, library_counts, part_headers
 from slicelake.plans.counts import SQL as COUNT_SQL
 from slicelake.plans.reads import SQL as READ_SQL
 from slicelake.plans.reads import demux_summary, match_totals
@@ -98,6 +98,14 @@ def matrix_file(spark: SparkSession, d: str) -> DataFrame:
     return C.long(tabular.read_matrix(spark, path), "grp").where("count IS NOT NULL").select("gene_id", "grp", F.round("count", 6).alias("count"))
 
 
+def native_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and genes of the Parquet tables of a normalization."""
+    out = run_folder(spark, "native")
+    pipelines.normalization_tables(library_counts(spark, d).select("gene_id", "sample", "count"), out, 2, 6)
+    rows = [spark.read.parquet(f"{out}/{name}").groupBy(F.lit(name).alias("table")).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(key).alias("keys")) for name, key in (("unfiltered", "gene_id"), ("filtered", "gene_id"), ("size_factors", "sample"), ("normalized", "gene_id"))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
 def positional_file(spark: SparkSession, d: str) -> DataFrame:
     """A headerless table: symbols and names of gene sets by position."""
     path = run_folder(spark, "positional")
@@ -159,7 +167,7 @@ def repair_conserves(spark: SparkSession, d: str) -> DataFrame:
     return match_totals(spark, d).agg(F.sum("records").alias("out"), F.sum(F.col("matched") + F.col("repaired") + F.col("unassigned")).alias("parts")).select(total.scalar().alias("into"), "out", "parts")
 
 
-_ALL = (fastq_round_trip, fastq_plain_round_trip, integrity_of_files, quarantined, split_sink, barcode_sink, barcode_file, query_sequences, dictionary_file, matrix_file, positional_file, annotation_file, fasta_file, decoy_list, primary_transcripts, tag_statistics, sequences_per_gene, demux_log, repair_conserves)
+_ALL = (fastq_round_trip, fastq_plain_round_trip, integrity_of_files, quarantined, split_sink, barcode_sink, barcode_file, query_sequences, dictionary_file, matrix_file, native_tables, positional_file, annotation_file, fasta_file, decoy_list, primary_transcripts, tag_statistics, sequences_per_gene, demux_log, repair_conserves)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _OK = "starts_with(header_line, '@NS') AND seq_line IS NOT NULL AND plus_line IS NOT NULL AND qual_line IS NOT NULL"
@@ -177,6 +185,8 @@ SQL = {
     "query_sequences": "SELECT DISTINCT upper(trim(barcode)) AS seq FROM barcodes WHERE barcode IS NOT NULL UNION SELECT 'ACGTN' UNION SELECT 'TTT'",
     "dictionary_file": READ_SQL["barcode_dictionary_d1"].replace("SELECT min(barcode) AS barcode, variant, cast(min(hamming(barcode, variant)) AS INT) AS distance", "SELECT min(barcode) AS barcode, variant"),
     "matrix_file": f"SELECT * FROM ({COUNT_SQL['count_matrix_long']}) WHERE count IS NOT NULL",
+    "native_tables": f"""WITH {SIZE_FACTORS} SELECT 'unfiltered' AS "table", count(*) AS rows, count(DISTINCT gene_id) AS keys FROM lib UNION ALL SELECT 'filtered', count(*), count(DISTINCT gene_id) FROM e
+UNION ALL SELECT 'size_factors', count(*), count(DISTINCT sample) FROM sf UNION ALL SELECT 'normalized', count(*), count(DISTINCT gene_id) FROM lib JOIN sf USING (sample)""",
     "positional_file": "SELECT p_brand AS symbol, p_type AS name, count(*) AS n FROM part GROUP BY 1, 2",
     "annotation_file": """SELECT CASE WHEN p_partkey % 3 = 0 THEN 'gene' ELSE 'transcript' END AS type, p_partkey AS start, p_partkey + p_size AS "end", p_brand AS gene_id, CASE WHEN p_partkey % 3 <> 0 THEN 'T' || p_partkey || '.1' END AS transcript_id FROM part WHERE p_partkey % 50 <> 0""",
     "fasta_file": f"WITH {_F} SELECT id AS name, gene, seq_len FROM e",

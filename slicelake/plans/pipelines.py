@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from slicelake.functions import names
 from slicelake.functions.reads import record_error
 from slicelake.operators import barcodes as B
+from slicelake.operators import counts as C
+from slicelake.operators import normalize as N
 from slicelake.operators.series import duplicate_keys
 from slicelake.session import cut
 from slicelake.sources import fasta, fastq, tabular
@@ -60,6 +62,16 @@ def demultiplex(spark: SparkSession, r1_path: str, r2_path: str, barcode_path: s
     return B.with_percent(written, listed, r2.agg(F.count(F.lit(1)).alias("n")))
 
 
+def normalization_tables(counts: DataFrame, out_path: str, threshold: float, samples: int) -> None:
+    """Parquet tables under ``out_path``: unfiltered and filtered counts, size factors of the filtered ones, and all
+    counts normalized by them."""
+    counts = cut(counts)
+    filtered = C.expression_filter(counts, threshold, samples)
+    factors = cut(N.size_factors(filtered))
+    for name, df in (("unfiltered", counts), ("filtered", filtered), ("size_factors", factors), ("normalized", N.normalized(counts, factors))):
+        df.write.mode("errorifexists").parquet(f"{out_path}/{name}")
+
+
 def barcode_permutations(spark: SparkSession, barcode_path: str, barcode: str | None = None, max_hamming: int = 1) -> DataFrame:
     """(barcode, variant, distance): unambiguous variants of all listed barcodes, or of one."""
     variants = B.unambiguous_variants(B.barcode_list(tabular.read_barcodes(spark, barcode_path)), max_hamming)

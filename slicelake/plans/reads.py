@@ -126,7 +126,7 @@ def key_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 def file_name_parse(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("file_name")
-    return table(spark, d, "fastq_files").select("file_id", names.file_barcode(n).alias("barcode"), names.file_slice_id(n).alias("slice_id"), names.sample_from_name(n).alias("part"), names.sanitized(n).alias("safe_name"), names.file_barcode_any(n).alias("any_barcode"))
+    return table(spark, d, "fastq_files").select("file_id", names.file_barcode(n).alias("barcode"), names.file_slice_id(n).alias("slice_id"), names.sample_from_name(n).alias("part"), names.sanitized(n).alias("safe_name"), names.file_barcode_any(n).alias("any_barcode"), names.short_path(F.concat_ws("/", F.lit("data"), F.lit("runs"), F.coalesce("sample_id", F.lit("none")), n)).alias("short_path"))
 
 
 def pair_files(spark: SparkSession, d: str) -> DataFrame:
@@ -231,7 +231,7 @@ SELECT read_id, seq, qual FROM c WHERE len(list_filter(q, lambda v: v < 20)) <=
     "file_name_parse": r"""WITH s AS (SELECT *, regexp_replace(file_name, '\.[^.]*$', '') AS stem FROM fastq_files)
 SELECT file_id, coalesce(nullif(regexp_extract(stem, '^([ACGT]{8})_', 1), ''), nullif(regexp_extract(stem, '_([ACGT]{8})_', 1), ''), nullif(regexp_extract(stem, '_([ACGT]{8})$', 1), '')) AS barcode,
 TRY_CAST(nullif(regexp_extract(file_name, 'bcode_(\d+)', 1), '') AS INT) AS slice_id, string_split(split_part(file_name, '.', 1), '_')[2] AS part,
-regexp_replace(regexp_replace(file_name, '\s', '_', 'g'), '[-.]+', '_', 'g') AS safe_name, coalesce(nullif(regexp_extract(file_name, '^([ACGTN]+)_', 1), ''), nullif(regexp_extract(file_name, '_([ACGTN]+)_', 1), '')) AS any_barcode FROM s""",
+regexp_replace(regexp_replace(file_name, '\s', '_', 'g'), '[-.]+', '_', 'g') AS safe_name, coalesce(nullif(regexp_extract(file_name, '^([ACGTN]+)_', 1), ''), nullif(regexp_extract(file_name, '_([ACGTN]+)_', 1), '')) AS any_barcode, 'runs/' || coalesce(sample_id, 'none') || '/' || file_name AS short_path FROM s""",
     "pair_files": rf"WITH {_BALL}, s AS (SELECT file_id, sample_id, regexp_extract(file_name, '_([ACGT]{{8}})_', 1) AS barcode, TRY_CAST(regexp_extract(file_name, 'bcode_(\d+)', 1) AS INT) AS named FROM fastq_files), o AS (SELECT sample_id, barcode, min(file_id) AS file_id, min(named) AS named FROM s GROUP BY 1, 2 HAVING count(*) = 1) SELECT sample_id, o.barcode, file_id, named, slice_id FROM o JOIN b USING (barcode)",
     "file_validation": "SELECT file_id, CASE WHEN n_bytes IS NULL THEN 'not found' WHEN n_bytes <= 0 THEN 'empty' WHEN NOT coalesce(regexp_matches(file_name, '[.](fastq|fq)([.](gz|zst))?$'), false) THEN 'unknown suffix' END AS error FROM fastq_files",
     "fastq_records": _LINES + " SELECT file_id, count(*) // 4 AS records, count(*) % 4 AS tail_lines FROM z GROUP BY 1",
