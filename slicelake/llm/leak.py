@@ -485,7 +485,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, windows: tuple = WINDOWS,
     in both ways, for lines garbled by a wrong Cyrillic codec.
     """
     known = items.where("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
-    n = known.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
+    n = known.agg(F.coalesce(F.sum(F.greatest(F.size(F.split("text", r"\s+")), F.floor(F.length("text") / 6))), F.lit(0))).first()[0]
     boxes = F.col("line_boxes.x0") if "line_boxes" in documents.columns else F.lit(None).cast("array<int>")
     rows = documents.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), boxes.cast("array<int>").alias("x0"))
     if n > max_words:

@@ -88,6 +88,13 @@ def p5_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.piece_report(files, split.split_files(files))
 
 
+def p5_kept_after_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many content-defined pieces of each file outlast a letter put in after its first third."""
+    files = table(spark, sf_dir, "fastq_files")
+    edited = files.select("file_id", F.expr("overlay(content PLACING 'A' FROM cast(length(content) / 3 AS INT) FOR 0)").alias("content"))
+    return split.kept_after_edit(files, edited)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -132,7 +139,7 @@ def p8_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("pages"), F.sum("lines_lost").alias("lines_lost"))
 
 
-_ALL = (p1_found, p1_error_rate, p1_later_delivery, p1_stored_keys, p4_found, p4_unmatched, p4_candidates, p5_found, p5_content_defined, p5_invariants, p6_found, p6_leaked_items, p7_found, p7_mix, p7_shares, p7_shares_held, p8_found, p8_restored, p8_kinds)
+_ALL = (p1_found, p1_error_rate, p1_later_delivery, p1_stored_keys, p4_found, p4_unmatched, p4_candidates, p5_found, p5_content_defined, p5_invariants, p5_kept_after_edit, p6_found, p6_leaked_items, p7_found, p7_mix, p7_shares, p7_shares_held, p8_found, p8_restored, p8_kinds)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _P1 = r"""

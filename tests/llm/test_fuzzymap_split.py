@@ -163,3 +163,12 @@ def test_blocks_answer_each_row_by_its_own_value(spark):
     for most in (100, 9, 3):
         got = M.nearest_entries(values, listed, "entry", aliases, max_block=most)
         assert sorted(map(tuple, got.collect())) == want
+
+
+def test_pieces_outlast_an_edit(spark):
+    big = fastq(300).decode()
+    df = spark.createDataFrame([(1, big, len(big), 1500, 1), (2, big, len(big), 10**6, 0), (3, None, 9, 2, 0)], "file_id long, content string, n_bytes long, size_limit int, overlap_records int")
+    edited = df.selectExpr("file_id", "concat('@N:0\\nA\\n+\\nI\\n', content) AS content")
+    row = P.kept_after_edit(df, edited).collect()
+    assert [r["file_id"] for r in row] == [1] and row[0]["pieces"] - row[0]["kept"] <= 3 < row[0]["pieces"]
+    assert P.kept_after_edit(df, edited, **P.EXACT).first()["kept"] < row[0]["kept"]
