@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -130,16 +131,22 @@ def _near(trie: Trie, word: str, limit: int) -> list[tuple[int, str]]:
 
 
 def _search(shared: Broadcast, letters: Callable[[str], str], limit: Callable[[int], int]):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = pa.list_(pa.struct([("distance", pa.int32()), ("entry", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, known = shared.value, {}
-        for f in frames:
-            for v in f["value"].unique():
-                if v not in known:
+        for b in batches:
+            coded = b.column("value").dictionary_encode()  # each distinct value of a batch is answered and converted once
+            answers = []
+            for v in coded.dictionary.to_pylist():
+                got = known.get(v)
+                if got is None:
                     if len(known) >= MAX_CACHED:
                         known.clear()
                     word = letters(v)
-                    known[v] = [{"distance": d, "entry": e} for d, e in _near(trie, word, limit(len(word)))]
-            yield f.assign(near=[known[v] for v in f["value"]])
+                    got = known[v] = [{"distance": d, "entry": e} for d, e in _near(trie, word, limit(len(word)))]
+                answers.append(got)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(answers, kind).take(coded.indices)], names=[*b.schema.names, "near"])
 
     return run
 
@@ -164,7 +171,7 @@ def candidates(values: DataFrame, reference: DataFrame, entry_col: str, aliases:
     kinds = {f.name: f.dataType.simpleString() for f in known.schema.fields}
     if len(block) <= max_block:
         shared = sc.broadcast(Trie([], sorted(block)))
-        return known.mapInPandas(_search(shared, letters, limit), ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + f", near {_NEAR}")
+        return known.mapInArrow(_search(shared, letters, limit), ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + f", near {_NEAR}")
     answers = _divided(known.select("value").distinct(), paths, letters, limit, max_block)
     return known.join(answers, "value", "left").withColumn("near", F.coalesce("near", F.array().cast(_NEAR))).select(*known.columns, "near")
 
