@@ -29,6 +29,7 @@ class Trie:
 
     def __init__(self, entries: Iterable[str], aliases: Iterable[tuple[str, str]] = ()):
         self.root: dict = {}
+        self.answers: dict = {}  # of earlier values: a Python worker keeps the trie, and with it these, from task to task
         for path, entry in [(e, e) for e in entries] + list(aliases):
             self.add(path, entry)
 
@@ -39,7 +40,7 @@ class Trie:
         node.setdefault("", set()).add(entry)
 
     def _walk(self, word: str, limit: int):
-        """(node, changes with which the whole word is consumed there) of every node that an automaton reaches alive.
+        """(entries, changes with which the whole word is consumed there) of every node with entries that an automaton reaches alive.
 
         The automaton for ``word`` is kept as bit sets: bit i of states[d] says that i letters of the word are
         consumed with d changes. One step per trie edge; a subtree is left as soon as no state is alive.
@@ -53,37 +54,36 @@ class Trie:
         for _ in range(limit + 1):
             start.append(grown & full)
             grown |= grown << 1
-        stack = [(self.root, tuple(start))]
+        stack = [(self.root, start)]
         while stack:
             node, states = stack.pop()
-            yield node, next((d for d, s in enumerate(states) if s & final), None)
             for c, child in node.items():
                 if c == "":
+                    yield child, next((d for d, s in enumerate(states) if s & final), None)
                     continue
                 m = at.get(c, 0)
-                nxt, before = [], 0
-                for d, s in enumerate(states):
-                    new = (s & m) << 1  # the same letter
-                    if d:
-                        new |= states[d - 1] | (states[d - 1] << 1) | (before << 1)  # letter left out, replaced, added
-                    before = new & full
+                last, before, nxt = 0, 0, []
+                for s in states:
+                    # the same letter; left out, replaced or added at one more change
+                    before = ((s & m) << 1 | last | last << 1 | before << 1) & full
+                    last = s
                     nxt.append(before)
-                if any(nxt):
-                    stack.append((child, tuple(nxt)))
+                if before:  # the most changes allow whatever fewer do
+                    stack.append((child, nxt))
 
     def within(self, word: str, limit: int) -> dict[str, int]:
         """Every entry within ``limit`` single-letter changes of ``word``, with its distance."""
         found: dict[str, int] = {}
-        for node, d in self._walk(word, limit):
+        for entries, d in self._walk(word, limit):
             if d is not None:
-                for e in node.get("", ()):
+                for e in entries:
                     if d < found.get(e, limit + 1):
                         found[e] = d
         return found
 
     def branches(self, word: str, limit: int) -> list[str]:
         """The marks on all nodes the automaton reaches alive: what of a divided trie may hold an entry within the limit."""
-        return sorted({e for node, _ in self._walk(word, limit) for e in node.get("", ())})
+        return sorted({e for entries, _ in self._walk(word, limit) for e in entries})
 
 
 def at_most_two(length: int) -> int:
@@ -134,7 +134,8 @@ def _search(shared: Broadcast, letters: Callable[[str], str], limit: Callable[[i
     kind = pa.list_(pa.struct([("distance", pa.int32()), ("entry", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, known = shared.value, {}
+        trie = shared.value
+        known = trie.answers
         for b in batches:
             coded = b.column("value").dictionary_encode()  # each distinct value of a batch is answered and converted once
             answers = []
