@@ -166,7 +166,7 @@ def candidates(values: DataFrame, reference: DataFrame, entry_col: str, aliases:
     paths = reference.select(F.col(entry_col).alias("path"), F.col(entry_col).alias("entry")).where("path IS NOT NULL AND path <> ''")
     if aliases is not None:
         paths = paths.unionByName(aliases.select(F.col("alias").alias("path"), "entry").where("path <> '' AND entry IS NOT NULL"))
-    known, paths = values.where("value IS NOT NULL"), paths.distinct()
+    known, paths = values.drop("near").where("value IS NOT NULL"), paths.distinct()
     block = [(r[0], r[1]) for r in paths.limit(max_block + 1).collect()]
     sc = values.sparkSession.sparkContext
     kinds = {f.name: f.dataType.simpleString() for f in known.schema.fields}

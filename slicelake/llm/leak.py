@@ -471,8 +471,8 @@ def find_passages(index: Index, signs: Signs, pages: list[list[str]], least: int
 _FOUND = "doc_id bigint, item_id bigint, n_words int"
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["doc_id", "item_id", "n_words"])
+def _batch(rows: list[tuple], of: pa.DataType = pa.int64(), name: str = "doc_id") -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((of, pa.int64(), pa.int32()))], names=[name, "item_id", "n_words"])
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, windows: tuple = WINDOWS, least: int = PASSAGE, max_words: int = MAX_WORDS) -> DataFrame:
@@ -504,7 +504,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, windows: tuple = WINDOWS,
 
 
 def _windows_of(windows: tuple, fit) -> Callable:
-    """(id, size, print) of the distinct windows of each text; fit: None for items, which are clean."""
+    """(id, size, print) of the windows of each text (id, text, x0); fit: None for items, which are clean."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs = Signs()
@@ -514,7 +514,7 @@ def _windows_of(windows: tuple, fit) -> Callable:
                 for size, _ in windows:
                     for at in range(0, len(ids) - size + 1, STEP):
                         fp = np.unique(signs.prints(ids[at : at + STEP + size - 1], size))
-                        yield pa.record_batch([pa.array(np.full(len(fp), key)), pa.array(np.full(len(fp), size, dtype=np.int32)), pa.array(fp.view(np.int64))], names=["id", "size", "print"])
+                        yield pa.record_batch([pa.repeat(pa.scalar(key, b.schema.types[0]), len(fp)), pa.array(np.full(len(fp), size, dtype=np.int32)), pa.array(fp.view(np.int64))], names=["id", "size", "print"])
 
     return run
 
@@ -539,11 +539,11 @@ def _joined(pages: DataFrame, items: DataFrame, windows: tuple, least: int) -> D
             yield pa.record_batch([pa.array(sorted({w for t in b.column(0).to_pylist() for w in words(t) if _CYR.search(w)}), pa.string())], names=["word"])
 
     fit = sc.broadcast(cyrillic_fit(r[0] for r in cyrillic.select("text").mapInArrow(spelled, "word string").distinct().toLocalIterator()))
-    keyed = pages.withColumn("page", F.xxhash64("text", "x0"))
+    keyed = pages.withColumn("page", F.md5(F.concat_ws("|", F.to_json("x0"), "text")))
     texts = cut(keyed.groupBy("page").agg(F.first("text").alias("text"), F.first("x0").alias("x0")))
-    kind = "id bigint, size int, print bigint"
-    here = cut(texts.select("page", "text", "x0").mapInArrow(_windows_of(windows, fit), kind))
-    there = items.select("item_id", "text", F.lit(None).cast("array<int>").alias("x0")).mapInArrow(_windows_of(windows, None), kind)
+    rest = "size int, print bigint"
+    here = cut(texts.select("page", "text", "x0").mapInArrow(_windows_of(windows, fit), f"id string, {rest}"))
+    there = items.select("item_id", "text", F.lit(None).cast("array<int>").alias("x0")).mapInArrow(_windows_of(windows, None), f"id bigint, {rest}")
     radius = F.coalesce(*[F.when(F.col("size") == size, F.lit(r)) for size, r in windows])
     masks = F.coalesce(*[F.when(F.col("size") == size, F.array(*[F.lit(int(m)).cast("bigint") for m in near_masks(r)])) for size, r in windows])
     probes = _block_keys(here.select("size", "print").distinct(), F.array(F.lit(0).cast("bigint")))
@@ -561,7 +561,7 @@ def _joined(pages: DataFrame, items: DataFrame, windows: tuple, least: int) -> D
                 index = Index([(item, item_text)], windows, fit.value)
                 for hits in find_passages(index, signs, [page_words(text, x0, fit.value)], least):
                     found += [(page, item, n) for _, n in hits]
-            yield _batch(found)
+            yield _batch(found, pa.string(), "page")
 
-    found = both.mapInArrow(check, _FOUND).withColumnRenamed("doc_id", "page")
+    found = both.mapInArrow(check, "page string, item_id bigint, n_words int")
     return keyed.select("doc_id", "page").join(found, "page").select("doc_id", "item_id", "n_words")
