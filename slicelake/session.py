@@ -68,6 +68,15 @@ def run_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over more tasks where it comes in fewer splits than there are cores; tables of many splits stay as they are.
+
+    For work that costs far more a row than moving the row does.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most`` rows, counted; else as it is, for Spark to shuffle and split.
 
