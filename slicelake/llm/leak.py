@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slicelake.llm.mojibake import CHAINS, CYRILLIC, Chain
-from slicelake.session import cut
+from slicelake.session import cut, spread
 
 #: Words that must stand in the item's order.
 PASSAGE = 15
@@ -500,7 +500,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, windows: tuple = WINDOWS,
                 pages = [page_words(t, x, index.fit) for t, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
                 yield _batch([(d, i, c) for d, hits in zip(b.column(0).to_pylist(), find_passages(index, signs, pages, least)) for i, c in hits])
 
-    return rows.mapInArrow(run, _FOUND)
+    return spread(rows).mapInArrow(run, _FOUND)
 
 
 def _windows_of(windows: tuple, fit) -> Callable:

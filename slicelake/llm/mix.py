@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slicelake.session import broadcast_if_small, cut
+from slicelake.session import broadcast_if_small, cut, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the published splitting pattern of the byte-level BPE vocabularies.
@@ -50,7 +50,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """
     h = F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text"))).bitwiseAND((1 << HASH_BITS) - 1)
     rows = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("source").cast("string"), h.alias("h"))
-    return rows.mapInArrow(_count_tokens(tokenizer), "doc_id bigint, source string, tokens bigint, h bigint")
+    return spread(rows).mapInArrow(_count_tokens(tokenizer), "doc_id bigint, source string, tokens bigint, h bigint")
 
 
 def histogram(counts: DataFrame, bits: int = ROUND_BITS[0]) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slicelake.session import cut
+from slicelake.session import cut, spread
 
 HASH_BITS = 13
 BUCKETS = 1 << HASH_BITS
@@ -30,7 +30,7 @@ EVEN = 2e-3
 #: languages. With them the model is bounded: about 2 MB a language.
 SAMPLE_DOCS, LEAST_DOCS, MAX_LANGUAGES = 600, 5, 200
 #: Documents that one task of the training garbles.
-TASK_DOCS = 500
+TASK_DOCS = 300
 #: Log likelihood ratio that a page must reach over its lines, and its best line alone.
 PAGE_EVIDENCE, LINE_EVIDENCE = 18.0, 18.0
 #: Line evidence from which a page is garbled even where no chain decodes strictly (letters misread afterwards).
@@ -163,6 +163,7 @@ def _garbled_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     with each word's first letter capital, at a tenth, for letters that seldom begin a sentence.
     """
     for f in frames:
+        rows = []
         for lang, texts in f.groupby("lang")["text"]:
             whole = "\n".join(texts)
             lines = "\n".join(x for x in whole.split("\n") if not x.isascii())
@@ -178,7 +179,8 @@ def _garbled_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             got[-3] = np.array(_letters(whole))
             for k, n in got.items():
                 b = np.flatnonzero(n)
-                yield pd.DataFrame({"lang": [lang], "chain": [k], "bucket": [b], "n": [n[b]]})
+                rows.append((lang, k, b, n[b]))
+        yield pd.DataFrame(rows, columns=["lang", "chain", "bucket", "n"])
 
 
 _COUNTS = "lang string, chain int, bucket array<int>, n array<bigint>"
@@ -383,4 +385,4 @@ def detect(documents: DataFrame, model: Model | None = None, id_col: str = "doc_
             yield pa.record_batch([b.column(0), *columns], names=[id_col, "garbled", "chain", "restored", "lines_lost"])
 
     rows = documents.select(F.col(id_col).cast("bigint"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, f"{id_col} bigint, garbled boolean, chain string, restored string, lines_lost int")
+    return spread(rows).mapInArrow(run, f"{id_col} bigint, garbled boolean, chain string, restored string, lines_lost int")
