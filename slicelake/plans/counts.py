@@ -192,6 +192,11 @@ def nb_wald(spark: SparkSession, d: str) -> DataFrame:
     return T.nb_wald(C.expression_filter(lib, 10, 4), N.size_factors(C.expression_filter(lib, 2, 6)), "MM")
 
 
+def nb_dispersion(spark: SparkSession, d: str) -> DataFrame:
+    """Means and dispersions of the genes that nb_wald tests."""
+    return nb_wald(spark, d).select("gene_id", _r("base_mean").alias("base_mean"), _r("dispersion").alias("dispersion"))
+
+
 def longest_per_group(spark: SparkSession, d: str) -> DataFrame:
     return S.longest_per_group(table(spark, d, "documents"), "source", F.col("n_chars"), "doc_id", ["doc_id", "n_chars"])
 
@@ -251,7 +256,7 @@ def labelled_points(spark: SparkSession, d: str) -> DataFrame:
     return V.labelled(V.volcano_points(_tests(spark, d), "p"), "gene_id", some).select("gene_id", "nlp", "label")
 
 
-_ALL = (de_gene_set, labelled_points, counts_latest, gene_counts, expression_filter, sample_subset, ortholog_map, marker_expression, combine_intersect, count_matrix_wide, count_matrix_long, size_factors, normalized_counts, log_cpm, slice_means, z_scores, sample_parse_zone, input_report, densified, fill_down, replicate_renumber, bh_adjust, volcano_points, gene_sets, profile_points, sample_distance, slice_distance, sample_tree, sample_pca, nb_wald, longest_per_group, duplicate_keys, tag_topk, anti_set, union_append, multimapping, fasta_names)
+_ALL = (de_gene_set, labelled_points, counts_latest, gene_counts, expression_filter, sample_subset, ortholog_map, marker_expression, combine_intersect, count_matrix_wide, count_matrix_long, size_factors, normalized_counts, log_cpm, slice_means, z_scores, sample_parse_zone, input_report, densified, fill_down, replicate_renumber, bh_adjust, volcano_points, gene_sets, profile_points, sample_distance, slice_distance, sample_tree, sample_pca, nb_wald, nb_dispersion, longest_per_group, duplicate_keys, tag_topk, anti_set, union_append, multimapping, fasta_names)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _L = """l AS (SELECT * EXCLUDE (rn, gene_id), g AS gene_id FROM (SELECT *, regexp_replace(gene_id, '^gene:', '') AS g,
@@ -265,6 +270,23 @@ _CPM = _LIB + ", tot AS (SELECT sample, sum(count) AS t FROM lib GROUP BY 1), cp
 _CPM_ALL = _L + ", tot AS (SELECT sample, sum(count) AS t FROM l WHERE count IS NOT NULL GROUP BY 1), cpm AS (SELECT gene_id, sample, CASE WHEN t = 0 THEN NULL ELSE ln(1 + count / t * 1e6) END AS v FROM l JOIN tot USING (sample) WHERE count IS NOT NULL)"
 _DIST = """, n AS (SELECT sample, sum(v * v) AS n FROM cpm GROUP BY 1 HAVING sum(v * v) > 0), dot AS (SELECT a.sample AS sa, b.sample AS sb, sum(a.v * b.v) AS dot FROM cpm a JOIN cpm b USING (gene_id) WHERE a.sample < b.sample GROUP BY 1, 2)
 SELECT x.sample AS sample_a, y.sample AS sample_b, round(sqrt(greatest(x.n + y.n - 2 * coalesce(dot, 0), 0)), 5) AS distance FROM n x JOIN n y ON x.sample < y.sample LEFT JOIN dot ON sa = x.sample AND sb = y.sample"""
+_PAIRS, _LAST = _DIST.rsplit("\n", 1)
+# the state of a step: distances left, and each cluster's name, number and size
+_TREE = _PAIRS + ", pd AS (" + _LAST + """), nm AS (SELECT sample AS s, -row_number() OVER (ORDER BY sample) AS id FROM n),
+t AS (SELECT 0 AS step, 0::BIGINT AS l, 0::BIGINT AS r, 0.0::DOUBLE AS height, 0::BIGINT AS size, (SELECT list({'d': distance, 'a': sample_a, 'b': sample_b}) FROM pd) AS pairs, (SELECT list({'s': s, 'id': id, 'n': 1::BIGINT}) FROM nm) AS names
+ UNION ALL
+ SELECT step + 1, x.id, y.id, m.d, x.n + y.n,
+  (SELECT list({'d': d, 'a': a, 'b': b}) FROM (SELECT max(d) AS d, least(a2, b2) AS a, greatest(a2, b2) AS b FROM
+   (SELECT u.d, CASE WHEN u.a = m.b THEN m.a ELSE u.a END AS a2, CASE WHEN u.b = m.b THEN m.a ELSE u.b END AS b2 FROM (SELECT unnest(pairs) AS u)) WHERE a2 <> b2 GROUP BY 2, 3)),
+  list_transform(names, lambda k: CASE WHEN k.s = m.a THEN {'s': k.s, 'id': step + 1, 'n': x.n + y.n} ELSE k END)
+ FROM (SELECT *, list_filter(names, lambda k: k.s = m.a)[1] AS x, list_filter(names, lambda k: k.s = m.b)[1] AS y FROM (SELECT *, list_min(pairs) AS m FROM t WHERE len(pairs) > 0)))
+SELECT step, l AS left, r AS right, height, size FROM t WHERE step > 0"""
+# size factors of the two species' infarct libraries, and moments of each gene within each species
+_NB = SIZE_FACTORS.replace("lib AS (", "every AS (").replace(", expr AS", ", lib AS (SELECT * FROM every WHERE condition = 'MI14D'), expr AS") + """,
+c AS (SELECT gene_id, species, count / size_factor AS y, 1 / size_factor AS inv FROM lib JOIN sf USING (sample) WHERE size_factor > 0 AND gene_id IN (SELECT gene_id FROM lib GROUP BY 1 HAVING sum(cast(count >= 10 AS INT)) >= 4)),
+m AS (SELECT gene_id, count(*) AS k, avg(y) AS m, var_pop(y) * count(*) AS ss, avg(inv) AS inv FROM c GROUP BY gene_id, species),
+v AS (SELECT gene_id, sum(ss - (k - 1) * m * inv) FILTER (WHERE k > 1) AS more, sum((k - 1) * m * m) FILTER (WHERE k > 1) AS under FROM m GROUP BY 1)
+SELECT gene_id, round(base_mean, 6) AS base_mean, round(CASE WHEN under > 0 THEN least(greatest(more / under, 1e-8), 10) ELSE 1e-8 END, 6) AS dispersion FROM v JOIN (SELECT gene_id, avg(y) AS base_mean FROM c GROUP BY 1) USING (gene_id)"""
 _ORTH = "o AS (SELECT DISTINCT gene_id AS mus_id, 'S' || right(gene_id, 4) AS symbol FROM l WHERE NOT ends_with(gene_id, '7'))"
 PART_HEADERS = """h AS (SELECT p_partkey, string_split(p_name, ' ')[1] AS name, CASE p_partkey % 5
  WHEN 0 THEN 'ENSP' || p_partkey || '.' || (p_partkey % 3) || ' pep gene:' || string_split(p_name, ' ')[1] || ' kind:' || p_brand
@@ -307,6 +329,8 @@ SELECT *, CASE significance WHEN 'sig_up' THEN 1 WHEN 'sig_down' THEN 2 WHEN 'no
     "profile_points": f"WITH {_L}, {_ORTH}, p AS (SELECT gene_id, species, CASE WHEN condition = 'SHAM' THEN 'Sham' ELSE printf('MI day 14 rep. %02d', replicate) END AS label, slice, round_even(count, 1) AS value FROM l WHERE count IS NOT NULL AND gene_id IN (SELECT mus_id FROM o)) SELECT *, max(value) OVER (PARTITION BY gene_id) AS top FROM p",
     "sample_distance": f"WITH {_CPM}" + _DIST,
     "slice_distance": f"WITH {_CPM_ALL}" + _DIST,
+    "sample_tree": f"WITH RECURSIVE {_CPM}" + _TREE,
+    "nb_dispersion": f"WITH {_NB}",
     "longest_per_group": "SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC NULLS LAST, doc_id) AS rn FROM documents) WHERE rn = 1 OR source IS NULL",
     "duplicate_keys": "SELECT header_line, count(*) AS n FROM r2_reads WHERE header_line <> '' GROUP BY 1 HAVING count(*) > 1",
     "tag_topk": "SELECT lang, source, n, rank FROM (SELECT lang, source, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, source) AS rank FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2) WHERE rank <= 5",
