@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
@@ -35,8 +36,6 @@ BLOCKS, BLOCK_BITS = 4, 16
 SHINGLE, LEAST_SIMILAR = 2, 0.15
 #: Most item words whose index goes to every task; longer lists are joined by block keys instead.
 MAX_WORDS = 200_000
-#: How many words of other print (an advert, a neighbouring column) one passage may run around; beyond, it is two passages.
-DETOUR = 80
 #: How many words on each side tell the script of a word that may be of either.
 BESIDE = 3
 
@@ -366,9 +365,31 @@ def _close(a: str, b: str) -> bool:
     return row[-1] <= most
 
 
-def _follow(p: list[str], q: list[str], x: int, y: int, known: dict[tuple[int, int], int]) -> int:
+class Places:
+    """Where a page holds two words of some item in a row, by these and the word behind them."""
+
+    def __init__(self, page: list[str], items: Iterable[list[str]]):
+        wanted = {pair for q in items for pair in zip(q, q[1:])}
+        self.behind: dict[tuple[str, str], dict[str, list[int]]] = {}
+        for k, (a, b, c) in enumerate(zip(page, page[1:], page[2:])):
+            if (a, b) in wanted:
+                self.behind.setdefault((a, b), {}).setdefault(c, []).append(k)
+        self.known: dict[tuple[str, str, str], list[list[int]]] = {}
+
+    def after(self, x: int, a: str, b: str, c: str) -> int | None:
+        """The first place beyond x of a, b and a word that is c up to damage; None without one."""
+        some = self.known.get((a, b, c))
+        if some is None:
+            some = self.known[a, b, c] = [at for w, at in self.behind.get((a, b), {}).items() if _close(w, c)]
+        return min((at[k] for at in some if (k := bisect_right(at, x)) < len(at)), default=None)
+
+
+def _follow(p: list[str], q: list[str], x: int, y: int, known: dict[tuple[int, int], int], places: Places) -> int:
     """Furthest item place reached from p[x], q[y], past the last word that agrees.
 
+    Other print (an advert, a neighbouring column) may stand in between: the walk goes on at the next place where
+    three words of the item follow, however far on the page that is.
+
     known: where walks from earlier places ended. A walk that meets one goes the same way, so each place is walked once.
     """
     end, passed = y, []
@@ -399,15 +420,14 @@ def _follow(p: list[str], q: list[str], x: int, y: int, known: dict[tuple[int, i
             continue
         if y + 2 >= len(q):
             break
-        for z in range(x + 1, min(x + DETOUR, len(p) - 2)):
-            if p[z] == q[y] and p[z + 1] == q[y + 1] and _close(p[z + 2], q[y + 2]):
-                x = z
-                break
-            if p[z] == q[y + 1] and p[z + 1] == q[y + 2] and y + 3 < len(q) and z + 2 < len(p) and _close(p[z + 2], q[y + 3]):
-                x, y = z, y + 1
-                break
-        else:
+        here = places.after(x, q[y], q[y + 1], q[y + 2])
+        skipped = places.after(x, q[y + 1], q[y + 2], q[y + 3]) if y + 3 < len(q) else None
+        if here is None and skipped is None:
             break
+        if skipped is None or here is not None and here <= skipped:
+            x = here
+        else:
+            x, y = skipped, y + 1
     known.update(dict.fromkeys(passed, end))
     return end
 
@@ -415,8 +435,9 @@ def _follow(p: list[str], q: list[str], x: int, y: int, known: dict[tuple[int, i
 class Passages:
     """Passages of one item on one page."""
 
-    def __init__(self, page: list[str], back: list[str], item: list[str]):
-        self.page, self.back, self.item, self.item_back = page, back, item, item[::-1]
+    def __init__(self, page: list[str], places: Places, back: list[str], back_places: Places, item: list[str]):
+        self.page, self.places, self.back, self.back_places = page, places, back, back_places
+        self.item, self.item_back = item, item[::-1]
         self.longest, self.ahead, self.behind = 0, {}, {}
 
     def add(self, d: int, i: int, size: int) -> None:
@@ -434,8 +455,8 @@ class Passages:
             if at is None or alike < LEAST_SIMILAR:
                 return
         d, i = d + at[0], i + at[1]
-        past = _follow(self.page, self.item, d, i, self.ahead)
-        first = len(self.item) - _follow(self.back, self.item_back, len(self.page) - 1 - d, len(self.item) - 1 - i, self.behind)
+        past = _follow(self.page, self.item, d, i, self.ahead, self.places)
+        first = len(self.item) - _follow(self.back, self.item_back, len(self.page) - 1 - d, len(self.item) - 1 - i, self.behind, self.back_places)
         self.longest = max(self.longest, past - first)
 
 
@@ -456,15 +477,18 @@ def find_passages(index: Index, signs: Signs, pages: list[list[str]], least: int
             whole = owner[who] == owner[who + scale.size - 1]  # a window lies on one page
             for w, i, d, f in zip(who[whole].tolist(), scale.item[window[whole]].tolist(), scale.place[window[whole]].tolist(), far[whole].tolist()):
                 seeds.setdefault((int(owner[w]), i), []).append((-scale.size, f, w - int(starts[owner[w]]), d))
-    back: dict[int, list[str]] = {}
-    for (k, item), some in seeds.items():
-        if k not in back:
-            back[k] = skeletons[k][::-1]
-        found = Passages(skeletons[k], back[k], index.skeletons[item])
-        for size, _, d, i in sorted(some):
-            found.add(d, i, -size)
-        if found.longest >= least:
-            out[k].append((item, found.longest))
+    of_page: dict[int, list[int]] = {}
+    for k, item in seeds:
+        of_page.setdefault(k, []).append(item)
+    for k, some in of_page.items():
+        page, back = skeletons[k], skeletons[k][::-1]
+        places, back_places = Places(page, (index.skeletons[i] for i in some)), Places(back, (index.skeletons[i][::-1] for i in some))
+        for item in some:
+            found = Passages(page, places, back, back_places, index.skeletons[item])
+            for size, _, d, i in sorted(seeds[k, item]):
+                found.add(d, i, -size)
+            if found.longest >= least:
+                out[k].append((item, found.longest))
     return out
 
 

@@ -331,3 +331,35 @@ def test_passages_garbled_by_every_cyrillic_chain(spark):
     pages += [(2000 + k, near("ru") + "\n" + c.garble(typeset(part)).replace(c.garble(part[7]), c.garble(part[7])[:-1] + "☆"), None) for k, c in enumerate(chains)]
     pages += [(3000, near("ru"), None), (3001, chains[0].garble(typeset(part[:11])), None)]
     assert len(chains) > 50 and leaks(spark, pages, items) == sorted((d, 4) for d, _, _ in pages if d < 3000)
+
+
+@pytest.mark.parametrize("between", [5, 79, 80, 300, 20_000])
+def test_other_print_within_a_passage_may_be_of_any_length(spark, between):
+    item, other = VOC["en"][:24], VOC["de"]
+    r = random.Random(between)
+    print_ = [r.choice(other) for _ in range(between)]
+    rows = [(1, " ".join(item[:10] + print_ + item[10:])), (2, " ".join(item[:10] + print_)), (3, " ".join(item[12:] + print_ + item[:12]))]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    want = [(1, 7, 24)]  # neither too few words nor the other order
+    assert [tuple(r) for r in leak.find_leaks(docs, items).collect()] == want
+    assert [tuple(r) for r in leak.find_leaks(docs, items, max_words=1).collect()] == want
+
+
+def test_places_are_those_of_a_plain_search():
+    r = random.Random(5)
+    page, item = [r.choice(["ab", "cd", "longword", "longwerd", "other"]) for _ in range(400)], ["ab", "cd", "longword", "ab", "other", "other"]
+    places = leak.Places(page, [item])
+    for y in range(len(item) - 2):
+        a, b, c = item[y : y + 3]
+        for x in range(-1, 400):
+            want = next((z for z in range(x + 1, 398) if page[z] == a and page[z + 1] == b and leak._close(page[z + 2], c)), None)
+            assert places.after(x, a, b, c) == want
+    assert leak.Places([], [item]).after(0, "ab", "cd", "ab") is None
+
+
+def test_a_long_page_of_one_items_words_takes_no_square_of_its_length():
+    item = VOC["en"][:20]
+    index = leak.Index([(1, " ".join(item))])
+    texts = [(item[:14] + ["zzz"]) * 3000, item[:14] * 3000, [item[0]] * 40_000]
+    got = leak.find_passages(index, leak.Signs(), texts, 15)
+    assert got == [[], [], []]
