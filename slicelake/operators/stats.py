@@ -186,15 +186,15 @@ def pca(values: DataFrame, value: str, components: int = 2, top_genes: int = 500
     return scores.join(largest, "k").select("sample", (F.col("k") + 1).alias("pc"), F.when(F.col("top") < 0, -F.col("score")).otherwise(F.col("score")).alias("score"), F.get(shares, F.col("k")).alias("share"))
 
 
-def _wald(y: np.ndarray, x: np.ndarray, s: np.ndarray, max_iter: int = 50) -> np.ndarray:
-    """Fits of all genes at once: rows of (mean, dispersion, coefficient, its error, statistic, p); NaN where there is none.
+def moments(y: np.ndarray, x: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean of normalized counts, dispersion by moments, whether the gene has a fit) of each gene.
 
-    y: genes x samples; x, s: level (0 or 1) and size factor of each cell. Solves the two normal equations of each gene.
+    y: genes x samples; x, s: level (0 or 1) and size factor of each cell. Moments are taken within each level, so that
+    a difference between levels is no dispersion.
     """
     g, n = y.shape
     norm = y / s
     mean = norm.mean(axis=1)
-    # moments within each level, so that a difference between levels is no dispersion
     over, under = np.zeros(g), np.zeros(g)
     for level in (0.0, 1.0):
         own = x == level
@@ -206,13 +206,13 @@ def _wald(y: np.ndarray, x: np.ndarray, s: np.ndarray, max_iter: int = 50) -> np
         over += np.where(k > 1, ss - (k - 1) * m * inverse, 0.0)
         under += np.where(k > 1, (k - 1) * m**2, 0.0)
     alpha = np.where(under > 0, np.clip(over / np.where(under > 0, under, 1), 1e-8, 10.0), 1e-8)
-    fit = (mean > 0) & (n >= 3) & (x.min(axis=1) != x.max(axis=1))
-    out = np.full((g, 6), np.nan)
-    out[:, 0], out[:, 1] = mean, alpha
-    if not fit.any():
-        return out
-    y, x, s, a = y[fit], x[fit], s[fit], alpha[fit][:, None]
-    b0, b1, ridge = np.log(mean[fit]), np.zeros(fit.sum()), 1e-6
+    return mean, alpha, (mean > 0) & (n >= 3) & (x.min(axis=1) != x.max(axis=1))
+
+
+def solve(y: np.ndarray, x: np.ndarray, s: np.ndarray, alpha: np.ndarray, mean: np.ndarray, max_iter: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(intercept, coefficient of x, its error) of each gene, as natural logarithms; the two normal equations of all genes at once."""
+    a = alpha[:, None]
+    b0, b1, ridge = np.log(mean), np.zeros(len(y)), 1e-6
 
     def weights() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         mu = np.maximum(s * np.exp(np.clip(b0[:, None] + b1[:, None] * x, -30, 30)), 1e-6)
@@ -234,7 +234,21 @@ def _wald(y: np.ndarray, x: np.ndarray, s: np.ndarray, max_iter: int = 50) -> np
     _, _, w0, w1, w2 = weights()
     det = (w0 + ridge) * (w2 + ridge) - w1 * w1
     v10, v11 = -w1 / det, (w0 + ridge) / det  # the coefficient's row of the inverse
-    se = np.sqrt(np.maximum(v10 * v10 * w0 + 2 * v10 * v11 * w1 + v11 * v11 * w2, 0.0))
+    return b0, b1, np.sqrt(np.maximum(v10 * v10 * w0 + 2 * v10 * v11 * w1 + v11 * v11 * w2, 0.0))
+
+
+def wald(y: np.ndarray, x: np.ndarray, s: np.ndarray, alpha: np.ndarray | None = None) -> np.ndarray:
+    """Rows of (mean, dispersion, coefficient, its error, statistic, p) of each gene; NaN where there is none.
+
+    alpha: dispersions, by moments if not given.
+    """
+    mean, own, fit = moments(y, x, s)
+    alpha = own if alpha is None else alpha
+    out = np.full((len(y), 6), np.nan)
+    out[:, 0], out[:, 1] = mean, alpha
+    if not fit.any():
+        return out
+    _, b1, se = solve(y[fit], x[fit], s[fit], alpha[fit], mean[fit])
     with np.errstate(divide="ignore", invalid="ignore"):
         stat = np.where(se > 0, b1 / se, np.nan)
     out[fit, 2], out[fit, 3], out[fit, 4] = b1 / math.log(2), se / math.log(2), stat
@@ -242,7 +256,23 @@ def _wald(y: np.ndarray, x: np.ndarray, s: np.ndarray, max_iter: int = 50) -> np
     return out
 
 
-_FIT = ("base_mean", "dispersion", "log2fc", "lfc_se", "stat", "pvalue")
+FIT = ("base_mean", "dispersion", "log2fc", "lfc_se", "stat", "pvalue")
+
+
+def gene_rows(counts: DataFrame, factors: DataFrame, numerator: str, column: str) -> DataFrame:
+    """(gene_id, y, x, s): each gene's counts, levels (1 for ``numerator``) and size factors as arrays; its samples are few."""
+    level = (F.col(column) == numerator).cast("double")
+    cell = F.struct(F.col("count").cast("double").alias("y"), level.alias("x"), F.col("size_factor").alias("s"))
+    rows = counts.where("count IS NOT NULL").join(factors.select("sample", "size_factor"), "sample").where(level.isNotNull() & (F.col("size_factor") > 0))
+    return rows.groupBy("gene_id").agg(F.collect_list(cell).alias("c")).select("gene_id", *[F.col(f"c.{k}").alias(k) for k in "yxs"])
+
+
+def by_width(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in the batch, y, x, s) of the genes of each number of samples."""
+    n = np.diff(b.column("y").offsets.to_numpy()) if b.num_rows else np.zeros(0, dtype=int)
+    for width in np.unique(n):
+        some = np.flatnonzero(n == width)
+        yield some, *(np.asarray(b.column(k).take(pa.array(some)).flatten()).astype(float).reshape(len(some), width) for k in "yxs")
 
 
 def nb_wald(counts: DataFrame, factors: DataFrame, numerator: str, column: str = "species") -> DataFrame:
@@ -254,19 +284,13 @@ def nb_wald(counts: DataFrame, factors: DataFrame, numerator: str, column: str =
     flags or independent filtering. A gene is one row (its samples are few), and a batch of genes is fitted at once
     in numpy; the fits are kept in the checkpoint folder, so that they are made once.
     """
-    level = (F.col(column) == numerator).cast("double")
-    cell = F.struct(F.col("count").cast("double").alias("y"), level.alias("x"), F.col("size_factor").alias("s"))
-    rows = counts.where("count IS NOT NULL").join(factors.select("sample", "size_factor"), "sample").where(level.isNotNull() & (F.col("size_factor") > 0))
-    genes = rows.groupBy("gene_id").agg(F.collect_list(cell).alias("c")).select("gene_id", *[F.col(f"c.{k}").alias(k) for k in "yxs"])
+    genes = gene_rows(counts, factors, numerator, column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = np.diff(b.column("y").offsets.to_numpy()) if b.num_rows else np.zeros(0, dtype=int)
-            for width in np.unique(n):
-                some = np.flatnonzero(n == width)
-                y, x, s = (np.asarray(b.column(k).take(pa.array(some)).flatten()).astype(float).reshape(len(some), width) for k in "yxs")
-                got = _wald(y, x, s)
-                yield pa.record_batch([b.column("gene_id").take(pa.array(some)), *[pa.array(v, pa.float64(), from_pandas=True) for v in got.T]], names=["gene_id", *_FIT])
-
-    fitted = cut(genes.mapInArrow(run, "gene_id string, " + ", ".join(f"{c} double" for c in _FIT)))
+            for some, y, x, s in by_width(b):
+                got = wald(y, x, s)
+                yield pa.record_batch([b.column("gene_id").take(pa.array(some)), *[pa.array(v, pa.float64(), from_pandas=True) for v in got.T]], names=["gene_id", *FIT])
+
+    fitted = cut(genes.mapInArrow(run, "gene_id string, " + ", ".join(f"{c} double" for c in FIT)))
     return bh_adjust(fitted, "pvalue", "gene_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slicelake.functions import names
 from slicelake.operators import counts as C
+from slicelake.operators import dispersion
 from slicelake.operators import normalize as N
 from slicelake.operators import series as S
 from slicelake.operators import stats as T
@@ -192,6 +193,11 @@ def nb_wald(spark: SparkSession, d: str) -> DataFrame:
     return T.nb_wald(C.expression_filter(lib, 10, 4), N.size_factors(C.expression_filter(lib, 2, 6)), "MM")
 
 
+def nb_wald_shrunk(spark: SparkSession, d: str) -> DataFrame:
+    lib = cut(C.sample_subset(library_counts(spark, d), "MI14D"))
+    return dispersion.nb_wald_shrunk(C.expression_filter(lib, 10, 4), N.size_factors(C.expression_filter(lib, 2, 6)), "MM")
+
+
 def nb_dispersion(spark: SparkSession, d: str) -> DataFrame:
     """Means and dispersions of the genes that nb_wald tests."""
     return nb_wald(spark, d).select("gene_id", _r("base_mean").alias("base_mean"), _r("dispersion").alias("dispersion"))
@@ -256,7 +262,7 @@ def labelled_points(spark: SparkSession, d: str) -> DataFrame:
     return V.labelled(V.volcano_points(_tests(spark, d), "p"), "gene_id", some).select("gene_id", "nlp", "label")
 
 
-_ALL = (de_gene_set, labelled_points, counts_latest, gene_counts, expression_filter, sample_subset, ortholog_map, marker_expression, combine_intersect, count_matrix_wide, count_matrix_long, size_factors, normalized_counts, log_cpm, slice_means, z_scores, sample_parse_zone, input_report, densified, fill_down, replicate_renumber, bh_adjust, volcano_points, gene_sets, profile_points, sample_distance, slice_distance, sample_tree, sample_pca, nb_wald, nb_dispersion, longest_per_group, duplicate_keys, tag_topk, anti_set, union_append, multimapping, fasta_names)
+_ALL = (de_gene_set, labelled_points, counts_latest, gene_counts, expression_filter, sample_subset, ortholog_map, marker_expression, combine_intersect, count_matrix_wide, count_matrix_long, size_factors, normalized_counts, log_cpm, slice_means, z_scores, sample_parse_zone, input_report, densified, fill_down, replicate_renumber, bh_adjust, volcano_points, gene_sets, profile_points, sample_distance, slice_distance, sample_tree, sample_pca, nb_wald, nb_wald_shrunk, nb_dispersion, longest_per_group, duplicate_keys, tag_topk, anti_set, union_append, multimapping, fasta_names)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _L = """l AS (SELECT * EXCLUDE (rn, gene_id), g AS gene_id FROM (SELECT *, regexp_replace(gene_id, '^gene:', '') AS g,
