@@ -139,7 +139,12 @@ def p8_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("pages"), F.sum("lines_lost").alias("lines_lost"))
 
 
-_ALL = (p1_found, p1_error_rate, p1_later_delivery, p1_stored_keys, p4_found, p4_unmatched, p4_candidates, p5_found, p5_content_defined, p5_invariants, p5_kept_after_edit, p6_found, p6_leaked_items, p7_found, p7_mix, p7_shares, p7_shares_held, p8_found, p8_restored, p8_kinds)
+def p8_lost_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with lines whose letters are gone, and how many such lines."""
+    return mojibake.detect(table(spark, sf_dir, "documents")).where("lines_lost > 0").select("doc_id", "lines_lost")
+
+
+_ALL = (p1_found, p1_error_rate, p1_later_delivery, p1_stored_keys, p4_found, p4_unmatched, p4_candidates, p5_found, p5_content_defined, p5_invariants, p5_kept_after_edit, p6_found, p6_leaked_items, p7_found, p7_mix, p7_shares, p7_shares_held, p8_found, p8_restored, p8_kinds, p8_lost_lines)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _P1 = r"""
@@ -193,4 +198,5 @@ n AS (SELECT word, barcode, min(levenshtein(word, path)) AS distance FROM (SELEC
 SELECT row_id, barcode, distance FROM o JOIN w USING (value) JOIN n USING (word) WHERE source_table = 'slice_labels'""",
     "p5_found": _P5,
     "p5_invariants": "SELECT file_id, n_bytes AS covered, true AS within_limit, 0 AS gaps, true AS progress FROM fastq_files WHERE n_bytes > size_limit AND size_limit >= 1 AND content IS NOT NULL",
+    "p8_lost_lines": "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: contains(x, chr(65533)))) AS lines_lost FROM documents WHERE contains(text, chr(65533))",
 }
