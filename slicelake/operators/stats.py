@@ -135,8 +135,8 @@ def complete_linkage(distances: DataFrame) -> DataFrame:
     merges, one fewer than samples, reach the driver; more than MAX_SAMPLES samples raise an error.
     """
     spark = distances.sparkSession
-    names = _samples(distances.select(F.explode(F.array("sample_a", "sample_b")).alias("sample")))
     d = cut(distances.select(F.least("sample_a", "sample_b").alias("a"), F.greatest("sample_a", "sample_b").alias("b"), F.col("distance").alias("d")))
+    names = _samples(d.select(F.explode(F.array("a", "b")).alias("sample")))
     merges: list[tuple[float, str, str]] = []
     while len(merges) < len(names) - 1:
         both = d.select(F.explode(F.array("a", "b")).alias("of"), F.struct("d", "a", "b").alias("pair"))
