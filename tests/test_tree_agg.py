@@ -1,5 +1,6 @@
 from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from slicelake.operators import tree_agg as A
@@ -44,3 +45,28 @@ def test_slices_fold_barcodes(spark):
     states = A.read_states(spark.createDataFrame([("aa", "A", "I"), ("bb", "AC", "II"), ("cc", "A", "I"), ("dd", "A", "I")], "barcode_key string, seq_line string, qual_line string"))
     listed = spark.createDataFrame([("AA", 1), ("BB", 1), ("CC", None), ("AA", 1)], "barcode string, slice_id int")
     assert [(r["slice_id"], r["reads"], r["bases"]) for r in A.by_slice(states, listed).collect()] == [(1, 2, 3)]
+
+
+def test_tree_has_levels_and_no_merge_takes_more_than_the_fan_in(spark, monkeypatch):
+    # the rounds between tasks, with the fan-in as it comes: no grouping of any round gets more than 8 states of the hot key
+    partials = spark.range(100).select(F.lit("HOT").alias("key"), F.lit(1).cast("long").alias("reads"), F.col("id").alias("chunk"))
+    merged = A.merge_rounds(partials, ["key"], {"reads": "sum"}, 100)
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+    assert [tuple(r) for r in merged.collect()] == [("HOT", 100)]
+    assert [tuple(r) for r in A.merge_rounds(partials, ["key"], {"reads": "sum"}, 0).collect()] == [("HOT", 100)]
+    # the levels within a task
+    taken, merge = [], A._merge
+    monkeypatch.setattr(A, "_merge", lambda parts: taken.append(len(parts)) or merge(parts))
+    rows = [("HOT" if i % 5 else f"k{i % 30}", "ACGT" * (i % 4) if i % 7 else None, "I#" * (i % 3) if i % 11 else None) for i in range(1030)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("k", "s", "q"), r)) for r in rows[i : i + 25]], pa.schema({"k": pa.string(), "s": pa.string(), "q": pa.string()})) for i in range(0, 1030, 25)]
+    out = pa.Table.from_batches(A._combine_chunks(200_000, A.FAN_IN, 10)(iter(batches)))
+    assert {r["key"]: tuple(r.values())[1:] for r in out.to_pylist()} == brute(rows) and out.num_rows == len(brute(rows))
+    assert max(taken) == A.FAN_IN == 8 and len(taken) > 15
+
+
+def test_few_states_held_in_the_levels_of_a_task():
+    rows = [(f"k{i % 40}" if i % 4 else "HOT", "AC", "I") for i in range(500)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("k", "s", "q"), r)) for r in rows], pa.schema({"k": pa.string(), "s": pa.string(), "q": pa.string()}))
+    out = pa.Table.from_batches(A._combine_chunks(30, 3, 7)(iter([batch])))
+    total = out.group_by("key").aggregate([("reads", "sum"), ("bases", "sum")]).to_pylist()
+    assert out.num_rows > 31 and {r["key"]: (r["reads_sum"], r["bases_sum"]) for r in total} == {k: v[:2] for k, v in brute(rows).items()}
