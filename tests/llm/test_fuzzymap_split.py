@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -135,6 +136,31 @@ def test_content_defined_pieces_cover_within_limit_and_are_local(overlap):
     assert P.content_defined(b"", 10, 0) == [] and P.content_defined(b"x" * 95, 10, 0)[-1][1] == 95
 
 
+def test_prescribed_pieces_are_cut_at_landmarks_of_the_rolling_hash(monkeypatch):
+    data, hashed, rolled = fastq(200), [], P._rolled
+    monkeypatch.setattr(P, "_BLOCK", 1000)
+    monkeypatch.setattr(P, "_rolled", lambda a, window: hashed.append(len(a)) or rolled(a, window))
+    pieces = P.content_defined(data, 2000, 2, **P.EXACT)
+    assert pieces == slow_furthest(data, 2000, 2) and sum(hashed) >= len(data) and max(hashed) <= 1001
+    assert {b for _, b in pieces[:-1]} <= set(P.openings(data)[0].tolist())
+    # a hash that marks nothing leaves nothing but the limit
+    monkeypatch.setattr(P, "_rolled", lambda a, window: np.zeros(len(a), dtype=np.uint64))
+    assert P.content_defined(data, 2000, 2, **P.EXACT) == [(i, min(i + 2000, len(data))) for i in range(0, len(data), 2000)]
+
+
+@given(st.binary(max_size=200), st.integers(32, 60))
+@settings(deadline=None, max_examples=200)
+def test_hashes_and_openings_of_any_bytes_whatever_the_block(data, block):
+    data, whole, old = data.replace(b"\x07", b"\n"), P.rolling_hash(data.replace(b"\x07", b"\n")), P._BLOCK
+    try:
+        P._BLOCK = block
+        places, opened = P.openings(data)
+        assert places.tolist() == [i for i in range(1, len(data)) if data[i - 1] == 10] and opened.tolist() == [data[i] for i in places]
+        assert (P.rolling_hash(data) == whole).all() and P.landmarks(data, 3).tolist() == [i + 1 for i, h in enumerate(whole.tolist()) if h % 3 == 0]
+    finally:
+        P._BLOCK = old
+
+
 def test_split_files_edges(spark):
     big = fastq(50).decode()
     rows = [(1, big, len(big), 500, 1), (2, None, 900, 5, 0), (3, "", 0, 5, 0), (4, big, len(big), 10**6, 0), (5, big, len(big), None, 0), (6, "ab\ncd", 5, 2, None), (7, big, len(big), 0, 1)]
